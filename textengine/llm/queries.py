@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, sharding, winnow
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,7 +16,58 @@ def op2_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_pair_index,)}
+def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shuffle_into_shards(documents(spark, sf_dir).select("doc_id", "text"), shards=40)
+    return sharded.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("chosen", winnow.fingerprint(F.col("text")))
+    n = F.char_length("text")
+    third = F.expr("char_length(text) div 3").cast("int")
+    near = winnow.with_next(docs, "doc_id", {"text": F.col("text"), "chosen": F.col("chosen")})
+    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
+    near = near.withColumn("edited", edited)
+    return near.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "chosen",
+        "next_chosen",
+        winnow.fingerprint(F.col("edited")).alias("edited_chosen"),
+    ).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        winnow.as_text(F.col("chosen")).alias("fingerprint"),
+        winnow.as_text(F.col("edited_chosen")).alias("edited_fingerprint"),
+        winnow.likeness(F.col("chosen"), F.col("edited_chosen")).alias("near_edited"),
+        winnow.likeness(F.col("chosen"), F.col("next_chosen")).alias("near_next"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_bpe_pair_index,
+        op5_hypergeometric_shards,
+        op7_sainte_lague_mix,
+        op9_winnowing,
+    )
+}
 
 #: None of these can be said in DuckDB's SQL over whole tables; tests/llm holds brute-force versions.
 ORACLE_SQL: dict[str, str] = {}
