@@ -6,16 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, winnow
+from . import bpe, langid, mcd, mixing, sharding, token_counts, winnow
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op2_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op3_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcd.quality(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shuffle_into_shards(documents(spark, sf_dir).select("doc_id", "text"), shards=40)
     return sharded.select(
@@ -33,6 +40,13 @@ def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("chosen", winnow.fingerprint(F.col("text")))
@@ -59,13 +73,20 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op2_bpe_pair_index,
+        op3_mcd_quality,
         op5_hypergeometric_shards,
         op7_sainte_lague_mix,
+        op8_language_id,
         op9_winnowing,
+        op10_token_counts,
     )
 }
 
