@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mcd, mixing, sharding, token_counts, winnow
-from .common import documents
+from . import bpe, langid, mcd, mixing, neardup, sharding, token_counts, token_files, winnow
+from .common import documents, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -23,6 +25,10 @@ def op3_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shuffle_into_shards(documents(spark, sf_dir).select("doc_id", "text"), shards=40)
     return sharded.select(
@@ -36,6 +42,12 @@ def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_files(documents(spark, sf_dir), target, public_tokenizers.path(TOKENIZER))
+    return token_files.read_files(spark, target).withColumnRenamed("key", "doc_id")
+
+
 def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -82,7 +94,9 @@ QUERIES = {
     for f in (
         op2_bpe_pair_index,
         op3_mcd_quality,
+        op4_multi_index_dedup,
         op5_hypergeometric_shards,
+        op6_token_files,
         op7_sainte_lague_mix,
         op8_language_id,
         op9_winnowing,
