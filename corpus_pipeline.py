@@ -1,10 +1,74 @@
-"""A corpus pipeline of five stages (see STAGES)."""
+"""A corpus pipeline: quality rules, language ID, near-dedup, mixing and BPE, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs, what its predecessor kept.
+All but the last return the columns of docs. Null texts, nulls in other columns, very
+long texts, repeated rows and empty tables are handled as the operators' docstrings say; a stage
+never fails on them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textengine.llm import bpe, langid, mcd, mixing, neardup
+from textengine.llm.common import documents, materialize
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what fails the base rules and the robust outliers of its language and source."""
+    columns = docs.columns
+    return mcd.quality(docs, keep=tuple(columns)).where("kept").select(columns)
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without letters and texts that no learned language explains better than all
+    others together. If no row has a language to learn from, nothing is dropped."""
+    columns = docs.columns
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    if not model[0]:
+        return docs
+    named = langid.predict(docs, model, keep=tuple(columns))
+    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each component, once. Rows without id stay."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return rows.withColumn("__apart", apart).dropDuplicates(["doc_id", "__apart"]).drop("__apart")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop whole documents so that sources come near their targets: a document
+    occurs as often as the block of its middle word is in the mix."""
+    columns = docs.columns
+    mixed = mixing.mix(docs, keep=tuple(columns))
+    return mixed.withColumn("__copy", F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select(columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of every document of the mix."""
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "source", "lang"))
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("language ID", keep_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("mixing sources", mix_sources),
+    ("BPE encoding", encode),
+]
+
+#: SQL can't express the models and the tokenizer; tests/llm compares with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written and read back as the next one's docs."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs, _ = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

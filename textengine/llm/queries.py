@@ -8,13 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mcd, mixing, neardup, sharding, token_counts, token_files, winnow
+from . import bpe, langid, lm_score, mcd, mixing, neardup, sharding, token_counts, token_files, winnow
 from .common import documents, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as good and not toxic; background: all documents."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id", F.lit(True).alias("target")).distinct()
+    model = lm_score.fit(docs.join(good.hint("shuffle_hash"), "doc_id", "left"))
+    return lm_score.score(docs, model)
+
+
 def op2_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
@@ -92,6 +101,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_cross_entropy_difference,
         op2_bpe_pair_index,
         op3_mcd_quality,
         op4_multi_index_dedup,
