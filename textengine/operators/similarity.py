@@ -51,7 +51,7 @@ def dense_topk(q: DataFrame, p: DataFrame, k: int, same: bool = False, rows_per_
 
     nq, np_ = blocks(q), blocks(p)
     left = q.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))).alias("pb"))
-    right = p.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(np_)).alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+    right = p.select(F.col("id").alias("n_id"), F.col("vec").alias("n_vec"), F.pmod(F.xxhash64("id"), F.lit(np_)).alias("npb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("nqb"))
 
     def unit(col: pd.Series) -> np.ndarray:
         m = np.stack([np.asarray(v, np.float64) for v in col])
@@ -61,16 +61,16 @@ def dense_topk(q: DataFrame, p: DataFrame, k: int, same: bool = False, rows_per_
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"q_id": [], "n_id": [], "sim": []}).astype({"q_id": "int64", "n_id": "int64", "sim": "float64"})
-        b = b.sort_values("id")
-        sims = np.round(unit(a["vec"]) @ unit(b["vec"]).T, PLACES)
-        ids = b["id"].to_numpy()
+        b = b.sort_values("n_id")
+        sims = np.round(unit(a["vec"]) @ unit(b["n_vec"]).T, PLACES)
+        ids = b["n_id"].to_numpy()
         if same:
             sims[a["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
         at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"q_id": np.repeat(a["id"].to_numpy(), at.shape[1]), "n_id": ids[at].ravel(), "sim": np.take_along_axis(sims, at, 1).ravel()})
         return out[np.isfinite(out["sim"])]
 
-    pairs = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(best, "q_id long, n_id long, sim double")
+    pairs = left.groupBy("qb", "pb").cogroup(right.groupBy("nqb", "npb")).applyInPandas(best, "q_id long, n_id long, sim double")
     return top_k(pairs, k)
 
 
@@ -194,7 +194,7 @@ def class_candidates(nbrs: DataFrame) -> DataFrame:
     order = F.struct("sim", (-F.col("n_id")).alias("back"))
     sims = F.sort_array(F.collect_list("sim"), asc=False)
     return nbrs.groupBy("q_id", "class").agg(
-        F.max_by("n_id", order).alias("n_id"), F.max("sim").alias("sim"), F.count("*").alias("cnt"), F.round(F.avg("sim"), PLACES).alias("mean_sim"), F.get(sims, F.lit(1)).alias("second_sim")
+        F.max_by("n_id", order).alias("n_id"), F.max("sim").alias("sim"), F.count("*").alias("cnt"), F.round(F.avg("sim"), PLACES + 2).alias("mean_sim"), F.get(sims, F.lit(1)).alias("second_sim")
     )
 
 
