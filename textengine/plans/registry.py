@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: Views that oracle SQL may name: name -> SQL, in order of dependence.
 VIEWS: dict[str, str] = {}
-MODULES = ("text", "vectors", "neighbours")
+MODULES = ("text", "vectors", "neighbours", "rows", "evaluation")
 
 
 def query(name: str, sql: str | None = None):
