@@ -70,10 +70,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("chosen", winnow.fingerprint(F.col("text")))
     n = F.char_length("text")
     third = F.expr("char_length(text) div 3").cast("int")
-    near = winnow.with_next(docs, "doc_id", {"text": F.col("text"), "chosen": F.col("chosen")})
+    near = winnow.with_next(docs, "doc_id", {"text": F.col("text"), "chosen": winnow.fingerprint(F.col("text"))})
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
     near = near.withColumn("edited", edited)
     return near.select(

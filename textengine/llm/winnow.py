@@ -73,47 +73,48 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared / (F.size(hashes(a)) + F.size(hashes(b)) - shared))
 
 
-def with_next(df: DataFrame, key: str, columns: dict[str, Column], cell_rows: int = 2000) -> DataFrame:
-    """Add to each row `columns` of the row that follows in descending order of `key`; after the
-    last comes the first. Rows of one key follow each other in order of the added values.
+def with_next(df: DataFrame, key: str, values: dict[str, Column], cell_rows: int = 2000) -> DataFrame:
+    """Add `values` to each row, and as next_<name> those of the row that follows in descending
+    order of `key`; after the last comes the first. Rows of one key are ordered by their values.
 
     Rows are ordered in cells, ranges of the key between quantiles (65,536 at most), so that the
     table is exchanged once and no task orders it whole; the first row of each cell is looked
     up for its neighbour. A null key comes last.
     """
-    lowest = F.lit(-(2**63)).cast("long")
-    df = df.withColumn("__key", F.coalesce(F.col(key).cast("long"), lowest))
-    rows = df.count()
-    side = max(1, min(256, int((rows / cell_rows) ** 0.5 + 0.999)))
+    df = df.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")))
+    side = max(1, min(256, int((df.count() / cell_rows) ** 0.5 + 0.999)))
     n = side * side
+    cell = F.lit(0)
     if n > 1:
         cuts = df.agg(F.percentile_approx("__key", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
         cuts = sorted(set(cuts))
-        coarse = [part[-1] for i in range(0, len(cuts), side) if (part := cuts[i : i + side])]
-        fine = [cuts[i : i + side] for i in range(0, len(cuts), side)] + [[]]
+        groups = [cuts[i : i + side] for i in range(0, len(cuts), side)]
+        # A cell is found in two steps: the group of cuts, then the place in the group.
         below = lambda cut: cut < F.col("__key")
-        big = F.size(F.filter(F.lit(coarse).cast("array<long>"), below))
-        nested = F.array(*[F.lit(f).cast("array<long>") if f else F.array().cast("array<long>") for f in fine])
-        cell = big * side + F.size(F.filter(F.get(nested, big), below))
-    else:
-        cell = F.lit(0)
-    values = F.struct(*[c.alias(name) for name, c in columns.items()])
-    df = df.withColumn("__cell", cell.cast("int")).withColumn("__value", values)
-    order = [F.desc("__key"), F.xxhash64("__value").asc()]
-    tops, _ = materialize(df.select("__cell", "__key").groupBy("__cell").agg(F.max("__key").alias("__key")), "next-tops")
+        group = F.size(F.filter(_longs([g[-1] for g in groups]), below))
+        cell = group * side + F.size(F.filter(F.get(F.array(*[_longs(g) for g in [*groups, []]]), group), below))
+    df = df.withColumn("__cell", cell.cast("int"))
+    tops, _ = materialize(df.groupBy("__cell").agg(F.max("__key").alias("__key")), "next-tops")
     along = W.orderBy(F.desc("__cell"))
     everything = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    tops = tops.select(F.col("__cell").alias("of"), F.coalesce(F.lead("__key").over(along), F.first("__key").over(everything)).alias("next_key"), F.coalesce(F.lead("__cell").over(along), F.first("__cell").over(everything)).alias("next_cell"))
+    tops = tops.select(F.col("__cell").alias("of"), F.coalesce(F.lead("__key").over(along), F.first("__key").over(everything)).alias("next_key"))
+    names, tie = list(values), F.xxhash64(*values)
     firsts = (
-        df.join(tops.select("next_key", "of"), F.col("__key") == F.col("next_key"))
+        df.join(tops, F.col("__key") == F.col("next_key"))
+        .withColumns(values)
         .groupBy("of")
-        .agg(F.min(F.struct(F.xxhash64("__value").alias("h"), F.col("__value").alias("v")))["v"].alias("__edge"))
+        .agg(F.min(F.struct(tie.alias("tie"), F.struct(*names).alias("row")))["row"].alias("__first"))
     )
-    inside = W.partitionBy("__cell").orderBy(*order)
+    inside = W.partitionBy("__cell").orderBy(F.desc("__key"), tie)
+    follows = F.lead("__cell").over(inside).isNotNull()
     return (
-        df.withColumn("__next", F.lead("__value").over(inside))
+        df.withColumns(values)
+        .withColumns({"__follows": follows, **{f"next_{c}": F.lead(c).over(inside) for c in names}})
         .join(firsts, F.col("__cell") == F.col("of"))
-        .withColumn("__next", F.coalesce("__next", "__edge"))
-        .select("*", *[F.col("__next")[name].alias(f"next_{name}") for name in columns])
-        .drop("__key", "__cell", "__value", "__next", "__edge", "of")
+        .withColumns({f"next_{c}": F.when(F.col("__follows"), F.col(f"next_{c}")).otherwise(F.col("__first")[c]) for c in names})
+        .drop("__key", "__cell", "__follows", "__first", "of")
     )
+
+
+def _longs(values: list[int]) -> Column:
+    return F.lit(values).cast("array<long>") if values else F.array().cast("array<long>")
