@@ -44,14 +44,17 @@ def loo_topk(rows: DataFrame, k: int) -> DataFrame:
     return top_k(sparse_pairs(rows, rows).where(F.col("q_id") != F.col("n_id")), k)
 
 
-def dense_topk(q: DataFrame, p: DataFrame, k: int, same: bool = False, rows_per_block: int = 4000) -> DataFrame:
-    """Exact cosine top-k of (id, vec) rows: each query block meets each pool block once."""
+def dense_topk(q: DataFrame, p: DataFrame, k: int, same: bool = False, apart: Column | None = None, rows_per_block: int = 4000) -> DataFrame:
+    """Exact cosine top-k of (id, vec) rows: each query block meets each pool block once. Rows of
+    one group `apart` (an integer expression of id, such as a fold) are no neighbours; same: nor is a row its own."""
     def blocks(df: DataFrame) -> int:
         return max(1, -(-df.count() // rows_per_block))
 
     nq, np_ = blocks(q), blocks(p)
-    left = q.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))).alias("pb"))
-    right = p.select(F.col("id").alias("n_id"), F.col("vec").alias("n_vec"), F.pmod(F.xxhash64("id"), F.lit(np_)).alias("npb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("nqb"))
+    group = apart.cast("long") if apart is not None else F.col("id").cast("long") if same else None
+    mine, theirs = (group, group) if group is not None else (F.lit(0).cast("long"), F.lit(1).cast("long"))
+    left = q.select("id", "vec", mine.alias("g"), F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))).alias("pb"))
+    right = p.select(F.col("id").alias("n_id"), F.col("vec").alias("n_vec"), theirs.alias("n_g"), F.pmod(F.xxhash64("id"), F.lit(np_)).alias("npb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("nqb"))
 
     def unit(col: pd.Series) -> np.ndarray:
         m = np.stack([np.asarray(v, np.float64) for v in col])
@@ -64,8 +67,7 @@ def dense_topk(q: DataFrame, p: DataFrame, k: int, same: bool = False, rows_per_
         b = b.sort_values("n_id")
         sims = np.round(unit(a["vec"]) @ unit(b["n_vec"]).T, PLACES)
         ids = b["n_id"].to_numpy()
-        if same:
-            sims[a["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+        sims[a["g"].to_numpy()[:, None] == b["n_g"].to_numpy()[None, :]] = -np.inf
         at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"q_id": np.repeat(a["id"].to_numpy(), at.shape[1]), "n_id": ids[at].ravel(), "sim": np.take_along_axis(sims, at, 1).ravel()})
         return out[np.isfinite(out["sim"])]

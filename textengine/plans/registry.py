@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: Views that oracle SQL may name: name -> SQL, in order of dependence.
 VIEWS: dict[str, str] = {}
-MODULES = ("text", "vectors", "neighbours", "rows", "evaluation")
+MODULES = ("text", "vectors", "neighbours", "rows", "evaluation", "monitoring", "models", "streams")
 
 
 def query(name: str, sql: str | None = None):
@@ -41,6 +41,8 @@ def with_views(sql: str) -> str:
     views = ", ".join(f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in VIEWS if name in needed)
     if not views:
         return sql
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {sql[15:]}"
     return f"WITH {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {views} {sql}"
 
 
