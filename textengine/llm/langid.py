@@ -29,6 +29,8 @@ from .common import sliced
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are looked up at a time: their arrays take about 100 times as much.
+SLICE = 1 << 20
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -77,7 +79,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BU
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in sliced([batch], "text", 8 << 20):
+            for part in sliced([batch], "text", SLICE):
                 langs = np.array(part.column("lang").to_pylist(), object)
                 texts = [letters(t) for t in part.column("text").to_pylist()]
                 ids, owner = grams(texts, buckets)
@@ -111,7 +113,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = table.value
         buckets = matrix.shape[1] - 1
-        for batch in sliced(batches, "__text", 8 << 20):
+        for batch in sliced(batches, "__text", SLICE):
             texts = [letters(t) for t in batch.column("__text").to_pylist()]
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if names:
