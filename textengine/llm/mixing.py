@@ -128,7 +128,7 @@ def mix(
             base.withColumn("size", word_count(F.col("text")))
             .select(*columns, "source", "place", "size")
             .join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-            .withColumn("cell", F.pmod("place", "cells"))
+            .withColumn("cell", F.least(F.floor((F.col("place") / 2.0**64 + 0.5) * F.col("cells")), F.col("cells") - 1))
             .drop("of", "n", "cells")
         )
 

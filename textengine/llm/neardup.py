@@ -262,7 +262,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         .select("key")
     )
     open_rows = labelled.join(open_keys, "key").join(classes.select("rep", "sig"), "rep").select("key", "rep", "n", "label", "sig", F.ceil(F.col("size") / BLOCK_ROWS).cast("long").alias("blocks"))
-    maybe = _in_blocks(open_rows, "blocks").groupBy("key", "i", "j").applyInPandas(_near_signatures, "a long, b long")
+    maybe = _in_blocks(open_rows, "blocks").repartition("key", "i", "j").groupBy("key", "i", "j").applyInPandas(_near_signatures, "a long, b long")
     maybe, _ = materialize(maybe.distinct(), "dup-maybe")
     if not maybe.isEmpty():
         # Components that may touch form clusters; all members of a cluster are compared exactly.
@@ -276,7 +276,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         inside = full.withColumnRenamed("id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
         inside = inside.join(clusters.select(F.col("node").alias("label"), F.col("component").alias("cluster")), "label")
         blocks = inside.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_HASHES)).cast("long").alias("blocks"))
-        grouped = _in_blocks(inside.join(blocks, "cluster"), "blocks").select("cluster", "i", "j", "rep", "label", "hashes")
+        grouped = _in_blocks(inside.join(blocks, "cluster"), "blocks").select("cluster", "i", "j", "rep", "label", "hashes").repartition("cluster", "i", "j")
         more = grouped.groupBy("cluster", "i", "j").applyInPandas(_exact_links(percent), "a long, b long")
         links, _ = materialize(links.union(more), "dup-all-links")
         found, _ = materialize(components(links), "dup-all-components")
