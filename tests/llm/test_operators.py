@@ -1,0 +1,365 @@
+"""The operators against brute-force versions, on rows with nulls, empty and long texts, ties,
+repeated rows, clashing columns, and on empty tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from textengine.llm import bpe, langid, lm_score, mcd, mixing, neardup, queries, sharding, stats, token_counts, token_files, winnow
+from textengine.llm.common import shared_dir
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PATH = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept string, shard int, score string, n_words long, taken int"
+LONG = " ".join(f"wörd{i % 977} and the rest, of it." for i in range(12_000))
+
+
+def rows():
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here to there again "
+    texts = {
+        1: base + "one two three four five", 2: base + "one two three four five", 3: base + "one two three four six", 4: None, 5: "", 6: "word", 7: "  \n\t ",
+        8: "12345 !!! ###", 9: LONG, 10: "le chat est sur la table et la souris est dans la maison de la ville", 11: "the cat is on the table and the mouse is in the house of the town",
+        12: "!!!!!! hahahaha <|endoftext|> İstanbul ΑΣ é x\x1cy ½ Ⅷ a b", 13: "a b a b a b a b a b a b a b a b", 14: "x",
+    }
+    out = []
+    for i, t in texts.items():
+        lang = None if i == 6 else "fr" if i == 10 else "en"
+        out.append((i, t, lang, None if i in (5, 9) else f"s{i % 3}", None if t is None else len(t), 7, "no", 3, "x", 5, 1))
+    return [*out, out[0], (None, "a row without an id has words", None, None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def texts():
+    return [(r[0], r[1]) for r in rows()]
+
+
+def test_bpe_is_exact(docs, none):
+    library = Tokenizer.from_file(PATH)
+    got = sorted(map(tuple, bpe.encode_decode(docs, PATH).collect()), key=str)
+    want = []
+    for i, t in texts():
+        e = library.encode(t or "", add_special_tokens=False)
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        want.append((i, len(e.ids), sha(" ".join(map(str, e.ids))), sha(library.decode(e.ids, skip_special_tokens=False))))
+    assert got == sorted(want, key=str)
+    assert bpe.encode_decode(none, PATH).count() == 0
+    one = bpe.encode_decode(docs.where("doc_id = 6"), PATH, with_text=True).first()
+    assert one["ids"] == library.encode("word", add_special_tokens=False).ids
+
+
+def test_pair_index_orders_overlaps_as_the_library():
+    library, own = Tokenizer.from_file(PATH), bpe.PairIndexBpe(PATH)
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("aabhn.!'"), rng.integers(1, 14))) for _ in range(800)]
+    assert [library.encode(w, add_special_tokens=False).ids for w in words] == [own.encode(w) for w in words]
+
+
+def brute_stats(t):
+    words = WORD.findall(t or "")
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    at = {}
+    for j in range(len(words) - 4):
+        at.setdefault(tuple(words[j : j + 5]), []).append(j)
+    cover = {k + q for v in at.values() if len(v) > 1 for k in v for q in range(5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines), len(lines) - len(set(lines)), len(cover)
+
+
+def test_statistics(docs, none):
+    for _, t in texts():
+        assert stats.text_stats(t) == brute_stats(t)
+    got = {r["doc_id"]: r for r in mcd.quality(docs, keep=("doc_id", "text", "kept", "n_words")).collect()}
+    assert got[4]["base_failed"] and got[13]["base_failed"] and not got[1]["base_failed"] and got[1]["kept"]
+    assert mcd.quality(none).count() == 0
+
+
+def test_outliers_are_robust(spark):
+    rng = np.random.default_rng(1)
+    clean = [" ".join("".join(rng.choice(list("abcdef"), rng.integers(2, 8))) for _ in range(rng.integers(30, 90))) for _ in range(400)]
+    junk = [" ".join("".join(rng.choice(list("abc#$%&|"), rng.integers(2, 8))) for _ in range(50)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in mcd.quality(df).where("kept").collect()}
+    assert kept == set(range(400))
+
+
+def shingles(t):
+    w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows):
+    up = {i: i for i, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i, _ in rows}
+
+
+def test_near_duplicates(spark, docs, none):
+    got = neardup.near_duplicates(docs).collect()
+    want = brute_components([x for x in texts() if x[0] is not None])
+    assert len(got) == len(rows())
+    for r in got:
+        assert r["kept"] == (r["doc_id"] is None or r["doc_id"] == want[r["doc_id"]]) and (r["doc_id"] is None or r["component_id"] == want[r["doc_id"]])
+    assert {r["doc_id"]: r["n_shingles"] for r in got if r["doc_id"]} == {i: len(shingles(t)) for i, t in texts() if i}
+    assert neardup.near_duplicates(none).count() == 0
+    # A hot group around one original: copies are near it but seldom near each other.
+    rng = np.random.default_rng(2)
+    original = [f"w{i}" for i in range(200)]
+    made = []
+    for i in range(300):
+        w = list(original)
+        for k in rng.choice(200, rng.integers(0, 14), replace=False):
+            w[k] = f"x{i}y{k}"
+        made.append((1000 - i, " ".join(w)))
+    made += [(2000 + i, " ".join(f"v{i}u{j}" for j in range(40))) for i in range(50)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == brute_components(made)
+
+
+def test_exact_links_in_blocks():
+    import pandas as pd
+
+    sets = [np.arange(100, dtype=np.uint64), np.arange(5, 105, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64), np.arange(30, 130, dtype=np.uint64)]
+    part = pd.DataFrame({"hashes": [s.tobytes() for s in sets], "label": [1, 2, 3, 4], "rep": [1, 2, 3, 4]})
+    assert neardup._exact_links(80)(part)[["a", "b"]].to_numpy().tolist() in ([[1, 2]], [[2, 1]])
+
+
+def test_pigeonhole_keys_find_all_within_the_distance(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**32, 60, dtype=np.uint32)
+    rows = [(0, 1, base.tobytes())]
+    for i in range(1, 60):
+        s = base.copy()
+        s[rng.choice(60, neardup.ERRORS, replace=False)] += np.uint32(1)
+        rows.append((i, 1, s.tobytes()))
+    found = neardup.keys(spark.createDataFrame(rows, "rep long, n long, sig binary")).groupBy("key").agg(F.collect_set("rep").alias("r")).where(F.array_contains("r", 0)).select(F.explode("r").alias("rep")).distinct().count()
+    assert found == 60
+
+
+def test_shards(docs, none):
+    got = sharding.shuffle_into_shards(docs, 4, cell_rows=2).collect()
+    assert len(got) == len(rows()) and {r["size"] for r in got} == {7, None}
+    for s in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots))) and len(slots) == 4
+    assert sharding.shuffle_into_shards(none, 4).count() == 0
+    rng = np.random.default_rng(4)
+    draws = [sharding.draw_marked(rng, 2 * 10**9, 6 * 10**9, 400) for _ in range(2000)]
+    assert abs(np.mean(draws) - 100) < 1.5 and abs(np.var(draws) - 75) < 12
+    matrix = sharding.communication_matrix([10, 0, 25, 5], [14, 13, 13], 1)
+    assert matrix.sum(1).tolist() == [10, 0, 25, 5] and matrix.sum(0).tolist() == [14, 13, 13]
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 129, 5000])
+def test_coder_round_trip(n):
+    rng = np.random.default_rng(n)
+    for ids, vocab in ((rng.integers(0, 10, n), 10), (rng.zipf(1.3, n) % 49408, 49408), (np.full(n, 49407), 49408), (np.resize([5, 6, 7, 255], n), 300)):
+        block = token_files.encode_block(ids, vocab)
+        assert (token_files.decode_block(block) == ids).all()
+        with pytest.raises(ValueError):
+            token_files.decode_block(block[:-1] + bytes([block[-1] ^ 1]))
+    assert len(token_files.encode_block(np.resize([5, 6, 7, 255], 4000), 49408)) < 3000
+
+
+def test_token_files(spark, docs, none):
+    library, target = Tokenizer.from_file(PATH), f"{shared_dir(spark)}/token-test"
+    some = docs.where("doc_id IS NOT NULL")
+    token_files.write_files(some, target, PATH, block_tokens=50)
+    got = sorted(tuple(r) for r in token_files.read_files(spark, target).collect())
+    at, want = 0, []
+    for i, t in sorted((x for x in texts() if x[0] is not None), key=lambda x: (x[0], x[1] or "")):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == sorted(want)
+    token_files.write_files(none, target + "-none", PATH)
+    assert token_files.read_files(spark, target + "-none").count() == 0
+    token_files.write_files(docs, target + "-null", PATH)
+    assert token_files.read_files(spark, target + "-null", with_ids=True).count() == len(rows())
+
+
+def test_mix(spark, docs, none):
+    got = mixing.mix(docs, keep=("doc_id", "text", "taken", "lang")).collect()
+    assert len(got) == len(rows())
+    sizes, target, taken = Counter(), {}, Counter()
+    for r in got:
+        n = len(WORD.findall(r["text"] or ""))
+        assert r["size"] == n and 0 <= r["taken"] <= 3 * n
+    plain = mixing.mix(docs, keep=("doc_id", "source")).collect()
+    for r in plain:
+        sizes[r["source"]] += r["size"]
+        target[r["source"]] = r["target"]
+        taken[r["source"]] += r["taken"]
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    held, total = {}, sum(sizes.values())
+    while True:
+        left = {s: w for s, w in weight.items() if s not in held}
+        want = {**held, **{s: (total - sum(held.values())) * w / sum(left.values()) for s, w in left.items()}}
+        over = [s for s in left if want[s] > 3 * sizes[s]]
+        if not over:
+            break
+        held |= {s: 3 * sizes[s] for s in over}
+    for s in order:
+        assert math.isclose(target[s], want[s], rel_tol=1e-9) and abs(taken[s] - target[s]) <= 16
+    again = mixing.mix(docs.repartition(7), keep=("doc_id", "source"), cell_rows=1)
+    assert sorted(map(str, again.collect())) == sorted(map(str, plain))
+    assert mixing.mix(none).count() == 0
+
+
+def test_quotas_are_highest_quotients(spark):
+    sources = mixing.with_targets(spark.createDataFrame([("a", 500), ("b", 100), ("c", 900), (None, 300)], "source string, source_size long"), (5, 2, 1), 3)
+    target = {r["source"]: r["target"] for r in sources.collect()}
+    got = mixing.quotas(sources, 10, 3).collect()
+    seats = round(sum(target.values()) / 10)
+    best = sorted(((t / (2 * k + 1), s) for s, t in target.items() for k in range(seats)), key=lambda x: -x[0])[:seats]
+    assert {r["source"]: r["seats"] for r in got} == Counter(s for _, s in best)
+    by_shard = Counter()
+    for r in got:
+        assert r["quota"] >= 0
+        by_shard[r["shard"]] += r["quota"]
+    assert max(by_shard.values()) - min(by_shard.values()) <= 1
+
+
+def test_language_id(spark, docs, none):
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.predict(docs, model, keep=("doc_id", "score")).collect()}
+    assert got[10]["lang_pred"] == "fr" and got[11]["lang_pred"] == "en"
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (4, 5, 7, 8))
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert langid.predict(docs, langid.fit(none)).select("lang_pred").distinct().collect()[0][0] == "und"
+    assert langid.predict(none, model).count() == 0
+
+
+def test_language_id_held_out(spark):
+    out = queries.op8_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out")
+    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
+
+
+def brute_fingerprint(tokens, hashes, k, window):
+    if len(tokens) < k or not hashes:
+        return None
+    out = []
+    for i in range(max(1, len(hashes) - window + 1)):
+        part = hashes[i : i + window]
+        least = min(part)
+        place = i + max(j for j, h in enumerate(part) if h == least)
+        if (least, place) not in out:
+            out.append((least, place))
+    return out
+
+
+def test_winnowing(spark, docs):
+    k, window = 4, 10
+    some = docs.where("doc_id IS NOT NULL AND doc_id <> 9").select("doc_id", "text")
+    tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(winnow.TOKEN), F.lit(0))
+    grams = F.transform(F.sequence(F.lit(0), F.size("t") - k), lambda i: F.shiftright(F.xxhash64(*[F.get("t", i + j) for j in range(k)]), 28))
+    rows = some.withColumn("t", tokens).withColumn("h", F.when(F.size("t") >= k, grams)).withColumn("f", winnow.positions(winnow.fingerprint(F.col("text")))).collect()
+    for r in rows:
+        want = brute_fingerprint(r["t"], r["h"], k, window)
+        got = [(x["hash"], x["place"]) for x in r["f"]]
+        assert got == want if want else len(got) == (1 if r["t"] else 0)
+    near = queries.winnow.with_next(some, "doc_id", {"text": F.coalesce("text", F.lit(""))}, cell_rows=3).select("doc_id", "next_text").collect()
+    # Repeated ids follow each other; the others have the next smaller id's text.
+    by_id = dict(texts())
+    ids = sorted({r["doc_id"] for r in near}, reverse=True)
+    follow = {i: by_id[ids[(n + 1) % len(ids)]] or "" for n, i in enumerate(ids)}
+    for i in ids:
+        assert follow[i] in [r["next_text"] for r in near if r["doc_id"] == i]
+
+
+def test_winnowing_query(spark, sf):
+    d = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(d, reverse=True)
+    got = {r["doc_id"]: r for r in queries.op9_winnowing(spark, sf).collect()}
+    for n, i in enumerate(ids):
+        t, nxt = d[i], d[ids[(n + 1) % len(ids)]]
+        m = len(t) // 3
+        assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest() and got[i]["n_chars"] == len(t)
+    assert sum(r["near_edited"] for r in got.values()) / len(d) > 0.4 and sum(r["near_next"] for r in got.values()) / len(d) < 0.05
+
+
+def test_token_counts(docs, none):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    scores = token_counts.pieces(path)
+    floor, longest = min(scores.values()) - 10, max(map(len, scores))
+
+    def count(word):
+        best = [(0.0, 0)]
+        for e, c in enumerate(word, 1):
+            n = len(c.encode())
+            options = [(best[e - 1][0] + floor * n, -(best[e - 1][1] + n))]
+            options += [(best[s][0] + scores[word[s:e]], -(best[s][1] + 1)) for s in range(max(0, e - longest), e) if word[s:e] in scores]
+            top = max(options)
+            best.append((top[0], -top[1]))
+        return best[-1][1]
+
+    got = Counter((r["doc_id"], r["n_words"], r["n_tokens"]) for r in token_counts.count_tokens(docs, path, keep=("doc_id", "n_words")).collect())
+    cache = {}
+    want = Counter()
+    for i, t in texts():
+        words = WORD.findall(t or "")
+        want[(i, len(words), sum(cache.setdefault(w, count("▁" + w)) for w in words))] += 1
+    assert got == want and token_counts.count_tokens(none, path).count() == 0
+
+
+def test_lm_score(spark, docs, none):
+    marked = docs.withColumn("target", F.when(F.col("doc_id") == 11, True))
+    got = {r["doc_id"]: r for r in lm_score.score(docs, lm_score.fit(marked, most_words=40, most_bigrams=30), keep=("doc_id", "score")).collect()}
+    assert got[11]["score"] < got[9]["score"] and got[4]["n_words"] == 0
+    assert lm_score.score(none, lm_score.fit(none.withColumn("target", F.lit(True)))).count() == 0
+
+
+def test_lm_probabilities_sum_to_one(spark, docs):
+    ids, models = lm_score.fit(docs.withColumn("target", F.col("doc_id") % 2 == 0), most_words=20, most_bigrams=25)
+    for h in (lm_score.END, 2, 3):
+        total = np.zeros(2)
+        for w in range(models.size):
+            total += np.exp(-models.losses(np.array([h, w]))[:, 1])
+        assert np.allclose(total, 1)
+
+
+def test_pipeline_stages(spark, docs, none):
+    some = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for df in (some, none.select(*some.columns)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, "")
+            out.count()
+            if name != "BPE encoding":
+                assert out.columns == df.columns
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, some, "").collect()}
+    want = brute_components([x for x in texts() if x[0] is not None])
+    assert kept == {i for i, c in want.items() if i == c} | {None}
+
+
+def test_pipeline_runs(spark, sf):
+    out = corpus_pipeline.run(spark, sf)
+    assert out.columns == ["doc_id", "source", "lang", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
