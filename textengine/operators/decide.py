@@ -39,7 +39,7 @@ def ensemble(tables: list[DataFrame], classes: DataFrame, how: str = "geometric"
     tall = None
     for t in tables:
         tall = t.select("q_id", "class", "p") if tall is None else tall.unionAll(t.select("q_id", "class", "p"))
-    rows = tall.select("q_id").distinct().crossJoin(F.broadcast(classes)).join(tall, ["q_id", "class"], "left").groupBy("q_id", "class")
+    rows = tall.select("q_id").distinct().crossJoin(classes).join(tall, ["q_id", "class"], "left").groupBy("q_id", "class")
     if how == "geometric":
         seen, logs = F.count("p"), F.sum(F.when(F.col("p").isNotNull(), F.log(F.greatest("p", F.lit(1e-6)))))
         score = F.exp((F.coalesce(logs, F.lit(0.0)) + (n - seen) * F.log(F.lit(1e-6))) / n)

@@ -15,7 +15,7 @@ def with_class(nbrs: DataFrame, labels: DataFrame, column: str = "queue") -> Dat
 
 def grid(nbrs: DataFrame, classes: DataFrame) -> DataFrame:
     """Every query with every class (class); the class list is a small dimension."""
-    return nbrs.select("q_id").distinct().crossJoin(F.broadcast(classes.select("class").distinct()))
+    return nbrs.select("q_id").distinct().crossJoin(classes.select("class").distinct())
 
 
 def per_class(nbrs: DataFrame, classes: DataFrame, floor: float = 0.0) -> DataFrame:

@@ -278,6 +278,6 @@ def match_labels(answers: DataFrame, labels: DataFrame) -> DataFrame:
     name = F.lower("queue")
     exact = text == name
     hit = exact | ((text != "") & (F.startswith(text, name) | F.startswith(name, text)))
-    rows = answers.join(F.broadcast(labels), hit, "left").withColumn("exact", exact)
+    rows = answers.join(labels, hit, "left").withColumn("exact", exact)
     best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("exact"), "label"))
     return rows.withColumn("n", best).where(F.col("n") == 1).select("id", "answer", "label")
