@@ -66,7 +66,9 @@ class PairIndexBpe:
         self.left = np.array([vocab[a] for a, _ in pairs], np.int64)
         self.right = np.array([vocab[b] for _, b in pairs], np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        keys = (self.left << 32) | self.right
+        #: Two ids side by side make a pair's key; 32 bits do if ids have 16.
+        self.narrow = max(self.tokens) < 1 << 16
+        keys = self._key(self.left, self.right)
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_rank = keys[order], order
         # A merge may only create pairs of later ranks, else ascending ranks would miss some.
@@ -77,8 +79,11 @@ class PairIndexBpe:
         self.id_text = [str(i) for i in range(max(self.tokens) + 1)]
         self.token_text = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
 
+    def _key(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a << 16) | b).astype(np.uint32) if self.narrow else (a << 32) | b
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = (a << 32) | b
+        key = self._key(a, b)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.key_rank[at], -1)
 
@@ -185,6 +190,26 @@ class PairIndexBpe:
 
         return form, " "
 
+    def encode_flat(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks one after another, and the count of each, without Python objects per token."""
+        index: dict = {}
+        parts = [self._parts(c) for c in chunks]
+        codes = np.array([index.setdefault(p, len(index)) for ps in parts for p in ps], np.int64)
+        of_chunk = np.fromiter(map(len, parts), np.int64, len(parts))
+        words = [w for w in index if type(w) is str]
+        flat, counts = self.merge([w.encode() for w in words])
+        ids = [w for w in index if type(w) is not str]
+        # Words come first, special ids after them: their places in that order by index.
+        place = np.zeros(len(index), np.int64)
+        is_word = np.fromiter((type(w) is str for w in index), bool, len(index))
+        place[is_word], place[~is_word] = np.arange(len(words)), len(words) + np.arange(len(ids))
+        flat, counts = np.concatenate((flat, np.array(ids, np.int64))), np.concatenate((counts, np.ones(len(ids), np.int64)))
+        codes = place[codes]
+        out = gather(flat, np.cumsum(counts) - counts, counts, codes)
+        ends = np.cumsum(of_chunk)
+        upto = np.concatenate(([0], np.cumsum(counts[codes])))
+        return out, upto[ends] - upto[ends - of_chunk]
+
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         return [[int(i) for i in t.split()] for t in self.render(chunks, [self.show(self.id_text)])[0]]
 
@@ -197,6 +222,14 @@ class PairIndexBpe:
         return " ".join([tokens[i] for i in ids if i in tokens])
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The stretches flat[starts[c] : starts[c] + counts[c]] of all codes, one after another."""
+    n = counts[codes]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(total)]
+
+
 def new_chunks(texts: list[list[str]], known) -> list[str]:
     seen: set[str] = set()
     for chunks in texts:

@@ -25,6 +25,7 @@ import gc
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .bpe import CACHE_CHUNKS, PairIndexBpe, new_chunks
+from .bpe import CACHE_CHUNKS, PairIndexBpe, gather
 from .common import sliced
 
 _MAGIC, _HEADER = b"TEXR", struct.Struct("<4sQIIIII")
@@ -43,10 +44,20 @@ _TOTAL = np.uint64(_BASE + _WEIGHT)
 _PAIRS = 18  # bits of the order-2 table
 _RUNS = 8  # run lengths that are told apart
 _WORD, _HALF = np.uint64(32), np.uint64(0xFFFFFFFF)
-LANES, LEAST_STEPS = 2048, 64
+LANES, LEAST_STEPS = 4096, 64
 SCHEMA = "part int, block long, tokens_before long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
+#: Run length after a miss (row 0) and a hit (row 1); the last column is that of -1, never seen.
+_NEXT_RUN = np.array([[max(r - 1, 0) for r in range(_RUNS)] + [0], [min(r + 1, _RUNS - 1) for r in range(_RUNS)] + [0]], np.int8)
+
+
+#: Cell of the mixing table for both run lengths (order 2, order 1), and which cells have a candidate.
+_CELL = np.array([[(b * (_RUNS + 1) + a) * 2 for a in [*range(1, _RUNS + 1), 0]] for b in [*range(1, _RUNS + 1), 0]], np.int32)
+_SEEN1 = (np.arange((_RUNS + 1) ** 2 * 2) // 2 % (_RUNS + 1) > 0).astype(np.int32)
+_SEEN2 = (np.arange((_RUNS + 1) ** 2 * 2) // 2 // (_RUNS + 1) > 0).astype(np.int32)
+
+
 class _Model:
     """What both coder and decoder know after the ids coded so far."""
 
@@ -56,8 +67,8 @@ class _Model:
         self.vocab = vocab
         self.counts = np.zeros(vocab, np.int64)
         self.seen, self.due = 0, 0
-        self.next1, self.run1 = np.zeros(vocab, np.int64), np.full(vocab, -1, np.int8)
-        self.next2, self.run2 = np.zeros(1 << _PAIRS, np.int64), np.full(1 << _PAIRS, -1, np.int8)
+        self.next1, self.run1 = np.zeros(vocab, np.int32), np.full(vocab, -1, np.int8)
+        self.next2, self.run2 = np.zeros(1 << _PAIRS, np.int32), np.full(1 << _PAIRS, -1, np.int8)
         cells = (_RUNS + 1) ** 2 * 2
         self.tried, self.right1, self.right2 = np.full(cells, 4.0), np.full(cells, 0.4), np.full(cells, 0.8)
 
@@ -69,13 +80,14 @@ class _Model:
         else:
             self.freq[:] = (1 << _BASE) // self.vocab
             self.freq[0] += (1 << _BASE) - int(self.freq.sum())
-        self.below = np.cumsum(self.freq) - self.freq
+        self.below = (np.cumsum(self.freq) - self.freq).astype(np.int32)
+        self.freq = self.freq.astype(np.int32)
         self.symbol = None
         self.due = self.seen + max(1, min(self.seen, 1 << 17))
 
     def symbols(self) -> np.ndarray:
         if self.symbol is None:
-            self.symbol = np.repeat(np.arange(self.vocab), self.freq)
+            self.symbol = np.repeat(np.arange(self.vocab, dtype=np.int32), self.freq)
         return self.symbol
 
     def predict(self, last: np.ndarray, pair: np.ndarray) -> None:
@@ -83,25 +95,31 @@ class _Model:
         if self.seen >= self.due:
             self.order0()
         self.last, self.pair = last, pair
-        self.c1, self.r1, self.c2, self.r2 = self.next1[last], self.run1[last], self.next2[pair], self.run2[pair]
-        self.cell = ((self.r2.astype(np.int64) + 1) * (_RUNS + 1) + self.r1 + 1) * 2 + (self.c1 == self.c2)
+        self.c1, self.r1, self.c2, self.r2 = self.next1.take(last), self.run1.take(last), self.next2.take(pair), self.run2.take(pair)
+        self.cell = _CELL[self.r2, self.r1] + (self.c1 == self.c2)
         scale = ((1 << _WEIGHT) - 24) / self.tried
-        self.w1 = (self.right1 * scale).astype(np.int64)[self.cell] * (self.r1 >= 0)
-        self.w2 = (self.right2 * scale).astype(np.int64)[self.cell] * (self.r2 >= 0)
-        self.w0 = (1 << _WEIGHT) - self.w1 - self.w2
+        # Weights as shares of the whole mixture; a candidate that was never seen (run -1) has none.
+        self.w1 = (self.right1 * scale).astype(np.int32) * _SEEN1 << _BASE
+        self.w2 = (self.right2 * scale).astype(np.int32) * _SEEN2 << _BASE
+        self.w1, self.w2 = self.w1.take(self.cell), self.w2.take(self.cell)
+        self.w0 = (1 << _WEIGHT) - ((self.w1 + self.w2) >> _BASE)
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = self.w0 * self.below[x] + ((self.w1 * (self.c1 < x) + self.w2 * (self.c2 < x)) << _BASE)
-        wide = self.w0 * self.freq[x] + ((self.w1 * (self.c1 == x) + self.w2 * (self.c2 == x)) << _BASE)
+        low = self.w0 * self.below.take(x) + self.w1 * (self.c1 < x) + self.w2 * (self.c2 < x)
+        wide = self.w0 * self.freq.take(x) + self.w1 * (self.c1 == x) + self.w2 * (self.c2 == x)
         return low, wide
 
-    def find(self, v: np.ndarray) -> np.ndarray:
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids that hold the places v, with their intervals."""
         low1, wide1 = self.interval(self.c1)
         low2, wide2 = self.interval(self.c2)
-        rest = v - ((self.w1 * (v >= low1 + wide1) + self.w2 * (v >= low2 + wide2)) << _BASE)
-        found = self.symbols()[np.clip(rest // self.w0, 0, (1 << _BASE) - 1)]
-        found = np.where((v >= low2) & (v < low2 + wide2), self.c2, found)
-        return np.where((v >= low1) & (v < low1 + wide1), self.c1, found)
+        up1, up2 = v >= low1 + wide1, v >= low2 + wide2
+        jump = self.w1 * up1 + self.w2 * up2
+        x = self.symbols().take((v - jump) // self.w0, mode="clip")
+        low, wide = self.w0 * self.below.take(x) + jump, self.w0 * self.freq.take(x)
+        for at, c, lo, wi in ((np.flatnonzero((v >= low2) & ~up2), self.c2, low2, wide2), (np.flatnonzero((v >= low1) & ~up1), self.c1, low1, wide1)):
+            x[at], low[at], wide[at] = c[at], lo[at], wi[at]
+        return x, low, wide
 
     def learn(self, x: np.ndarray) -> np.ndarray:
         """Take in the ids of a step; returns the next pairs."""
@@ -110,14 +128,16 @@ class _Model:
         self.tried += np.bincount(self.cell, minlength=cells)
         self.right2 += np.bincount(self.cell[hit2], minlength=cells)
         self.right1 += np.bincount(self.cell[hit1 & ~hit2], minlength=cells)
-        for at, follow, runs, run, c, hit in ((self.last, self.next1, self.run1, self.r1, self.c1, hit1), (self.pair, self.next2, self.run2, self.r2, self.c2, hit2)):
-            follow[at] = np.where(hit | (run > 0), c, x)
-            runs[at] = np.where(hit, np.minimum(run + 1, _RUNS - 1), np.maximum(run - 1, 0) * (run > 0))
+        for at, follow, runs, run, hit in ((self.last, self.next1, self.run1, self.r1, hit1), (self.pair, self.next2, self.run2, self.r2, hit2)):
+            fresh = np.flatnonzero(~hit & (run <= 0))
+            follow[at[fresh]] = x[fresh]
+            runs[at] = _NEXT_RUN[hit.view(np.int8), run]
         self.counts += np.bincount(x, minlength=self.vocab) if len(x) * 8 > self.vocab else 0
         if len(x) * 8 <= self.vocab:
             np.add.at(self.counts, x, 1)
         self.seen += len(x)
-        return ((self.last * 0x9E3779B1 + x * 0x85EBCA77) >> 7) & ((1 << _PAIRS) - 1)
+        mixed = self.last.view(np.uint32) * np.uint32(0x9E3779B1) + x.view(np.uint32) * np.uint32(0x85EBCA77)
+        return (mixed >> np.uint32(32 - _PAIRS)).view(np.int32)
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -131,13 +151,13 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     ids = np.asarray(ids, np.int64)
     n = len(ids)
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     short = n - (lanes - 1) * steps
     model = _Model(vocab)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    last, pair = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    last, pair = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     out_lane, out_word = [], []
     every = np.arange(lanes)
     for t in range(steps):
@@ -190,15 +210,14 @@ def decode_block(block: bytes) -> np.ndarray:
     code = take(every) << _WORD
     code |= take(every)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    last, pair = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    last, pair = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     grid = np.zeros((steps, lanes), np.uint32)
     for t in range(steps):
         m = lanes if t < short else lanes - 1
         model.predict(last[:m], pair[:m])
         unit = width[:m] >> _TOTAL
-        v = np.minimum((code[:m] - low[:m]) // unit, np.uint64((1 << int(_TOTAL)) - 1)).astype(np.int64)
-        x = model.find(v)
-        start, wide = model.interval(x)
+        v = np.minimum((code[:m] - low[:m]) // unit, np.uint64((1 << int(_TOTAL)) - 1)).astype(np.int32)
+        x, start, wide = model.find(v)
         lo, wi = low[:m] + start.astype(np.uint64) * unit, wide.astype(np.uint64) * unit
         need = np.flatnonzero(wi <= _HALF)
         if len(need):
@@ -217,42 +236,41 @@ def decode_block(block: bytes) -> np.ndarray:
     return ids
 
 
-def write_files(df: DataFrame, target: str, tokenizer: str, end_id: int = 2, block_tokens: int = 1 << 20, key: str = "doc_id", text: str = "text") -> None:
+def write_files(df: DataFrame, target: str, tokenizer: str, end_id: int = 2, block_tokens: int = 1 << 21, key: str = "doc_id", text: str = "text") -> None:
     """Encode the texts of df in ascending order of `key`, end_id after each, and write blocks
     of whole rows with about block_tokens ids (at least one row) to `target`."""
     ordered = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the cache holds no cycles, and each collection would walk it whole
-        part, bpe, cache = TaskContext.get().partitionId(), PairIndexBpe(tokenizer), {}
+        gc.disable()  # the index holds no cycles, and each collection would walk it whole
+        part, bpe, index = TaskContext.get().partitionId(), PairIndexBpe(tokenizer), {}
         vocab = max(max(bpe.tokens), end_id) + 1
-        end = np.array([end_id], "<u4").tobytes()
+        nothing = np.zeros(0, np.int64)
+        flat = counts = nothing
         block, before, keys, rows, held = 0, 0, [], [], 0
-
-        def form(flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
-            raw = flat.astype("<u4").tobytes()
-            ends = np.cumsum(counts) * 4
-            return [raw[i:j] for i, j in zip((ends - counts * 4).tolist(), ends.tolist())]
+        end = np.array([end_id], np.int64)
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(rows), "<u4")
-            values = [[part], [block], [before], [len(ids)], [keys], [[len(r) // 4 for r in rows]], [encode_block(ids, vocab)]]
+            ids = np.concatenate(rows)
+            values = [[part], [block], [before], [len(ids)], [keys], [[len(r) for r in rows]], [encode_block(ids, vocab)]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
 
         for batch in sliced(batches, "text", 16 << 20):
-            texts = [bpe.chunks(t or "") for t in batch.column("text").to_pylist()]
-            fresh = new_chunks(texts, cache)
-            if len(cache) + len(fresh) > CACHE_CHUNKS:
-                cache = {}
-                fresh = new_chunks(texts, cache)
-            cache.update(zip(fresh, bpe.render(fresh, [(form, b"")])[0]))
-            for k, chunks in zip(batch.column("key").to_pylist(), texts):
-                row = b"".join([cache[c] for c in chunks]) + end
+            if len(index) > CACHE_CHUNKS:
+                index, flat, counts = {}, nothing, nothing
+            known, add = len(index), index.setdefault
+            # Every distinct chunk has a number; codes are the numbers of a text's chunks.
+            texts = [[add(c, len(index)) for c in bpe.chunks(t or "")] for t in batch.column("text").to_pylist()]
+            ids, n = bpe.encode_flat(list(islice(index, known, None)))
+            flat, counts = np.concatenate((flat, ids)), np.concatenate((counts, n))
+            starts = np.cumsum(counts) - counts
+            for k, codes in zip(batch.column("key").to_pylist(), texts):
+                row = np.concatenate((gather(flat, starts, counts, np.array(codes, np.int64)), end))
                 keys.append(k)
                 rows.append(row)
-                held += len(row) // 4
+                held += len(row)
                 if held >= block_tokens:
                     yield flush()
                     block, before, keys, rows, held = block + 1, before + held, [], [], 0
