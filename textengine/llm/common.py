@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Words of every contract: runs of anything but space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -64,16 +63,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 32
         at = 0
         while at < batch.num_rows:
             n = batch.num_rows - at
-            while n > 1 and batch.slice(at, n).column(column).get_total_buffer_size() and _bytes(batch, column, at, n) > most_bytes:
+            while n > 1 and batch.slice(at, n).column(column).nbytes > most_bytes:
                 n //= 2
             yield batch.slice(at, n)
             at += n
-
-
-def _bytes(batch: pa.RecordBatch, column: str, at: int, n: int) -> int:
-    part = batch.column(batch.schema.get_field_index(column)).slice(at, n)
-    return part.nbytes
-
-
-def long_id(df: DataFrame, column: str = "doc_id"):
-    return F.col(column).cast("long")

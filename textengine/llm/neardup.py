@@ -159,21 +159,21 @@ def confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 class _Forest:
-    """Union-find over a block's rows; join() tells whether two trees became one."""
+    """Components of a block's rows; link() joins a row with others and notes the links that mattered."""
 
-    def __init__(self, start: np.ndarray):
-        self.up = {int(x): int(x) for x in start}
+    def __init__(self, label: np.ndarray, rep: np.ndarray):
+        self.at, self.rep, self.links = np.unique(label, return_inverse=True)[1], rep, []
 
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
+    def link(self, k: int, others: np.ndarray) -> None:
+        at = self.at
+        others = others[at[others] != at[k]]
+        while len(others):
+            self.links.append((self.rep[k], self.rep[others[0]]))
+            at[at == at[others[0]]] = at[k]
+            others = others[at[others] != at[k]]
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+    def table(self) -> pd.DataFrame:
+        return pd.DataFrame(self.links, columns=["a", "b"], dtype="int64")
 
 
 def _in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
@@ -188,21 +188,14 @@ def _near_signatures(part: pd.DataFrame) -> pd.DataFrame:
     """Of one pair of blocks of a bucket: a spanning forest of what may be linked beyond the
     components so far (label), judged by signatures and sizes."""
     sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(len(part), -1)
-    label, rep, n = part["label"].to_numpy(), part["rep"].to_numpy(), part["n"].to_numpy()
-    forest, out = _Forest(np.unique(label)), []
+    label, n = part["label"].to_numpy(), part["n"].to_numpy()
+    forest = _Forest(label, part["rep"].to_numpy())
     # Whoever is in the largest component is compared with all others, from the others' side.
     values, counts = np.unique(label, return_counts=True)
     for k in np.flatnonzero(label != values[counts.argmax()]):
-        apart = (label != label[k]) & (100 * np.minimum(n, n[k]) >= 80 * np.maximum(n, n[k]))
-        for m in np.flatnonzero(apart):
-            if forest.root(int(label[k])) == forest.root(int(label[m])):
-                apart[m] = False
-        at = np.flatnonzero(apart)
-        near = at[(sig[at] != sig[k]).sum(1) <= FAR]
-        for m in near:
-            if forest.join(int(label[k]), int(label[m])):
-                out.append((rep[k], rep[m]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        apart = np.flatnonzero((forest.at != forest.at[k]) & (100 * np.minimum(n, n[k]) >= 80 * np.maximum(n, n[k])))
+        forest.link(k, apart[(sig[apart] != sig[k]).sum(1) <= FAR])
+    return forest.table()
 
 
 def _exact_links(percent: int):
@@ -210,9 +203,9 @@ def _exact_links(percent: int):
         """Of one pair of blocks of a cluster: exact links between components (label), as a
         spanning forest. Intersections are counted through an inverted index."""
         found = [np.frombuffer(h, np.uint64) for h in part["hashes"]]
-        label, rep = part["label"].to_numpy(), part["rep"].to_numpy()
+        label = part["label"].to_numpy()
         sizes = np.array([len(s) for s in found], np.int64)
-        forest, out = _Forest(np.unique(label)), []
+        forest = _Forest(label, part["rep"].to_numpy())
         _, code = np.unique(np.concatenate(found), return_inverse=True)
         owner = np.repeat(np.arange(len(found)), sizes)
         order = np.argsort(code, kind="stable")
@@ -225,17 +218,17 @@ def _exact_links(percent: int):
             if not lists:
                 continue
             both = np.bincount(np.concatenate(lists), minlength=len(found))
-            ok = (100 * both >= percent * (sizes + sizes[k] - both)) & (label != label[k])
-            for m in np.flatnonzero(ok):
-                if forest.join(int(label[k]), int(label[m])):
-                    out.append((rep[k], rep[m]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            forest.link(k, np.flatnonzero(100 * both >= percent * (sizes + sizes[k] - both)))
+        return forest.table()
 
     return links
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """Per row of df: doc_id, n_shingles, component_id and kept."""
+    """Per row of df: doc_id, n_shingles, component_id and kept. percent is 80 or more: the
+    signatures are made for such similarities."""
+    if percent < 80:
+        raise ValueError("similarities below 0.8 need other signatures")
     docs, _ = materialize(signatures(df, key, text), "dup-signatures")
     classes, _ = materialize(
         docs.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "dup-classes"
