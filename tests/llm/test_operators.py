@@ -347,6 +347,36 @@ def test_lm_probabilities_sum_to_one(spark, docs):
         assert np.allclose(total, 1)
 
 
+@pytest.mark.parametrize("hot", [0, 30, 1_000_000])
+def test_lm_counts_are_whole(spark, docs, none, hot):
+    """Every word and bigram counts, also those seen once and words of any length."""
+    long_word = spark.createDataFrame([(20, "x" * 70 + " rare", None), (21, "x" * 70 + " other", None)], "doc_id long, text string, lang string")
+    some = docs.select("doc_id", "text", "lang").union(long_word).withColumn("target", F.col("doc_id") % 2 == 1)
+    pairs, words = [Counter(), Counter()], [Counter(), Counter()]
+    tokens = lambda t: ["", *WORD.findall((t or "").lower()), ""]
+    for r in (everything := some.collect()):
+        line = tokens(r["text"])
+        for model in range(2 if r["target"] else 1):
+            pairs[model].update(zip(line, line[1:]))
+            words[model].update(line[1:])
+
+    def loss(text, model):
+        line, c = tokens(text), words[model]
+        total, size = 0.0, sum(c.values()) + len(words[0]) + 1
+        for h, w in zip(line, line[1:]):
+            base = (c[w] + 1) / size
+            total -= math.log(0.6 * pairs[model][h, w] / c[h] + 0.4 * base if c[h] else base)
+        return total / (len(line) - 1)
+
+    got = lm_score.score_all(some, lm_score.fit_all(some, hot_words=hot), keep=("doc_id", "text", "score"), hot_bigrams=hot).collect()
+    assert len(got) == len(everything)
+    for r in got:
+        want = loss(r["text"], 1), loss(r["text"], 0)
+        assert r["n_words"] == len(tokens(r["text"])) - 2 and math.isclose(r["score"], want[0] - want[1], abs_tol=1e-5)
+        assert math.isclose(r["target_loss"], want[0], rel_tol=1e-5) and math.isclose(r["background_loss"], want[1], rel_tol=1e-5)
+    assert lm_score.score_all(none, lm_score.fit_all(none.withColumn("target", F.lit(True)), hot_words=hot), hot_bigrams=hot).count() == 0
+
+
 def test_pipeline_stages(spark, docs, none):
     some = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for df in (some, none.select(*some.columns)):

@@ -5,12 +5,18 @@ vocabulary, one smoothing and one set of bigrams; a document's score is its mean
 under the target model minus that under the background model, so low scores are like the target.
 Tokens are the lower-case words and one end mark per text.
 
-All words and bigrams of all rows are counted by Spark. The models are pruned by counts:
-the vocabulary is the words whose count is at least the lowest one that leaves `most_words`
-words, all others share one entry, and likewise `most_bigrams` bigrams keep their own
-probability, p(w|h) = weight * c(h,w) / c(h) + (1 - weight * kept(h)) * p(w), where kept(h) is the share of h's
-continuations that were kept; p(w) is add-one smoothed. Both limits are parameters that bound what
-the driver collects and broadcasts; they do not depend on the rows.
+fit_all() and score_all(), which the query uses, keep every word and bigram, also those seen once:
+p(w|h) = weight * c(h,w) / c(h) + (1 - weight) * p(w), p(w) = (c(w) + 1) / (N + V), where V is the
+number of different tokens and one unknown, and p(w|h) = p(w) for an h without rows in the model.
+The counts are written Spark tables that grow with the rows; documents meet the losses of their
+bigrams in a join. The commonest words and bigrams (`hot_words`, `hot_bigrams`) are broadcast with
+the same counts and losses, so that no join has hot keys; these two bound memory and do not
+change the result. Words are known by a hash of 64 bits, bigrams by one made of two such.
+
+fit() and score() are the bounded form for models that have to fit in memory, and do not read all
+counts: the vocabulary is the words of LONGEST characters at most that occur twice or more, `most_words`
+by count, all others share one entry; of the bigrams seen twice or more, `most_bigrams` by count
+keep their own probability, and the others back off.
 
 A null text counts as empty: its only token is the end mark. Repeated rows count as often as they
 occur; without target rows the target model is uniform. An empty table gives an empty result.
@@ -19,17 +25,18 @@ Columns of `keep` named like the operator's own are replaced.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, sliced, words_of
+from .common import drop_table, materialize, sliced, words_of
 
 #: Ids of all words outside the vocabulary, and of the end mark (also the first history).
 OTHER, END = 0, 1
@@ -178,3 +185,112 @@ def score(df: DataFrame, model: tuple[dict[str, int], Models], keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *NAMES])
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
+def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all tokens within these texts, the number of tokens of each text, and the hash
+    of each number; 0 is the end mark, which has the hash of the empty word."""
+    ids: defaultdict[str, int] = defaultdict()
+    ids.default_factory = ids.__len__
+    ids[""]  # number 0
+    flat, sizes = [], []
+    for t in texts:
+        words = words_of(t.lower()) if t else []
+        flat.extend(map(ids.__getitem__, words))
+        flat.append(0)
+        sizes.append(len(words) + 1)
+    return np.array(flat, np.int64), np.array(sizes, np.int64), pd.util.hash_array(np.array(list(ids), object), categorize=False)
+
+
+def _before(flat: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.int64), flat[:-1]))
+
+
+def _key(h: str, w: str) -> Column:
+    """The bigram's key: h turned by one bit, exclusive or w. Word hashes are uniform, so are these."""
+    return F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63)).bitwiseXOR(F.col(w))
+
+
+def _bigrams(df: DataFrame, target: str) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 24 << 20):
+            flat, sizes, code = _hashed(batch.column("text").to_pylist())
+            mine = np.repeat(np.array([bool(x) for x in batch.column("target").to_pylist()], np.int64), sizes)
+            marked = np.sort((_before(flat) * len(code) + flat) * 2 + mine)
+            first = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
+            pair, code = marked[first] >> 1, code.view(np.int64)
+            columns = code[pair // len(code)], code[pair % len(code)], np.add.reduceat(marked & 1, first), np.diff(first, append=len(marked))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "w", "t", "n"])
+
+    rows = df.select("text", F.coalesce(F.col(target), F.lit(False)).alias("target"))
+    return rows.mapInArrow(count, "h long, w long, t long, n long").groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+
+
+def _with_counts(pairs: DataFrame, words: DataFrame, hot: DataFrame, of: str) -> DataFrame:
+    """Add <of>_t and <of>_n, the counts of the word in column `of`: hot words by broadcast, the
+    others by a join in which rows of hot words are dealt out by the whole bigram."""
+    named = lambda df, tag: df.select(F.col("w").alias(f"__{tag}"), F.col("t").alias(f"__{tag}_t"), F.col("n").alias(f"__{tag}_n"))
+    rows = pairs.join(F.broadcast(named(hot, "hot")), F.col(of) == F.col("__hot"), "left")
+    rows = rows.withColumn("__at", F.when(F.col("__hot").isNull(), F.col(of)).otherwise(F.xxhash64("h", "w")))
+    rows = rows.join(named(words, "word"), F.col("__at") == F.col("__word"), "left")
+    return rows.select(*pairs.columns, *[F.coalesce(f"__hot_{c}", f"__word_{c}").alias(f"{of}_{c}") for c in ("t", "n")])
+
+
+def fit_all(df: DataFrame, target: str = "target", weight: float = 0.6, hot_words: int = 65_534) -> DataFrame:
+    """(key, n, target_log, background_log) of every bigram of the rows (text, target), a written table."""
+    spark = df.sparkSession
+    pairs, pairs_path = materialize(_bigrams(df, target), "lm-bigrams")
+    words, words_path = materialize(pairs.groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n")), "lm-words")
+    # Every token is the next one's history and texts begin and end with END: c(h) is c(w) of the same word.
+    size = words.agg(F.count("*").alias("words"), F.sum("t").alias("t"), F.sum("n").alias("n")).first()
+    hot = _within(words, hot_words)
+    found = _with_counts(_with_counts(pairs, words, hot, "h"), words, hot, "w")
+
+    def log(c: str) -> Column:
+        base = (F.col(f"w_{c}") + 1) / F.lit(float((size[c] or 0) + size["words"] + 1))
+        # A divisor of 1 where h has no rows: both branches may be evaluated.
+        seen = weight * F.col(c) / F.greatest(F.col(f"h_{c}"), F.lit(1)) + (1 - weight) * base
+        return F.log(F.when(F.col(f"h_{c}") > 0, seen).otherwise(base)).cast("float")
+
+    losses, _ = materialize(found.select(_key("h", "w").alias("key"), "n", log("t").alias("target_log"), log("n").alias("background_log")), "lm-losses")
+    drop_table(spark, pairs_path)
+    drop_table(spark, words_path)
+    return losses
+
+
+def score_all(df: DataFrame, losses: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", hot_bigrams: int = 1_000_000) -> DataFrame:
+    """The columns `keep`, n_words, target_loss and background_loss (means per token) and score of
+    rows that fit_all() has seen; a bigram that it has not seen is an error."""
+    keep = tuple(c for c in keep if c not in NAMES)
+    hot = _within(losses, hot_bigrams).orderBy("key").select("key", "target_log", "background_log").toArrow()  # at most hot_bigrams
+    shared = df.sparkSession.sparkContext.broadcast([c.to_numpy() for c in hot.columns])
+    own = [T.StructField("__size", T.LongType()), T.StructField("__t", T.DoubleType()), T.StructField("__b", T.DoubleType())]
+    own += [T.StructField("__keys", T.ArrayType(T.LongType())), T.StructField("__counts", T.ArrayType(T.LongType()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, *logs = shared.value
+        for batch in sliced(batches, "__text", 16 << 20):
+            flat, sizes, code = _hashed(batch.column("__text").to_pylist())
+            h = code[_before(flat)]
+            key = ((h << np.uint64(1) | h >> np.uint64(63)) ^ code[flat]).view(np.int64)
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            starts = np.cumsum(sizes) - sizes
+            sums = [np.add.reduceat(np.where(known, x[at].astype(np.float64), 0.0) if len(keys) else np.zeros(len(key)), starts) for x in logs]
+            row, key = np.repeat(np.arange(len(sizes)), sizes)[~known], key[~known]
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(key, prepend=0) != 0))
+            offsets = pa.array(np.searchsorted(row[first], np.arange(len(sizes) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (key[first], np.diff(first, append=len(key)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes), *map(pa.array, sums), *lists], names=[*keep, *(f.name for f in own)])
+
+    schema = T.StructType([*(df.schema[c] for c in keep), *own])
+    rows, _ = materialize(df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "lm-rows")
+    rest = rows.select("__row", F.inline(F.arrays_zip("__keys", "__counts"))).withColumnsRenamed({"__row": "__of", "__keys": "__key", "__counts": "__count"})
+    log = {c: F.coalesce(F.col(c), F.raise_error(F.lit("a bigram is not in the model")).cast("float")).cast("double") for c in ("target_log", "background_log")}
+    met = rest.join(losses, F.col("__key") == F.col("key"), "left")
+    sums = met.groupBy("__of").agg(F.sum(F.col("__count") * log["target_log"]).alias("__t2"), F.sum(F.col("__count") * log["background_log"]).alias("__b2"))
+    joined = rows.drop("__keys", "__counts").join(sums, F.col("__row") == F.col("__of"), "left")
+    loss = {c: -(F.col(f"__{c}") + F.coalesce(f"__{c}2", F.lit(0.0))) / F.col("__size") for c in "tb"}
+    return joined.select(*keep, (F.col("__size") - 1).alias("n_words"), loss["t"].alias("target_loss"), loss["b"].alias("background_loss"), (loss["t"] - loss["b"]).alias("score"))
