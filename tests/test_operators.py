@@ -68,6 +68,20 @@ def test_approximate_neighbours_recall(spark, sf):
     assert exact.join(found, ["q_id", "n_id"]).count() >= 0.9 * exact.count()
 
 
+def test_registered_approximate_neighbours_recall(spark):
+    """The query as registered, against all other rows."""
+    import __spark_entry__ as entry
+    from textengine.plans import views
+
+    d = "/root/testdata/sf0.01"
+    v = views.dense(spark, d)
+    exact = J.dense_topk(v.where("id % 20 = 0"), v, 10, same=True).select("q_id", "n_id")
+    found = entry.queries()["jn_19_approx_topk"](spark, d).select("q_id", "n_id")
+    wanted, met = exact.count(), exact.join(found, ["q_id", "n_id"]).count()
+    print(f"recall {met} of {wanted}")
+    assert wanted > 0 and met >= 0.9 * wanted
+
+
 def test_probabilities_sum_to_one(spark):
     nbrs = spark.createDataFrame([(q, r, 1.0 / r, c) for q in range(5) for r, c in enumerate("abcab", 1)], "q_id long, rank int, sim double, class string")
     for p in (E.knn_vote(nbrs, 5, 2), E.knn_softvote(nbrs, 5, 0.1), D.apply_temperature(E.knn_vote(nbrs, 5, 2), 2.0)):
