@@ -23,6 +23,20 @@ def test_greedy_dedup_follows_row_order(spark):
     assert got == set(range(60)) - dropped
 
 
+def test_registered_greedy_dedup_keeps_what_is_no_near_copy(spark, sf):
+    import __spark_entry__ as entry
+    from textengine.plans import neighbours, rows
+
+    w = neighbours.all_w(spark, sf)
+    near = {tuple(sorted((r["q_id"], r["n_id"]))) for r in J.sim_join(w, w, 0.85, 2.0, same=True).collect()}
+    dropped = set()
+    for a, b in sorted(near):
+        if a not in dropped:
+            dropped.add(b)
+    every = {r["id"] for r in rows.docs(spark, sf).select("id").collect()}
+    assert {r["id"] for r in entry.queries()["dd_03_greedy_dedup"](spark, sf).collect()} == every - dropped
+
+
 def test_families_are_components_in_any_order(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (20, 21)]
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 7, 8, 9, 20, 21, 30)], "id long")

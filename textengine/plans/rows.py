@@ -110,7 +110,7 @@ def close_pairs(spark, d, low: float = 0.3):
 
 @query("dd_03_greedy_dedup")
 def dd_03(spark, d):
-    return P.greedy_dedup(docs(spark, d), close_pairs(spark, d)).select("id")
+    return P.greedy_dedup(docs(spark, d), close_pairs(spark, d, 0.85)).select("id")
 
 
 @query("dd_04_drop_reasons", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN g.sparse >= 0.3 THEN 'near_test' WHEN length(c.text) < 100 THEN 'short' WHEN c.queue = 'src1' THEN 'copies_seed' ELSE 'kept' END AS reason FROM v_clean c LEFT JOIN v_guard g ON g.id = c.id) GROUP BY reason")
