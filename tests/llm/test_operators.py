@@ -99,6 +99,24 @@ def test_outliers_are_robust(spark):
     assert kept == set(range(400))
 
 
+def test_repeated_lines_are_outliers(spark):
+    """A document of repeated lines that passes the base rules is rejected, clean ones are kept."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdef"), rng.integers(2, 8)))
+    lines = lambda n: [" ".join(word() for _ in range(4)) for _ in range(n)]
+    clean = ["\n".join(lines(rng.integers(8, 22))) for _ in range(400)]
+    copies = []
+    for _ in range(10):
+        same = lines(1)[0]
+        # Lines between the copies keep runs of five words apart, as the base rules count those.
+        copies.append("\n".join(x for fresh in lines(12) for x in (same, fresh)))
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(clean + copies)], "doc_id long, text string, lang string, source string")
+    rows = mcd.quality(df).collect()
+    assert not any(r["base_failed"] for r in rows)
+    assert {r["doc_id"] for r in rows if r["kept"]} == set(range(400))
+    assert math.isclose(mcd.CUTOFF**2, 12.8325, rel_tol=1e-4)
+
+
 def shingles(t):
     w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
     return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])

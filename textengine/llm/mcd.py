@@ -3,7 +3,9 @@
 Rows that pass the base rules are judged by a vector of transformed statistics. Per language
 and source the minimum-covariance-determinant estimate gives the centre and the spread of the
 bulk (a share `bulk` of the group); rows whose Mahalanobis distance exceeds `cutoff` standard
-deviations are rejected.
+deviations are rejected. The cutoff is the usual one, the root of the 97.5 % point of chi-square
+with one degree of freedom per statistic. The floors below only shorten distances, so fewer than
+2.5 % of normal rows go.
 
 The estimate is made by concentration steps from medians and absolute deviations. Each step is one
 aggregation: the rows of a group are summed per distance bin, with map-side partial sums, and
@@ -40,6 +42,8 @@ FEATURES = (
     ("repeats", "n_repeat_words / greatest(n_words, 1)", 0.05),
 )
 P = len(FEATURES)
+#: Fixed value: root of 12.8325, the 97.5 % point of chi-square with five degrees of freedom.
+CUTOFF = 3.5822
 #: Distances are binned at 64 bins for each doubling of the square, values at 256 bins for each unit.
 _DISTANCE_BINS, _VALUE_BINS = 64, 256
 
@@ -150,7 +154,7 @@ def with_group(rows: DataFrame, own: DataFrame) -> DataFrame:
     return rows.drop("group").join(known, both, "left").withColumn("group", F.coalesce("group", F.lit("*"))).drop("l2", "s2")
 
 
-def judge(stats: DataFrame, model: DataFrame, own: DataFrame, cutoff: float = 12.0) -> DataFrame:
+def judge(stats: DataFrame, model: DataFrame, own: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Add base_failed, distance (Mahalanobis; null without an estimate) and kept."""
     names = [c for c in stats.columns if c not in ("base_failed", "distance", "kept", "group")]
     rows = with_group(with_features(stats.select(names)), own)
@@ -160,7 +164,7 @@ def judge(stats: DataFrame, model: DataFrame, own: DataFrame, cutoff: float = 12
     return found.select(*names, "base_failed", "distance", kept.alias("kept"))
 
 
-def quality(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cutoff: float = 12.0) -> DataFrame:
+def quality(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """Statistics, base_failed, distance and kept of every row, beside its columns `keep`.
 
     The statistics of the fit are written once, without texts; if `keep` holds the text they
