@@ -314,6 +314,20 @@ def test_winnowing(spark, docs):
         assert follow[i] in [r["next_text"] for r in near if r["doc_id"] == i]
 
 
+def test_winnowing_without_blanks(spark):
+    """A passage shared at any offset of a run without blanks is met; short words are cut as before."""
+    rng = np.random.default_rng(6)
+    run = lambda n: "".join(chr(x) for x in rng.integers(0x4E00, 0x9FA5, n))
+    passage = run(60)
+    made = [(i, run(40 + i) + passage + run(40), run(40) + passage + run(40 + i)) for i in range(8)]
+    f = lambda c: winnow.fingerprint(F.col(c))
+    got = spark.createDataFrame(made, "i int, a string, b string").select("i", winnow.likeness(f("a"), f("b")).alias("near")).collect()
+    assert all(r["near"] > 0.1 for r in got)
+    words = " ".join("abcdefghijklmnopq"[:n] for n in range(1, 18))
+    cut = spark.createDataFrame([(words,)], "t string").select(F.regexp_extract_all("t", F.lit(winnow.TOKEN), F.lit(0)).alias("t")).first()["t"]
+    assert cut == [x for w in words.split() for x in (re.findall(r"\S{1,4}", w) if len(w) < 17 else w)]
+
+
 def test_winnowing_query(spark, sf):
     d = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     ids = sorted(d, reverse=True)

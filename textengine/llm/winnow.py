@@ -1,9 +1,13 @@
 """Operator 9 [native]: document fingerprints by winnowing.
 
-A text is cut into tokens of up to four characters at word starts; each run of `k` tokens is
+A text is cut into tokens: words of up to 16 characters into pieces of up to four from the word's
+start, longer runs without blanks (Chinese, Japanese, Thai, long strings) into single characters,
+so that the place of a passage in such a run doesn't matter. Each run of `k` tokens is
 hashed, and of every `window` neighbouring hashes the least is chosen, the rightmost where
 several are equal. Chosen hashes are kept with their positions: two texts that share
 window + k - 1 tokens in a row share a fingerprint, and fewer than k shared tokens never count.
+At its two ends a shared passage may be cut into other tokens where its first or last run is
+longer in one text than in the other.
 
 Everything is a column expression. A text shorter than k tokens has the hash of all its tokens,
 a null text counts as empty, and an empty text has an empty fingerprint. Two empty fingerprints
@@ -25,7 +29,8 @@ from .common import materialize
 #: down, so that the least value is the least hash at its rightmost place.
 _PLACE_BITS = 28
 _PLACES = (1 << _PLACE_BITS) - 1
-TOKEN = r"\S{1,4}"
+#: Pieces at offsets 0, 4, 8 and 12 of a run of up to 16 characters, else one character.
+TOKEN = "|".join([*(rf"(?<=(?<!\S)\S{{{at}}})(?!\S{{{17 - at}}})\S{{1,4}}" for at in (0, 4, 8, 12)), r"\S"])
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
