@@ -72,6 +72,32 @@ def test_pair_index_orders_overlaps_as_the_library():
     assert [library.encode(w, add_special_tokens=False).ids for w in words] == [own.encode(w) for w in words]
 
 
+def test_bpe_equals_the_library_on_odd_characters():
+    """Capitals and letters of new Unicode versions, combining marks, blanks, controls, contractions, special tokens."""
+    rng = np.random.default_rng(8)
+    library, own = Tokenizer.from_file(PATH), bpe.PairIndexBpe(PATH)
+    spans = (0, 0x250), (0x300, 0x400), (0x1C80, 0x1C90), (0x2000, 0x2070), (0xA7C0, 0xA7F8), (0x10D40, 0x10D90), (0x16EA0, 0x16ED4), (0x3040, 0x3060)
+    pool = [chr(c) for a, b in spans for c in range(a, b)] + list(" ab'sdßÉ<|>10\n") * 40
+    texts = ["".join(rng.choice(pool, rng.integers(0, 40))) + str(rng.choice(["", "<|endoftext|>x", " it's we'll", "<|ENDOFTEXT|>"])) for _ in range(4000)]
+    counts, shown = bpe.Encoder(own, ("words", "decoded")).run(bpe.pa.array(texts))
+    at, ids = shown["words"][0] // 4, np.frombuffer(shown["words"][1], "<u4")
+    for i, want in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[i] : at[i + 1]].tolist() == want.ids and counts[i] == len(want.ids)
+
+
+def test_bpe_cache_over_batches_and_clashing_columns(docs, monkeypatch):
+    library, encoder = Tokenizer.from_file(PATH), bpe.Encoder(bpe.PairIndexBpe(PATH), ("words",))
+    monkeypatch.setattr(bpe, "CACHE_UNITS", 40)
+    for k in range(30):
+        texts = [f"word{k % 7} again {k} \u00a0x", None, ""]
+        counts, shown = encoder.run(bpe.pa.array(texts))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == list(map(len, want)) and np.frombuffer(shown["words"][1], "<u4").tolist() == sum(want, [])
+    named = docs.select("doc_id", "text", F.lit("mine").alias("n_tokens"), F.lit(1).alias("decoded"))
+    got = bpe.encode_decode(named, PATH, keep=("doc_id", "n_tokens", "decoded"))
+    assert got.columns == ["doc_id", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"] and dict(got.dtypes)["n_tokens"] == "bigint"
+
+
 def brute_stats(t):
     words = WORD.findall(t or "")
     lines = [x for x in (t or "").split("\n") if WORD.search(x)]
@@ -207,6 +233,16 @@ def test_coder_round_trip(n):
     assert len(token_files.encode_block(np.resize([5, 6, 7, 255], 4000), 49408)) < 3000
 
 
+def test_coder_gains_on_real_documents(spark):
+    """Orders 1 and 2 gain over order 0 (its entropy is a bound that knows all counts beforehand)."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toArrow().column(0).combine_chunks()
+    ids = np.frombuffer(bpe.Encoder(bpe.PairIndexBpe(PATH), ("words",)).run(rows)[1]["words"][1], "<u4")
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    block = token_files.encode_block(ids, 49408)
+    assert (token_files.decode_block(block) == ids).all()
+    assert 8 * len(block) / len(ids) < 1.02 * -(share * np.log2(share)).sum()
+
+
 def test_token_files(spark, docs, none):
     library, target = Tokenizer.from_file(PATH), f"{shared_dir(spark)}/token-test"
     some = docs.where("doc_id IS NOT NULL")

@@ -25,7 +25,6 @@ import gc
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,28 +33,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .bpe import CACHE_CHUNKS, PairIndexBpe, gather
+from .bpe import Encoder, PairIndexBpe
 from .common import sliced
 
 _MAGIC, _HEADER = b"TEXR", struct.Struct("<4sQIIIII")
 _BASE = 18  # bits of the order-0 distribution
 _WEIGHT = 10  # bits of the mixing weights
 _TOTAL = np.uint64(_BASE + _WEIGHT)
-_PAIRS = 18  # bits of the order-2 table
+_PAIRS = 20  # bits of the order-2 table
 _RUNS = 8  # run lengths that are told apart
 _WORD, _HALF = np.uint64(32), np.uint64(0xFFFFFFFF)
 LANES, LEAST_STEPS = 4096, 64
 SCHEMA = "part int, block long, tokens_before long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-#: Run length after a miss (row 0) and a hit (row 1); the last column is that of -1, never seen.
-_NEXT_RUN = np.array([[max(r - 1, 0) for r in range(_RUNS)] + [0], [min(r + 1, _RUNS - 1) for r in range(_RUNS)] + [0]], np.int8)
-
-
-#: Cell of the mixing table for both run lengths (order 2, order 1), and which cells have a candidate.
-_CELL = np.array([[(b * (_RUNS + 1) + a) * 2 for a in [*range(1, _RUNS + 1), 0]] for b in [*range(1, _RUNS + 1), 0]], np.int32)
-_SEEN1 = (np.arange((_RUNS + 1) ** 2 * 2) // 2 % (_RUNS + 1) > 0).astype(np.int32)
-_SEEN2 = (np.arange((_RUNS + 1) ** 2 * 2) // 2 // (_RUNS + 1) > 0).astype(np.int32)
+#: Run lengths are kept as 0 (nothing seen yet) to _RUNS. What follows a miss, and behind it what follows a hit.
+_SPAN = _RUNS + 1
+_NEXT_RUN = np.array([1, *(max(r - 1, 1) for r in range(1, _SPAN)), 1, *(min(r + 1, _RUNS) for r in range(1, _SPAN))], np.int8)
+#: A cell of the mixing table is both run lengths (order 2, order 1) and whether the candidates agree.
+_CELLS = 2 * _SPAN * _SPAN
+_SEEN1 = (np.arange(_CELLS) // 2 % _SPAN > 0).astype(np.int32)
+_SEEN2 = (np.arange(_CELLS) // 2 // _SPAN > 0).astype(np.int32)
+#: Steps from one update of the mixing weights to the next.
+_MIX_STEPS = 4
 
 
 class _Model:
@@ -65,23 +65,33 @@ class _Model:
         if vocab > 1 << (_BASE - 1):
             raise ValueError("the vocabulary is too large for the order-0 distribution")
         self.vocab = vocab
-        self.counts = np.zeros(vocab, np.int64)
-        self.seen, self.due = 0, 0
-        self.next1, self.run1 = np.zeros(vocab, np.int32), np.full(vocab, -1, np.int8)
-        self.next2, self.run2 = np.zeros(1 << _PAIRS, np.int32), np.full(1 << _PAIRS, -1, np.int8)
-        cells = (_RUNS + 1) ** 2 * 2
-        self.tried, self.right1, self.right2 = np.full(cells, 4.0), np.full(cells, 0.4), np.full(cells, 0.8)
+        self.counts, self.fresh = np.zeros(vocab, np.int64), []
+        self.seen, self.due, self.step = 0, 0, 0
+        self.next1, self.run1 = np.zeros(vocab, np.int32), np.zeros(vocab, np.int8)
+        self.next2, self.run2 = np.zeros(1 << _PAIRS, np.int32), np.zeros(1 << _PAIRS, np.int8)
+        self.tried, self.right1, self.right2 = np.full(_CELLS, 4.0), np.full(_CELLS, 0.4), np.full(_CELLS, 0.8)
+        self.weigh()
+
+    def weigh(self) -> None:
+        """Weights of orders 1 and 2 by cell, as shares of the whole mixture; a candidate that was never seen has none."""
+        scale = ((1 << _WEIGHT) - 24) / self.tried
+        self.weight1 = (self.right1 * scale).astype(np.int32) * _SEEN1 << _BASE
+        self.weight2 = (self.right2 * scale).astype(np.int32) * _SEEN2 << _BASE
+        self.weight0 = (1 << _WEIGHT) - ((self.weight1 + self.weight2) >> _BASE)
 
     def order0(self) -> None:
+        if self.fresh:
+            self.counts += np.bincount(np.concatenate(self.fresh), minlength=self.vocab)
+            self.fresh = []
         spare = (1 << _BASE) - self.vocab
-        self.freq = 1 + self.counts * spare // max(1, self.seen)
+        freq = 1 + self.counts * spare // max(1, self.seen)
         if self.seen:
-            self.freq[int(self.freq.argmax())] += (1 << _BASE) - int(self.freq.sum())
+            freq[int(freq.argmax())] += (1 << _BASE) - int(freq.sum())
         else:
-            self.freq[:] = (1 << _BASE) // self.vocab
-            self.freq[0] += (1 << _BASE) - int(self.freq.sum())
-        self.below = (np.cumsum(self.freq) - self.freq).astype(np.int32)
-        self.freq = self.freq.astype(np.int32)
+            freq[:] = (1 << _BASE) // self.vocab
+            freq[0] += (1 << _BASE) - int(freq.sum())
+        self.below = (np.cumsum(freq) - freq).astype(np.int32)
+        self.freq = freq.astype(np.int32)
         self.symbol = None
         self.due = self.seen + max(1, min(self.seen, 1 << 17))
 
@@ -96,17 +106,22 @@ class _Model:
             self.order0()
         self.last, self.pair = last, pair
         self.c1, self.r1, self.c2, self.r2 = self.next1.take(last), self.run1.take(last), self.next2.take(pair), self.run2.take(pair)
-        self.cell = _CELL[self.r2, self.r1] + (self.c1 == self.c2)
-        scale = ((1 << _WEIGHT) - 24) / self.tried
-        # Weights as shares of the whole mixture; a candidate that was never seen (run -1) has none.
-        self.w1 = (self.right1 * scale).astype(np.int32) * _SEEN1 << _BASE
-        self.w2 = (self.right2 * scale).astype(np.int32) * _SEEN2 << _BASE
-        self.w1, self.w2 = self.w1.take(self.cell), self.w2.take(self.cell)
-        self.w0 = (1 << _WEIGHT) - ((self.w1 + self.w2) >> _BASE)
+        cell = self.r2.astype(np.int16)
+        cell *= _SPAN
+        cell += self.r1
+        cell *= 2
+        cell += self.c1 == self.c2
+        self.cell = cell
+        self.w1, self.w2, self.w0 = self.weight1.take(cell), self.weight2.take(cell), self.weight0.take(cell)
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = self.w0 * self.below.take(x) + self.w1 * (self.c1 < x) + self.w2 * (self.c2 < x)
-        wide = self.w0 * self.freq.take(x) + self.w1 * (self.c1 == x) + self.w2 * (self.c2 == x)
+        self.hit1, self.hit2 = self.c1 == x, self.c2 == x
+        low = self.w0 * self.below.take(x)
+        low += self.w1 * (self.c1 < x)
+        low += self.w2 * (self.c2 < x)
+        wide = self.w0 * self.freq.take(x)
+        wide += self.w1 * self.hit1
+        wide += self.w2 * self.hit2
         return low, wide
 
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,30 +129,37 @@ class _Model:
         low1, wide1 = self.interval(self.c1)
         low2, wide2 = self.interval(self.c2)
         up1, up2 = v >= low1 + wide1, v >= low2 + wide2
-        jump = self.w1 * up1 + self.w2 * up2
+        jump = self.w1 * up1
+        jump += self.w2 * up2
         x = self.symbols().take((v - jump) // self.w0, mode="clip")
-        low, wide = self.w0 * self.below.take(x) + jump, self.w0 * self.freq.take(x)
+        low, wide = self.w0 * self.below.take(x), self.w0 * self.freq.take(x)
+        low += jump
         for at, c, lo, wi in ((np.flatnonzero((v >= low2) & ~up2), self.c2, low2, wide2), (np.flatnonzero((v >= low1) & ~up1), self.c1, low1, wide1)):
             x[at], low[at], wide[at] = c[at], lo[at], wi[at]
+        self.hit1, self.hit2 = self.c1 == x, self.c2 == x
         return x, low, wide
 
     def learn(self, x: np.ndarray) -> np.ndarray:
-        """Take in the ids of a step; returns the next pairs."""
-        hit1, hit2 = self.c1 == x, self.c2 == x
-        cells = len(self.tried)
-        self.tried += np.bincount(self.cell, minlength=cells)
-        self.right2 += np.bincount(self.cell[hit2], minlength=cells)
-        self.right1 += np.bincount(self.cell[hit1 & ~hit2], minlength=cells)
+        """Take in the ids of a step, after interval() or find(); returns the next pairs."""
+        hit1, hit2 = self.hit1, self.hit2
+        if self.step % _MIX_STEPS == 0:
+            self.tried += np.bincount(self.cell, minlength=_CELLS)
+            self.right2 += np.bincount(self.cell[hit2], minlength=_CELLS)
+            self.right1 += np.bincount(self.cell[hit1 & ~hit2], minlength=_CELLS)
+            self.weigh()
+        self.step += 1
         for at, follow, runs, run, hit in ((self.last, self.next1, self.run1, self.r1, hit1), (self.pair, self.next2, self.run2, self.r2, hit2)):
-            fresh = np.flatnonzero(~hit & (run <= 0))
+            fresh = np.flatnonzero((run <= 1) > hit)
             follow[at[fresh]] = x[fresh]
-            runs[at] = _NEXT_RUN[hit.view(np.int8), run]
-        self.counts += np.bincount(x, minlength=self.vocab) if len(x) * 8 > self.vocab else 0
-        if len(x) * 8 <= self.vocab:
-            np.add.at(self.counts, x, 1)
+            turn = hit.view(np.int8) * np.int8(_SPAN)
+            turn += run
+            runs[at] = _NEXT_RUN.take(turn)
+        self.fresh.append(x)
         self.seen += len(x)
-        mixed = self.last.view(np.uint32) * np.uint32(0x9E3779B1) + x.view(np.uint32) * np.uint32(0x85EBCA77)
-        return (mixed >> np.uint32(32 - _PAIRS)).view(np.int32)
+        mixed = self.last.view(np.uint32) * np.uint32(0x9E3779B1)
+        mixed += x.view(np.uint32) * np.uint32(0x85EBCA77)
+        mixed >>= np.uint32(32 - _PAIRS)
+        return mixed.view(np.int32)
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -242,39 +264,42 @@ def write_files(df: DataFrame, target: str, tokenizer: str, end_id: int = 2, blo
     ordered = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the index holds no cycles, and each collection would walk it whole
-        part, bpe, index = TaskContext.get().partitionId(), PairIndexBpe(tokenizer), {}
-        vocab = max(max(bpe.tokens), end_id) + 1
-        nothing = np.zeros(0, np.int64)
-        flat = counts = nothing
-        block, before, keys, rows, held = 0, 0, [], [], 0
-        end = np.array([end_id], np.int64)
+        gc.disable()  # the caches hold no cycles, and each collection would walk them whole
+        part, bpe = TaskContext.get().partitionId(), PairIndexBpe(tokenizer)
+        encoder, vocab = Encoder(bpe, ("words",)), max(max(bpe.tokens), end_id) + 1
+        block, before = 0, 0
+        keys, lengths, ids = [], [], []
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate(rows)
-            values = [[part], [block], [before], [len(ids)], [keys], [[len(r) for r in rows]], [encode_block(ids, vocab)]]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
-
+            nonlocal block, before
+            flat, n = np.concatenate(ids), np.concatenate(lengths)
+            one = [pa.array([v], k) for v, k in ((part, pa.int32()), (block, pa.int64()), (before, pa.int64()), (len(flat), pa.int64()))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), v) for v in (pa.concat_arrays(keys), pa.array(n))]
+            block, before = block + 1, before + len(flat)
+            keys.clear(), lengths.clear(), ids.clear()
+            return pa.RecordBatch.from_arrays([*one, *lists, pa.array([encode_block(flat, vocab)], pa.binary())], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+        held = 0
         for batch in sliced(batches, "text", 16 << 20):
-            if len(index) > CACHE_CHUNKS:
-                index, flat, counts = {}, nothing, nothing
-            known, add = len(index), index.setdefault
-            # Every distinct chunk has a number; codes are the numbers of a text's chunks.
-            texts = [[add(c, len(index)) for c in bpe.chunks(t or "")] for t in batch.column("text").to_pylist()]
-            ids, n = bpe.encode_flat(list(islice(index, known, None)))
-            flat, counts = np.concatenate((flat, ids)), np.concatenate((counts, n))
-            starts = np.cumsum(counts) - counts
-            for k, codes in zip(batch.column("key").to_pylist(), texts):
-                row = np.concatenate((gather(flat, starts, counts, np.array(codes, np.int64)), end))
-                keys.append(k)
-                rows.append(row)
-                held += len(row)
+            counts, shown = encoder.run(batch.column("text"))
+            n = counts + 1
+            ends = np.cumsum(n)
+            flat = np.full(int(ends[-1]), end_id, np.uint32)
+            inside = np.ones(len(flat), bool)
+            inside[ends - 1] = False
+            flat[inside] = np.frombuffer(shown["words"][1], "<u4")
+            at = 0
+            while at < len(n):  # whole rows until the block has enough ids
+                upto = min(len(n), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block_tokens - held)) + 1)
+                keys.append(batch.column("key").slice(at, upto - at))
+                lengths.append(n[at:upto])
+                ids.append(flat[ends[at] - n[at] : ends[upto - 1]])
+                held += len(ids[-1])
+                at = upto
                 if held >= block_tokens:
                     yield flush()
-                    block, before, keys, rows, held = block + 1, before + held, [], [], 0
-        if rows:
+                    held = 0
+        if ids:
             yield flush()
         gc.enable()
 
