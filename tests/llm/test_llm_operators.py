@@ -143,6 +143,65 @@ def test_repeated_lines_are_outliers(spark):
     assert math.isclose(mcd.CUTOFF**2, 12.8325, rel_tol=1e-4)
 
 
+def plain_mcd(x, h_share=0.75, starts=60):
+    """Exact concentration steps on sorted distances from many starts: (centre, covariance) of least determinant."""
+    rng, n, floors = np.random.default_rng(0), len(x), np.diag(mcd._FLOORS)
+    h, best = math.ceil(h_share * n), None
+    for k in range(starts):
+        some = x if k == 0 else x[rng.choice(n, min(n, mcd.P + 1), replace=False)]
+        centre, cov = some.mean(0), np.cov(some.T, bias=True) + floors
+        for _ in range(100):
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            near = x[np.argsort(d, kind="stable")[:h]]
+            was, centre, cov = cov, near.mean(0), np.cov(near.T, bias=True) * mcd._WIDEN + floors
+            if np.allclose(was, cov, atol=1e-12):
+                break
+        if best is None or np.linalg.det(cov) < best[0] - 1e-15:
+            best = np.linalg.det(cov), centre, cov - floors
+    return best[1:]
+
+
+def test_estimates_equal_plain_ones_at_every_size(spark):
+    rng = np.random.default_rng(11)
+    rows, n_of = [], {("en", "a"): 5, ("en", "b"): 30, ("en", None): 199, ("de", "a"): 200, ("de", "b"): 1000, (None, None): 40}
+    for (lang, source), n in n_of.items():
+        for i in range(n):
+            words = int(np.exp(rng.normal(5 + 0.4 * (lang == "de"), 0.7))) + 30
+            junk = rng.random() < 0.06
+            chars, lines = int(words * rng.normal(9 if junk else 5.2, 0.3)), max(1, words // 9)
+            rows.append((len(rows), lang, source, words, chars, int(chars * (0.3 if junk else abs(rng.normal(0, 0.004)))), lines, int(lines * abs(rng.normal(0, 0.03))), int(words * min(0.15, abs(rng.normal(0, 0.02))))))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in stats.NAMES))
+    got = {r["doc_id"]: r for r in mcd.judge(df, mcd.fit(df)).collect()}
+    features = {r["doc_id"]: np.array([r[f"x{i}"] for i in range(mcd.P)]) for r in mcd.with_features(df).collect()}
+    lift = lambda ids: np.array([features[i] for i in ids])
+    parent = {lang: plain_mcd(lift([r[0] for r in rows if r[1] == lang])) for lang in ("en", "de", None)}
+    top, same, wrong = plain_mcd(lift([r[0] for r in rows])), 0, 0
+
+    def lean(n, mine, over):
+        w, apart = n / (n + 50.0), mine[0] - over[0]
+        return w * mine[0] + (1 - w) * over[0], w * mine[1] + (1 - w) * over[1] + w * (1 - w) * np.outer(apart, apart)
+
+    for (lang, source), n in n_of.items():
+        ids = [r[0] for r in rows if (r[1], r[2]) == (lang, source)]
+        of_lang = sum(m for (x, _), m in n_of.items() if x == lang)
+        centre, cov = lean(n, plain_mcd(lift(ids)), lean(of_lang, parent[lang], top))
+        inverse = np.linalg.inv(cov + np.diag(mcd._FLOORS))
+        for i in ids:
+            d = math.sqrt((features[i] - centre) @ inverse @ (features[i] - centre))
+            assert abs(got[i]["distance"] - d) < 0.12 * d + 0.05
+            # Verdicts may differ only at the cutoff itself: bulks are taken in bins of distance.
+            assert got[i]["kept"] == (d <= mcd.CUTOFF) or abs(d - mcd.CUTOFF) < 0.15
+            junk = rows[i][5] > 0.2 * rows[i][4]
+            wrong += junk == got[i]["kept"]
+    assert wrong < 0.03 * len(rows)
+
+
+def test_kept_columns_named_like_features(spark, docs):
+    named = docs.select("doc_id", "text", "lang", "source", F.lit("mine").alias("x0"), F.lit(7).alias("m1"), F.lit("a").alias("group"), F.lit(2).alias("n"))
+    got = mcd.quality(named, keep=("doc_id", "x0", "m1", "group", "n", "lang"))
+    assert {tuple(r)[1:5] for r in got.collect()} == {("mine", 7, "a", 2)} and got.columns[:6] == ["doc_id", "x0", "m1", "group", "n", "lang"]
+
+
 def shingles(t):
     w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
     return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])
