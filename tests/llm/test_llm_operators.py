@@ -348,18 +348,77 @@ def test_mix(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def brute_seats(target, sizes, block_words, shards, limit=3):
+    """Seats of each source in the first j + 1 shards, by awarding seat after seat to the highest quotient."""
+    house, out = int(sum(sizes.values()) / block_words + 0.5), []
+    order = sorted((s for s in target if s is not None)) + [None] * (None in target)
+    won = dict.fromkeys(order, 0)
+    for n in range(1, house + 1):
+        free = [s for s in order if won[s] < limit * -(-sizes[s] // block_words) and target[s] > 0]
+        if free:
+            won[max(free, key=lambda s: target[s] / (2 * won[s] + 1))] += 1
+        for j in range(len(out), shards):
+            if n == house * (j + 1) // shards:
+                out.append(dict(won))
+    return out
+
+
 def test_quotas_are_highest_quotients(spark):
-    sources = mixing.with_targets(spark.createDataFrame([("a", 500), ("b", 100), ("c", 900), (None, 300)], "source string, source_size long"), (5, 2, 1), 3)
+    sizes = {"a": 500, "b": 100, "c": 900, None: 300, "d": 7, "e": 1}
+    sources = mixing.with_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5, 2, 1), 3)
     target = {r["source"]: r["target"] for r in sources.collect()}
-    got = mixing.quotas(sources, 10, 3).collect()
-    seats = round(sum(target.values()) / 10)
-    best = sorted(((t / (2 * k + 1), s) for s, t in target.items() for k in range(seats)), key=lambda x: -x[0])[:seats]
-    assert {r["source"]: r["seats"] for r in got} == Counter(s for _, s in best)
+    got = {(r["source"], r["shard"]): r for r in mixing.quotas(sources, 10, 3, 3).collect()}
+    want = brute_seats(target, sizes, 10, 3)
+    assert {k: r["upto"] for k, r in got.items()} == {(s, j): n for j, won in enumerate(want) for s, n in won.items()}
     by_shard = Counter()
-    for r in got:
-        assert r["quota"] >= 0
-        by_shard[r["shard"]] += r["quota"]
-    assert max(by_shard.values()) - min(by_shard.values()) <= 1
+    for (_, j), r in got.items():
+        by_shard[j] += r["quota"]
+    assert max(by_shard.values()) - min(by_shard.values()) <= 1 and sum(by_shard.values()) == round(sum(sizes.values()) / 10)
+
+
+def spark_hash(*values):
+    """xxhash64() of SQL over ints (as int), longs (as numpy) and strings; nulls are passed over."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else int(v).to_bytes(4 if type(v) is int else 8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_mix_equals_seat_by_seat(spark, docs, shards):
+    some = docs.where("doc_id <> 9")  # the long text would be slow in plain Python
+    block, seed, streams = 8, 17, {}
+    for r in some.select("doc_id", "text", "source").collect():
+        i = None if r["doc_id"] is None else np.int64(r["doc_id"])
+        streams.setdefault(r["source"], []).append((spark_hash(seed, r["text"], i, r["source"]), len(WORD.findall(r["text"] or "")), str(r["doc_id"])))
+    got = mixing.mix(some, shards=shards, keep=("doc_id", "source"), cell_rows=2).collect()
+    target, sizes = {r["source"]: r["target"] for r in got}, {s: sum(x[1] for x in v) for s, v in streams.items()}
+    upto, want = brute_seats(target, sizes, block, shards), []
+    for source, rows in streams.items():
+        rows.sort()
+        owner = [n for n, (_, size, _) in enumerate(rows) for _ in range(size)]
+        blocks = max(1, -(-len(owner) // block))
+        keys = [spark_hash(seed, source or "", r) % blocks for r in range(1, mixing._ROUNDS + 1)]
+        block_at = {}
+        for b in range(blocks):
+            x = b
+            for k in keys:
+                partner = (k - x) % blocks
+                x = partner if spark_hash(np.int64(max(x, partner)), np.int64(k)) & 1 else x
+            block_at[x] = b
+        assert sorted(block_at) == list(range(blocks))
+        taken = [[0] * shards for _ in rows]
+        for t in range(upto[-1][source]):
+            shard = next(j for j in range(shards) if t < upto[j][source])
+            b = block_at[t % blocks]
+            for n in owner[b * block : (b + 1) * block]:
+                taken[n][shard] += 1
+        want += [(rows[n][2], rows[n][1], str(taken[n]), sum(taken[n])) for n in range(len(rows))]
+    assert sorted((str(r["doc_id"]), r["size"], str(r["shard_taken"]), r["taken"]) for r in got) == sorted(want)
 
 
 def test_language_id(spark, docs, none):
