@@ -1,8 +1,11 @@
 """Properties of operators that SQL can't compare, and cases with known results."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from textengine.functions import text as X
 from textengine.operators import decide as D
 from textengine.operators import evidence as E
 from textengine.operators import families, metrics, monitor, split
@@ -78,7 +81,7 @@ def test_approximate_neighbours_recall(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     q = v.where("id % 20 = 0")
     exact = J.dense_topk(q, v, 10, same=True).select("q_id", "n_id")
-    found = J.approx_topk(q, v, 10, tables=40, bits=4).select("q_id", "n_id")
+    found = J.approx_topk(q, v, 10).select("q_id", "n_id")
     assert exact.join(found, ["q_id", "n_id"]).count() >= 0.9 * exact.count()
 
 
@@ -92,8 +95,37 @@ def test_registered_approximate_neighbours_recall(spark):
     exact = J.dense_topk(v.where("id % 20 = 0"), v, 10, same=True).select("q_id", "n_id")
     found = entry.queries()["jn_19_approx_topk"](spark, d).select("q_id", "n_id")
     wanted, met = exact.count(), exact.join(found, ["q_id", "n_id"]).count()
-    print(f"recall {met} of {wanted}")
-    assert wanted > 0 and met >= 0.9 * wanted
+    # 100 candidates a query are scored, 20 % of the 500 rows here and a smaller share of larger tables.
+    assert wanted > 0 and met >= 0.95 * wanted
+
+
+def test_places_in_hash_order(spark):
+    """Cells of the hash give the same places as one sort, per class (also null) and over all rows."""
+    from textengine.operators import split as P
+
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else "ab"[i % 2]) for i in range(400)], "id long, queue string")
+    for by in ("queue", None):
+        got = P.placed(rows, by, 3).collect()
+        want = {}
+        for r in sorted(rows.collect(), key=lambda r: (hashlib.md5(f"{r['id']}-3".encode()).hexdigest(), r["id"])):
+            want.setdefault(r["queue"] if by else 0, []).append(r["id"])
+        for r in got:
+            ids = want[r["queue"] if by else 0]
+            assert ids[r["__p"] - 1] == r["id"] and r["__nc"] == len(ids)
+
+
+def test_short_prefixes_are_found(spark):
+    from textengine.operators import quality as Q
+
+    a = spark.createDataFrame([(1, "ab cd"), (2, "x"), (3, "one two three four"), (4, ""), (5, "zz"), (6, None)], "id long, text string")
+    b = spark.createDataFrame([(10, "xab cdy"), (11, "none"), (12, "say one two three four"), (13, "az"), (14, None), (15, "")], "id long, text string")
+    assert {tuple(r) for r in Q.prefix_contained(a, b, 40).collect()} == {(1, 10), (2, 10), (3, 12)}
+
+
+def test_whole_texts_are_cleaned(spark):
+    long = "word " * 1000 + "end"
+    got = spark.createDataFrame([(long,)], "t string").select(X.clean(F.lit(""), F.col("t")).alias("all"), X.clean(F.lit(""), F.col("t"), 2000).alias("cut")).first()
+    assert got["all"].endswith("end") and len(got["cut"]) == 2000
 
 
 def test_probabilities_sum_to_one(spark):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The patterns below must match what the surveyed operators match.
 #: White space of Unicode, as both Java and RE2 spell it.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A word as vectorizers see it: two or more word characters.
@@ -15,6 +16,7 @@ LETTERS_DE = r"[a-zäöüß]+"
 KEYWORD = r"[a-z][a-z']+"
 RARE = r"[a-z][a-z0-9\-]{2,}"
 DIGIT_RUN = r"[0-9][0-9\s\-]{6,}[0-9]"
+#: Fixed value: characters that a cleaned ticket keeps (PF-01).
 MAX_CHARS = 2000
 
 #: Stop words that decide whether a sentence is English.
@@ -41,14 +43,15 @@ def words(names: list[str]) -> Column:
     return F.array(*[F.lit(n) for n in names])
 
 
-def clean(subject: Column, body: Column, most: int = MAX_CHARS) -> Column:
+def clean(subject: Column, body: Column, most: int | None = None) -> Column:
     """Subject and body in lower case, without addresses, white space collapsed. Nulls are empty;
-    both empty leave the joiner's dot. The id pattern follows the lower-casing and so never
+    both empty leave the joiner's dot. most: characters to keep, where short tickets are wanted. The id pattern follows the lower-casing and so never
     matches, which keeps ticket ids."""
     text = F.lower(F.concat(F.coalesce(subject, F.lit("")), F.lit(" . "), F.coalesce(body, F.lit(""))))
     for pattern in (r"https?://\S+", r"\S+@\S+", r"\b[A-Z]{2,}-?[0-9]{3,}\b"):
         text = F.regexp_replace(text, pattern, " ")
-    return F.substring(F.trim(F.regexp_replace(text, WS + "+", " ")), 1, most)
+    text = F.trim(F.regexp_replace(text, WS + "+", " "))
+    return text if most is None else F.substring(text, 1, most)
 
 
 def redact(text: Column) -> Column:

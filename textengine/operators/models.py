@@ -36,6 +36,17 @@ def hash_encoder(size: int = 64) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
+def letter_encoder(letters: str = "abcdefghijklmnopqrstuvwxyz") -> Callable[[list[str]], np.ndarray]:
+    """An encoder that counts letters, L2-normalized."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.array([[t.count(c) for c in letters] for t in texts], float).reshape(len(texts), len(letters))
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, n, out=out, where=n > 0)
+
+    return encode
+
+
 def embed(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], cache: DataFrame | None = None) -> DataFrame:
     """(id, vec) of rows (id, text). Texts whose sha1 is in the cache (key, vec) are not encoded."""
     keyed = df.select("id", F.sha1("text").alias("key"), "text")

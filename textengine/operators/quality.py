@@ -33,6 +33,19 @@ def chunk_sentences(df: DataFrame, sentence: str, budget: int) -> DataFrame:
     return df.withColumn("pieces", F.when(n_words(F.col(sentence)) > budget, packed).otherwise(F.array(sentence)))
 
 
+def pack_in_order(df: DataFrame, by: str, order: str, size: Column, budget: int) -> DataFrame:
+    """(by, bins): rows of each key folded in order into bins, a new one whenever the next row would
+    lift a bin over the budget. Bins are sizes in order; a key's rows have to fit one array."""
+    rows = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("n")))).alias("rows"))
+
+    def fold(bins: Column, row: Column) -> Column:
+        last = F.get(bins, F.size(bins) - 1)
+        fits = (F.size(bins) > 0) & (last + row["n"] <= budget)
+        return F.when(fits, F.concat(F.slice(bins, F.lit(1), F.size(bins) - 1), F.array(last + row["n"]))).otherwise(F.array_append(bins, row["n"]))
+
+    return rows.select(by, F.aggregate("rows", F.array().cast("array<bigint>"), fold).alias("bins"))
+
+
 def collect_tags(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("tags", F.array_compact(F.array(*columns)))
 
@@ -49,8 +62,9 @@ def prefix_contained(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     """(a_id, b_id) where the first n characters of a's text occur in b's text.
 
     The prefix's words are looked up among b's words first (an equality join on its rarest
-    whole word), so texts are only compared that share it. The prefix must hold at least three
-    words; a shorter one has no whole word to look up and is not found.
+    whole word), so texts are only compared that share it. A prefix of fewer than three words has no
+    whole word; its first (at most eight) characters are looked up among b's runs of as many instead. An
+    empty prefix is contained in every text and is left out.
     """
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     index = b.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
@@ -60,8 +74,14 @@ def prefix_contained(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     inner = F.slice(words(F.col("head")), F.lit(2), F.greatest(F.size(words(F.col("head"))) - 2, F.lit(0)))
     long_heads = heads.withColumn("w", F.explode(inner)).join(df_of, "w", "left")
     best = long_heads.groupBy("a_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
-    found = heads.join(best, "a_id").join(index, "w").where(F.contains("b_text", "head"))
-    return found.select("a_id", "b_id")
+    found = heads.join(best, "a_id").join(index, "w").where(F.contains("b_text", "head")).select("a_id", "b_id")
+    short = heads.where((F.size(inner) == 0) & (F.col("head") != "")).withColumn("w", F.left("head", F.lit(8)))
+    for size in [r[0] for r in short.select(F.length("w")).distinct().collect()]:  # eight lengths at most
+        keys = short.where(F.length("w") == size)
+        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - size + 1, F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(size))))
+        grams = b.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.explode(runs).alias("w"))
+        found = found.union(keys.join(grams, "w").where(F.contains("b_text", "head")).select("a_id", "b_id"))
+    return found
 
 
 def encode_labels(df: DataFrame, column: str) -> DataFrame:

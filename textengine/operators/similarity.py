@@ -86,18 +86,17 @@ def sim_join(a: DataFrame, b: DataFrame, low: float, high: float = 1.01, same: b
     """All pairs with low <= sim < high (same: of one set, q_id < n_id).
 
     Prefix filter: in the order of rarity a unit vector's terms are indexed only until the rest
-    of its weights, taken alone, can't reach `low` any more; a pair that shares none of both
-    prefixes is too far apart. The pairs found are then scored on all terms.
+    of its weights, taken alone, can't reach `low` any more. The first term that two rows share
+    lies in both prefixes, or what follows it is too light in one of them: common terms stay out of the join. The pairs found are then scored on all terms.
     """
     df_of = b.groupBy("term").agg(F.count("*").alias("df"))
 
-    def prefix(rows: DataFrame) -> DataFrame:
+    def prefix(rows: DataFrame, name: str) -> DataFrame:
         order = W.partitionBy("id").orderBy("df", "term")
         rest = F.sqrt(F.greatest(1 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)), F.lit(0.0)))
-        return rows.join(df_of, "term").withColumn("rest", rest).where(F.col("rest") >= low - 1e-6).select("id", "term")
+        return rows.join(df_of, "term").withColumn("rest", rest).where(F.col("rest") >= low - 1e-6).select(F.col("id").alias(name), "term")
 
-    left, right = prefix(a).withColumnRenamed("id", "q_id"), b.select(F.col("id").alias("n_id"), "term")
-    found = left.join(right, "term").select("q_id", "n_id").distinct()
+    found = prefix(a, "q_id").join(prefix(b, "n_id"), "term").select("q_id", "n_id").distinct()
     if same:
         found = found.where(F.col("q_id") < F.col("n_id"))
     sims = pair_dot(found, a, b).withColumn("sim", F.round("sim", PLACES))
@@ -112,9 +111,14 @@ def pair_dot(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.select("q_id", "n_id").join(dots, ["q_id", "n_id"], "left").select("q_id", "n_id", F.coalesce("dot", F.lit(0.0)).alias("sim"))
 
 
-def guard_sims(pool_tfidf: DataFrame, eval_tfidf: DataFrame, pool_dense: DataFrame | None = None, eval_dense: DataFrame | None = None) -> DataFrame:
-    """(id, sparse, dense): nearest evaluation row of each pool row in both views."""
-    near = max_sim(pool_tfidf, eval_tfidf).select("id", F.col("sim").alias("sparse"))
+def guard_sims(pool_tfidf: DataFrame, eval_tfidf: DataFrame, pool_dense: DataFrame | None = None, eval_dense: DataFrame | None = None, low: float | None = None) -> DataFrame:
+    """(id, sparse, dense): nearest evaluation row of each pool row in both views. low: similarities
+    below it don't matter and may count as 0, so common terms need not be joined."""
+    if low is None:
+        near = max_sim(pool_tfidf, eval_tfidf).select("id", F.col("sim").alias("sparse"))
+    else:
+        best = sim_join(pool_tfidf, eval_tfidf, low, 2.0).groupBy(F.col("q_id").alias("id")).agg(F.max("sim").alias("sparse"))
+        near = pool_tfidf.select("id").distinct().join(best, "id", "left").select("id", F.coalesce("sparse", F.lit(0.0)).alias("sparse"))
     if pool_dense is None:
         return near.withColumn("dense", F.lit(None).cast("double"))
     dense = dense_topk(pool_dense, eval_dense, 1).select(F.col("q_id").alias("id"), F.col("sim").alias("dense"))
@@ -202,8 +206,9 @@ def class_candidates(nbrs: DataFrame) -> DataFrame:
 
 def attach_meta(df: DataFrame, raw: DataFrame, key: str = "text", order: str = "id") -> DataFrame:
     """Left join to the first raw row with the same text."""
-    first = raw.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(order))).where(F.col("__n") == 1).drop("__n")
-    return df.join(first.select(key, *[F.col(c).alias(f"raw_{c}") for c in raw.columns if c != key]), key, "left")
+    rest = [c for c in raw.columns if c != key]
+    first = raw.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("raw"))
+    return df.join(first.select(key, *[F.col("raw")[c].alias(f"raw_{c}") for c in rest]), key, "left")
 
 
 def corrected_texts(predictions: DataFrame, feedback: DataFrame, excluded: list) -> DataFrame:
@@ -252,20 +257,47 @@ def fuse(views: DataFrame, how: str, dense: list[str], lexical: list[str], weigh
     raise ValueError(how)
 
 
-def approx_topk(q: DataFrame, p: DataFrame, k: int, tables: int = 12, bits: int = 6, seed: int = 7) -> DataFrame:
-    """Dense neighbours by random hyperplanes, exactly scored: (id, vec) rows that share a bucket of
-    some table are compared."""
-    def keyed(df: DataFrame) -> DataFrame:
+def approx_topk(q: DataFrame, p: DataFrame, k: int, bits: int = 1024, tenfold: int = 10, rows_per_block: int = 20_000, seed: int = 7) -> DataFrame:
+    """Dense neighbours from sign sketches, exactly scored: rows (id, vec) become `bits` signs of random
+    projections, blocks of sketches are compared by the number of different bits, and only
+    the tenfold * k nearest of each query are scored on their vectors. A row is not its own neighbour.
+
+    The candidates of a query don't grow with the pool; a sketch has bits / 8 bytes whatever the vectors have.
+    """
+    def sketched(df: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in batches:
                 m = np.stack([np.asarray(v, np.float64) for v in part["vec"]])
-                planes = np.random.default_rng(seed).normal(size=(tables * bits, m.shape[1]))
-                code = ((m @ planes.T) > 0).reshape(len(m), tables, bits) @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), tables), "bucket": code.ravel()})
+                planes = np.random.default_rng(seed).normal(size=(m.shape[1], bits))
+                packed = np.packbits(m @ planes > 0, axis=1)
+                yield pd.DataFrame({"id": part["id"], "bits": [r.tobytes() for r in packed]})
+
+        return df.select("id", "vec").mapInPandas(run, "id long, bits binary")
 
-        return df.mapInPandas(run, "id long, bucket long")
+    def blocks(df: DataFrame) -> int:
+        return max(1, -(-df.count() // rows_per_block))
 
-    pairs = keyed(q).withColumnRenamed("id", "q_id").join(keyed(p).withColumnRenamed("id", "n_id"), "bucket").select("q_id", "n_id").where(F.col("q_id") != F.col("n_id")).distinct()
+    def words(col: pd.Series) -> np.ndarray:
+        return np.frombuffer(b"".join(col), np.uint64).reshape(len(col), -1)
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            ours, theirs, own, ids = words(a["bits"]), words(b["bits"]), a["id"].to_numpy(), b["id"].to_numpy()
+            for i in range(len(ours)):
+                apart = np.bitwise_count(theirs ^ ours[i]).sum(1, dtype=np.int32)
+                apart[ids == own[i]] = bits + 1
+                at = np.argpartition(apart, most - 1)[:most] if most < len(apart) else np.arange(len(apart))
+                at = at[apart[at] <= bits]
+                out.append(pd.DataFrame({"q_id": own[i], "n_id": ids[at], "apart": apart[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"q_id": [], "n_id": [], "apart": []}).astype({"q_id": "int64", "n_id": "int64", "apart": "int32"})
+
+    most, nq, np_ = tenfold * k, blocks(q), blocks(p)
+    left = sketched(q).withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(nq)), "pb": F.explode(F.sequence(F.lit(0), F.lit(np_ - 1)))})
+    right = sketched(p).withColumns({"npb": F.pmod(F.xxhash64("id"), F.lit(np_)), "nqb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
+    met = left.groupBy("qb", "pb").cogroup(right.groupBy("nqb", "npb")).applyInPandas(nearest, "q_id long, n_id long, apart int")
+    best = F.row_number().over(W.partitionBy("q_id").orderBy("apart", "n_id"))
+    pairs = met.withColumn("n", best).where(F.col("n") <= most).select("q_id", "n_id")
     rows = pairs.join(q.select(F.col("id").alias("q_id"), F.col("vec").alias("a")), "q_id").join(p.select(F.col("id").alias("n_id"), F.col("vec").alias("b")), "n_id")
     cosine = X.dot(F.col("a"), F.col("b")) / F.sqrt(X.dot(F.col("a"), F.col("a")) * X.dot(F.col("b"), F.col("b")))
     return top_k(rows.select("q_id", "n_id", cosine.alias("sim")), k)

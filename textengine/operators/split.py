@@ -6,26 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from textengine.scratch import materialize
+from textengine.scratch import drop_table, materialize
 
 
 def hash_order(seed: int, key: str = "id") -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
 
 
-def _place(by: str | None, seed: int) -> Column:
-    part = W.partitionBy(by) if by else W.partitionBy()
-    return F.row_number().over(part.orderBy(hash_order(seed), "id"))
+def placed(df: DataFrame, by: str | None, seed: int) -> DataFrame:
+    """Add __p, the row's place (from 1) in the hash order of its class, and __nc, the rows of the class.
+
+    Places are counted in cells, the 65,536 ranges of the hash: rows of the cells before, and the place
+    within the cell. So no class, and no table without classes, is ordered in one task.
+    """
+    own = F.col(by) if by else F.lit(0)
+    rows = df.withColumns({"__h": hash_order(seed), "__of": own}).withColumn("__cell", F.left("__h", F.lit(4)))
+    sizes = rows.groupBy("__of", "__cell").agg(F.count("*").alias("__n"))
+    every = W.partitionBy("__of")
+    sizes = sizes.select(F.col("__of").alias("__of2"), F.col("__cell").alias("__cell2"), (F.sum("__n").over(every.orderBy("__cell")) - F.col("__n")).alias("__base"), F.sum("__n").over(every).alias("__nc"))
+    rows = rows.join(sizes, F.col("__of").eqNullSafe(F.col("__of2")) & (F.col("__cell") == F.col("__cell2")))
+    inside = F.row_number().over(W.partitionBy("__of", "__cell").orderBy("__h", "id"))
+    return rows.withColumn("__p", F.col("__base") + inside).drop("__h", "__of", "__cell", "__of2", "__cell2", "__base")
 
 
 def stratified_split(df: DataFrame, by: str, share: float, seed: int) -> DataFrame:
     """Add split: test for exactly round(share * n) rows of each stratum, else train."""
-    n = F.count("*").over(W.partitionBy(by))
-    return df.withColumn("split", F.when(_place(by, seed) <= F.round(n * share), "test").otherwise("train"))
+    rows = placed(df, by, seed)
+    return rows.withColumn("split", F.when(F.col("__p") <= F.round(F.col("__nc") * share), "test").otherwise("train")).drop("__p", "__nc")
 
 
 def assign_folds(df: DataFrame, by: str, k: int, seed: int, name: str = "fold") -> DataFrame:
-    return df.withColumn(name, (_place(by, seed) - 1) % k)
+    return placed(df, by, seed).withColumn(name, ((F.col("__p") - 1) % k).cast("int")).drop("__p", "__nc")
 
 
 def nested_folds(df: DataFrame, by: str, outer: int, inner: int, seed: int) -> DataFrame:
@@ -36,7 +47,7 @@ def nested_folds(df: DataFrame, by: str, outer: int, inner: int, seed: int) -> D
 
 def stratified_subset(df: DataFrame, by: str, n: int, seed: int) -> DataFrame:
     """About n rows, round(n * n_c / N) of each class."""
-    rows = df.withColumns({"__nc": F.count("*").over(W.partitionBy(by)), "__p": _place(by, seed)})
+    rows = placed(df, by, seed)
     total = df.agg(F.count("*").alias("__n"))
     return rows.join(F.broadcast(total)).where(F.col("__p") <= F.round(F.lit(n) * F.col("__nc") / F.col("__n"))).drop("__nc", "__p", "__n")
 
@@ -46,26 +57,25 @@ def sample_n(df: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def cap_per_class(df: DataFrame, by: str, n: int, seed: int) -> DataFrame:
-    return df.withColumn("__p", _place(by, seed)).where(F.col("__p") <= n).drop("__p")
+    return placed(df, by, seed).where(F.col("__p") <= n).drop("__p", "__nc")
 
 
 def growing_pools(df: DataFrame, fracs: tuple[float, ...], seed: int, by: str) -> DataFrame:
     """Rows once for each fraction whose pool holds them; larger pools hold the smaller ones."""
-    u = _place(by, seed) / F.count("*").over(W.partitionBy(by))
-    return df.withColumn("__u", u).withColumn("frac", F.explode(F.array(*[F.lit(float(f)) for f in fracs]))).where(F.col("__u") <= F.col("frac")).drop("__u")
+    rows = placed(df, by, seed).withColumn("frac", F.explode(F.array(*[F.lit(float(f)) for f in fracs])))
+    return rows.where(F.col("__p") / F.col("__nc") <= F.col("frac")).drop("__p", "__nc")
 
 
 def shuffle_labels(df: DataFrame, label: str, seed: int) -> DataFrame:
     """Labels permuted over the rows, as a control: the i-th label of one order goes to the i-th row of another."""
-    rows = df.withColumn("__i", _place(None, seed))
-    labels = df.select(F.col(label).alias("shuffled"), _place(None, seed + 1).alias("__i"))
-    return rows.join(labels, "__i").drop("__i")
+    labels = placed(df.select("id", label), None, seed + 1).select(F.col(label).alias("shuffled"), "__p")
+    return placed(df, None, seed).join(labels, "__p").drop("__p", "__nc")
 
 
 def dedup_first(df: DataFrame, key: str, order: str = "id") -> DataFrame:
-    """The first row of each key."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(order))
-    return df.withColumn("__n", n).where(F.col("__n") == 1).drop("__n")
+    """The first row of each key, found with partial results per task."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("__r")).select(key, "__r.*").select(df.columns)
 
 
 def anti_text(df: DataFrame, other: DataFrame, key: str = "text") -> DataFrame:
@@ -80,7 +90,7 @@ def greedy_dedup(df: DataFrame, pairs: DataFrame, order: str = "id") -> DataFram
     neighbours are decided in the same round don't wait for the rest of the table.
     """
     links, _ = materialize(pairs.select(F.col("q_id").alias("a"), F.col("n_id").alias("b")).distinct(), "greedy-links")
-    done = None
+    done = path = None
     while True:
         state = links if done is None else links.join(done.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a", "left")
         if done is None:
@@ -88,10 +98,13 @@ def greedy_dedup(df: DataFrame, pairs: DataFrame, order: str = "id") -> DataFram
         heads = links.select(F.col("a").alias("id")).join(links.select(F.col("b").alias("id")), "id", "left_anti").distinct().withColumn("kept", F.lit(True))
         decided = state.groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("ka"), F.lit(False))).alias("free"))
         now = decided.where(F.col("hit") | F.col("free")).select("id", F.col("free").alias("kept")).union(heads)
-        now, _ = materialize(now, "greedy-state")
+        now, fresh = materialize(now, "greedy-state")
         if done is not None and now.count() == done.count():
+            drop_table(df.sparkSession, fresh)
             break
-        done = now
+        if path is not None:
+            drop_table(df.sparkSession, path)
+        done, path = now, fresh
     return df.join(done.where(~F.col("kept")).select("id"), "id", "left_anti")
 
 

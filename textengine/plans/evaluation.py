@@ -14,6 +14,7 @@ from textengine.sources import io as IO
 from . import neighbours as N
 from . import views as S
 from .registry import VIEWS, query
+from .text import SENTENCES
 
 OK = "CASE WHEN pred = y THEN 1.0::DOUBLE ELSE 0.0 END"
 VIEWS["v_counts"] = "SELECT c.class, (SELECT count(*) FROM v_dpred WHERE y = c.class) AS n, (SELECT count(*) FROM v_dpred WHERE y = c.class AND pred = c.class) AS tp, (SELECT count(*) FROM v_dpred WHERE pred = c.class) AS predicted FROM (SELECT y AS class FROM v_dpred UNION SELECT pred FROM v_dpred) c"
@@ -237,15 +238,25 @@ def fm_02(spark, d):
     return M.families(e, N.docs(spark, d))
 
 
-@query("fm_03_mine_pairs")
+@query(
+    "fm_03_mine_pairs",
+    FAMILY.format("0.3", "").split(" SELECT id, family, count(*)")[0]
+    + """, m AS (SELECT id, family, count(*) OVER (PARTITION BY family) AS size FROM f), x AS (SELECT l.q_id AS a, l.n_id AS b, a.queue IS NOT DISTINCT FROM b.queue AND a.language IS NOT DISTINCT FROM b.language AS same
+     FROM v_loo_all l JOIN v_clean a ON a.id = l.q_id JOIN v_clean b ON b.id = l.n_id WHERE l.q_id < l.n_id AND l.sim >= 0.3)
+    SELECT a, b, CASE WHEN same THEN 'direct' ELSE 'negative' END AS kind FROM x UNION ALL SELECT p.id, q.id, 'transitive' FROM m p JOIN m q ON p.family = q.family AND p.id < q.id
+     WHERE p.size BETWEEN 2 AND 60 AND NOT EXISTS (SELECT 1 FROM x WHERE x.a = p.id AND x.b = q.id AND x.same)""",
+)
 def fm_03(spark, d):
     e = edges(spark, d, 0.3)
     return M.mine_pairs(e, M.families(e, N.docs(spark, d)), N.docs(spark, d), ["queue", "language"], 0.3)
 
 
-@query("fm_04_sibling_pairs", "SELECT q_id, n_id, sim, CASE WHEN q_id % 10 = 0 THEN 'held' ELSE 'train' END AS part FROM (SELECT l.q_id, l.n_id, l.sim, row_number() OVER (PARTITION BY l.q_id ORDER BY md5(concat(CAST(l.q_id AS VARCHAR), '-', CAST(l.n_id AS VARCHAR), '-7')), l.n_id) AS n FROM v_loo_all l JOIN v_clean a ON a.id = l.q_id JOIN v_clean b ON b.id = l.n_id WHERE a.queue = b.queue AND l.sim >= 0.1 AND l.sim < 0.85 AND l.rank <= 20 AND length(a.text) <= 1100 AND length(b.text) <= 1100) WHERE n = 1")
+@query("fm_04_sibling_pairs", "SELECT q_id, n_id, sim, CASE WHEN q_id % 10 = 0 THEN 'held' ELSE 'train' END AS part FROM (SELECT l.q_id, l.n_id, l.sim, row_number() OVER (PARTITION BY l.q_id ORDER BY md5(concat(CAST(l.q_id AS VARCHAR), '-', CAST(l.n_id AS VARCHAR), '-7')), l.n_id) AS n FROM v_loo_all l JOIN v_clean a ON a.id = l.q_id JOIN v_clean b ON b.id = l.n_id WHERE a.queue = b.queue AND l.sim >= 0.4 AND l.sim < 0.85 AND length(a.text) <= 1100 AND length(b.text) <= 1100) WHERE n = 1")
 def fm_04(spark, d):
-    return M.sibling_pairs(N.loo(spark, d).select("q_id", "n_id", "sim"), N.docs(spark, d), 7, 0.1, 0.85, 1100)
+    w = N.all_w(spark, d)
+    one = J.sim_join(w, w, 0.4, 0.85, same=True).select("q_id", "n_id", "sim")
+    both = one.union(one.select(F.col("n_id"), F.col("q_id"), "sim"))
+    return M.sibling_pairs(both, N.docs(spark, d), 7, 0.4, 0.85, 1100)
 
 
 @query("fm_05_triplets", "WITH r AS (SELECT l.*, a.queue AS y FROM v_loo l JOIN v_clean a ON a.id = l.q_id WHERE rank <= 10), p AS (SELECT q_id, n_id FROM r WHERE class = y AND sim >= 0.1), n AS (SELECT q_id, n_id FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rank) AS k FROM r WHERE class <> y) WHERE k <= 5) SELECT p.q_id AS anchor, p.n_id AS positive, n.n_id AS negative FROM p JOIN n USING (q_id)")
@@ -277,12 +288,16 @@ def fm_09(spark, d):
     return M.render_pairs(N.docs(spark, d))
 
 
-@query("fm_10_translate_pool")
+@query(
+    "fm_10_translate_pool",
+    f"""WITH s AS (SELECT id, unnest(s) AS source, generate_subscripts(s, 1) AS pos FROM (SELECT doc_id AS id, {SENTENCES.format('text')} AS s FROM documents)), k AS (SELECT DISTINCT source FROM s WHERE id % 10 = 0)
+    SELECT id, string_agg(CASE WHEN k.source IS NULL THEN lower(s.source) ELSE concat('<', s.source, '>') END, ' ' ORDER BY pos) AS text FROM s LEFT JOIN k ON k.source = s.source GROUP BY id""",
+)
 def fm_10(spark, d):
     rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     from textengine.functions.text import sentences
 
-    known = rows.where(F.col("id") % 10 == 0).select(F.explode(sentences(F.col("text"))).alias("source")).distinct().select("source", F.upper("source").alias("target"))
+    known = rows.where(F.col("id") % 10 == 0).select(F.explode(sentences(F.col("text"))).alias("source")).distinct().select("source", F.concat(F.lit("<"), "source", F.lit(">")).alias("target"))
     return M.translate_pool(rows, known, lambda batch: [s.lower() for s in batch])
 
 

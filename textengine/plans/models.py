@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textengine.functions import text as X
 
 from textengine.operators import evidence as E
+from textengine.operators import families
 from textengine.operators import models as M
 from textengine.operators import quality as Q
 from textengine.operators import similarity as J
@@ -16,6 +17,7 @@ from textengine.operators import split as P
 from . import neighbours as N
 from . import views as S
 from .registry import query
+from .text import SENTENCES
 
 
 def labelled(spark, d):
@@ -171,6 +173,71 @@ def ev_31(spark, d):
     return out.groupBy("frac").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") == F.col("y")).cast("double")), 4).alias("accuracy"))
 
 
+_COUNT = "length(text) - length(replace(text, '{0}', ''))"
+_NORM = "sqrt(" + " + ".join(f"pow({_COUNT.format(c)}, 2)" for c in "abcdefghijklmnopqrstuvwxyz") + ")"
+
+
+@query("ud_01_embed", f"SELECT id, round(CASE WHEN n > 0 THEN e / n ELSE 0 END, 6) AS e, round(CASE WHEN n > 0 THEN s / n ELSE 0 END, 6) AS s FROM (SELECT id, {_NORM} AS n, {_COUNT.format('e')} AS e, {_COUNT.format('s')} AS s FROM v_clean)")
+def ud_01(spark, d):
+    """The pluggable encoder, with one that counts letters."""
+    vec = M.embed(N.docs(spark, d).select("id", "text"), M.letter_encoder())
+    return vec.select("id", *[F.round(F.get("vec", F.lit(ord(c) - ord("a"))), 6).alias(c) for c in "es"])
+
+
+@query(
+    "ud_02_translate",
+    f"""WITH s AS (SELECT id, unnest(s) AS source, generate_subscripts(s, 1) AS pos FROM (SELECT doc_id AS id, {SENTENCES.format('text')} AS s FROM documents))
+    SELECT id, string_agg(replace(source, 'e', '3'), ' ' ORDER BY pos) AS text FROM s GROUP BY id""",
+)
+def ud_02(spark, d):
+    """The pluggable translator, with one that replaces a letter, and no cache."""
+    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    none = spark.createDataFrame([], "source string, target string")
+    return families.translate_pool(rows, none, lambda batch: [s.replace("e", "3") for s in batch])
+
+
+@query("ud_03_block_product", "SELECT q_id, n_id, sim FROM v_search WHERE rank <= 5")
+def ud_03(spark, d):
+    """The blocked matrix product, in blocks far smaller than the table."""
+    return J.dense_topk(*N.search(spark, d), 5, same=True, rows_per_block=300).select("q_id", "n_id", "sim")
+
+
+_WORDS = "len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> ''))"
+
+
+@query(
+    "ud_05_pack_in_order",
+    f"""WITH r AS (SELECT id, list_transform(s, lambda s: [CAST({_WORDS} AS BIGINT)]) AS s FROM (SELECT doc_id AS id, {SENTENCES.format('text')} AS s FROM documents))
+    SELECT id, array_to_string(list_reduce(s, lambda a, x: CASE WHEN len(a) > 0 AND a[-1] + x[1] <= 120 THEN list_append(a[:-2], a[-1] + x[1]) ELSE list_append(a, x[1]) END, CAST([] AS BIGINT[])), ' ') AS bins FROM r WHERE len(s) > 0""",
+)
+def ud_05(spark, d):
+    """An order-sensitive fold: sentences of each document packed into windows of 120 words."""
+    from textengine.functions.text import sentences
+    from textengine.operators.quality import pack_in_order
+
+    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(sentences(F.col("text"))).alias("i", "s"))
+    n = F.size(F.filter(F.split("s", r"\s+"), lambda w: w != ""))
+    return pack_in_order(rows, "id", "i", n, 120).select("id", F.array_join(F.transform("bins", lambda b: b.cast("string")), " ").alias("bins"))
+
+
+@query(
+    "ud_06_table_functions",
+    rf"""SELECT doc_id AS id, 'sentence' AS kind, CAST(i - 1 AS INTEGER) AS pos, s AS value FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, {SENTENCES.format('text')} AS s FROM documents))
+    UNION ALL SELECT id, 'gram', CAST(i AS INTEGER), t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3] FROM (SELECT id, t, unnest(range(0, greatest(len(t) - 2, 0))) AS i FROM (SELECT item_id AS id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM benchmark))""",
+)
+def ud_06(spark, d):
+    """Table functions of SQL, in LATERAL joins."""
+    from textengine.functions.register import register_all
+
+    register_all(spark)
+    S.table(spark, d, "documents").createOrReplaceTempView("te_documents")
+    S.table(spark, d, "benchmark").createOrReplaceTempView("te_benchmark")
+    return spark.sql(
+        "SELECT doc_id AS id, 'sentence' AS kind, pos, sentence AS value FROM te_documents, LATERAL te_sentences(text)"
+        " UNION ALL SELECT item_id, 'gram', pos, gram FROM te_benchmark, LATERAL te_ngrams(text, 3)"
+    )
+
+
 @query("ud_04_lcs_ratio")
 def ud_04(spark, d):
     rows = N.docs(spark, d).select("id", "text")

@@ -78,7 +78,10 @@ def sc_08(spark, d):
     return IO.latest_version(S.runs(spark, d)).select("model_version", F.round("val_accuracy", 6).alias("val_accuracy"))
 
 
-@query("sc_09_fingerprint", "SELECT queue, left(sha256(string_agg(sha256(concat_ws('|', CAST(id AS VARCHAR), text)), '' ORDER BY sha256(concat_ws('|', CAST(id AS VARCHAR), text)))), 16) AS fingerprint FROM v_clean GROUP BY queue")
+@query(
+    "sc_09_fingerprint",
+    "SELECT queue, left(sha256(concat_ws('|', count(*), CAST(sum(r) AS VARCHAR), bit_xor(r))), 16) AS fingerprint FROM (SELECT queue, CAST('0x' || left(sha256(concat_ws('|', CAST(id AS VARCHAR), text)), 15) AS BIGINT) AS r FROM v_clean) GROUP BY queue",
+)
 def sc_09(spark, d):
     return IO.fingerprint(docs(spark, d), ["id", "text"], "queue")
 
@@ -108,7 +111,13 @@ def close_pairs(spark, d, low: float = 0.3):
     return sim_join(w, w, low, 2.0, same=True)
 
 
-@query("dd_03_greedy_dedup")
+@query(
+    "dd_03_greedy_dedup",
+    """WITH e AS (SELECT n_id AS id, list(q_id) AS earlier FROM v_loo_all WHERE q_id < n_id AND sim >= 0.85 GROUP BY n_id),
+    d AS (SELECT list_reduce(list(struct_pack(id := id, earlier := earlier, gone := CAST([] AS BIGINT[])) ORDER BY id), lambda a, x: struct_pack(id := x.id, earlier := x.earlier,
+     gone := CASE WHEN len(list_filter(x.earlier, lambda y: NOT list_contains(a.gone, y))) > 0 THEN list_append(a.gone, x.id) ELSE a.gone END), struct_pack(id := CAST(-1 AS BIGINT), earlier := CAST([] AS BIGINT[]), gone := CAST([] AS BIGINT[]))) AS r FROM e)
+    SELECT id FROM v_clean WHERE id NOT IN (SELECT unnest(r.gone) FROM d)""",
+)
 def dd_03(spark, d):
     return P.greedy_dedup(docs(spark, d), close_pairs(spark, d, 0.85)).select("id")
 

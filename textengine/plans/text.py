@@ -28,9 +28,9 @@ WORDS = "regexp_extract_all(lower({0}), '" + X.LETTERS_DE + "')"
 IS_EN = f"(({hits(WORDS, X.EN_WORDS)} >= 1 AND {hits(WORDS, X.DE_WORDS)} = 0) OR ({hits(WORDS, X.EN_WORDS)} >= 3 AND {hits(WORDS, X.EN_WORDS)} >= 3 * {hits(WORDS, X.DE_WORDS)}))"
 
 
-@query("pf_01_clean", "SELECT id, text FROM v_clean")
+@query("pf_01_clean", f"SELECT id, left(text, {X.MAX_CHARS}) AS text FROM v_clean")
 def pf_01(spark, d):
-    return S.cleaned(spark, d).select("id", "text")
+    return S.cleaned(spark, d, X.MAX_CHARS).select("id", "text")
 
 
 @query("pf_02_redact", r"SELECT doc_id AS id, regexp_replace(text, '[0-9][0-9\s\-]{6,}[0-9]', '[number]', 'g') AS text FROM documents")

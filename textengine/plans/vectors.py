@@ -38,7 +38,7 @@ def tx_02(spark, d):
     SELECT id, count(*) AS terms, round(max(w), 6) AS most, round(sum(w), 5) AS total FROM n GROUP BY id""".replace("VCLEAN", f"(SELECT doc_id AS id, {S.clean_sql(chr(39) * 2, 'text')} AS text FROM documents)"),
 )
 def tx_03(spark, d):
-    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.clean(F.lit(""), F.col("text")).alias("text"))
+    rows = S.spread(S.table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), X.clean(F.lit(""), F.col("text")).alias("text"))
     view = V.tfidf_view(rows, X.word_ngrams(F.col("text"), 1, 2), binary=True)
     return view.groupBy("id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 6).alias("most"), F.round(F.sum("w"), 5).alias("total"))
 

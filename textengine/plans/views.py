@@ -16,9 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out once where the files have fewer splits than half the cores, so that one split's
+    texts aren't all cleaned by one task. Tables with enough splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def tickets(spark: SparkSession, d: str) -> DataFrame:
     """documents as tickets: the first line is the subject, labels give type and priority."""
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    docs, labels = spread(table(spark, d, "documents").select("doc_id", "text", "source", "lang")), table(spark, d, "labels")
     at = F.instr("text", "\n")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
@@ -38,15 +45,15 @@ VIEWS["v_tickets"] = r"""SELECT d.doc_id AS id,
  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 
-def cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return tickets(spark, d).select("id", X.clean(F.col("subject"), F.col("body")).alias("text"), "queue", "language", "type", "priority")
+def cleaned(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
+    return tickets(spark, d).select("id", X.clean(F.col("subject"), F.col("body"), most).alias("text"), "queue", "language", "type", "priority")
 
 
 def clean_sql(subject: str, body: str) -> str:
     text = f"lower(concat(coalesce({subject}, ''), ' . ', coalesce({body}, '')))"
     for pattern in (r"https?://\S+", r"\S+@\S+", r"\b[A-Z]{2,}-?[0-9]{3,}\b", WS + "+"):
         text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
-    return f"left(trim({text}), {X.MAX_CHARS})"
+    return f"trim({text})"
 
 
 VIEWS["v_clean"] = f"SELECT id, {clean_sql('subject', 'body')} AS text, queue, language, type, priority FROM v_tickets"
