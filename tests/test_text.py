@@ -27,7 +27,7 @@ def test_clean(spark, subject, body, want):
 
 def test_clean_keeps_ids_and_cuts(spark):
     assert "ticket-12345" in one(spark, X.clean(F.col("s"), F.col("b")), s="", b="about TICKET-12345")
-    assert len(one(spark, X.clean(F.col("s"), F.col("b")), s="", b="ab " * 2000)) == 2000
+    assert len(one(spark, X.clean(F.col("s"), F.col("b"), X.MAX_CHARS), s="", b="ab " * 2000)) == 2000
 
 
 def test_sentences_and_language(spark):
