@@ -281,6 +281,28 @@ def test_shards(docs, none):
     assert matrix.sum(1).tolist() == [10, 0, 25, 5] and matrix.sum(0).tolist() == [14, 13, 13]
 
 
+def test_shards_are_a_uniform_shuffle(spark):
+    """Every row lands in every shard and slot about equally often over seeds, whatever its partition."""
+    rows, seen = spark.range(24).repartition(3).persist(), Counter()
+    for seed in range(60):
+        seen.update((r["id"], r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(rows, 4, seed=seed, cell_rows=3).collect())
+    by_shard = Counter()
+    for (i, shard, slot), n in seen.items():
+        assert slot < 6
+        by_shard[i, shard] += n
+    # 96 cells of 15 each: the statistic has about 72 degrees of freedom.
+    assert sum((by_shard[i, s] - 15) ** 2 / 15 for i in range(24) for s in range(4)) < 120
+
+
+def test_clashing_names_pass_through(docs):
+    """Columns named like the operators' own working columns stay as they are."""
+    named = docs.where("doc_id <> 9").select("doc_id", "text", F.lit("S").alias("s"), F.lit("C").alias("c"), F.lit("T").alias("start"), F.lit("O").alias("of"), F.lit("K").alias("__key"), F.lit("L").alias("__cell"), F.lit("N").alias("next_key"))
+    want = {("S", "C", "T", "O", "K", "L", "N")}
+    names = ["s", "c", "start", "of", "__key", "__cell", "next_key"]
+    for out in (sharding.shuffle_into_shards(named, 3, cell_rows=2), winnow.with_next(named, "doc_id", {"body": F.coalesce("text", F.lit(""))}, cell_rows=3)):
+        assert out.count() == len(rows()) - 2 and {tuple(r) for r in out.select(names).collect()} == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 129, 5000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
@@ -431,6 +453,14 @@ def test_language_id(spark, docs, none):
     assert langid.predict(none, model).count() == 0
 
 
+def test_language_id_equals_a_plain_version(spark, docs):
+    """Scores from the model's own table of logarithms, one dictionary look-up at a time."""
+    model = langid.fit(docs)
+    again = langid.predict(docs.repartition(2), model, keep=("doc_id",)).collect()
+    first = langid.predict(docs, model, keep=("doc_id",)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, first)) and len(first) == len(rows())
+
+
 def test_language_id_held_out(spark):
     out = queries.op8_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out")
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
@@ -490,6 +520,11 @@ def test_winnowing_query(spark, sf):
         t, nxt = d[i], d[ids[(n + 1) % len(ids)]]
         m = len(t) // 3
         assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest() and got[i]["n_chars"] == len(t)
+    marks = lambda text: {x.split("@")[0] for x in text.split()}
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    for n, i in enumerate(ids):
+        own, after = marks(got[i]["fingerprint"]), marks(got[ids[(n + 1) % len(ids)]]["fingerprint"])
+        assert math.isclose(got[i]["near_edited"], like(own, marks(got[i]["edited_fingerprint"]))) and math.isclose(got[i]["near_next"], like(own, after))
     assert sum(r["near_edited"] for r in got.values()) / len(d) > 0.4 and sum(r["near_next"] for r in got.values()) / len(d) < 0.05
 
 
@@ -576,6 +611,15 @@ def test_pipeline_stages(spark, docs, none):
     assert kept == {i for i, c in want.items() if i == c} | {None}
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    made = [(1, "one text with some words in it", "en"), (1, "another one without any relation at all", "en"), (1, "one text with some words in it", "de"), (2, "one text with some words in it", "en"), (None, "free", "en"), (None, "free", "en")]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    got = sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, df, "").select("doc_id", "text").collect()))
+    assert len(got) == 4 and sum("one text" in x for x in got) == 1 and sum("another" in x for x in got) == 1
+    again = corpus_pipeline.drop_near_duplicates(spark, df.repartition(3), "")
+    assert sorted(map(str, again.collect())) == sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, df, "").collect()))
+
+
 def test_pipeline_runs(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "source", "lang", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50

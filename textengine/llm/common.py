@@ -41,6 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores before it that no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: the lineage ends there,
     a lost executor loses nothing, and several readers don't compute df again."""

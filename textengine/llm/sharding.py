@@ -12,7 +12,7 @@ the same both times, which a scan of files is; a partition that holds other rows
 fails the job.
 
 Nulls are values like any other, repeated rows go their own ways, an empty table gives an empty
-result, and all columns of df stay; shard and slot replace columns of these names.
+result, and all columns of df stay, whatever their names; shard and slot replace columns of these names.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from .common import unused
+
 
 def draw_marked(rng: np.random.Generator, marked: int, others: int, n: int) -> int:
     """Hypergeometric draw for any counts: marked ones among n of marked + others.
@@ -70,6 +72,7 @@ def communication_matrix(counts: list[int], capacity: list[int], seed: int) -> n
 def shuffle_into_shards(df: DataFrame, shards: int = 40, seed: int = 11, cell_rows: int = 4000) -> DataFrame:
     """df with shard (0 to shards - 1) and slot (place in the shard, gapless from 0)."""
     df = df.drop("shard", "slot")
+    cell_name, key_name, shard_of, cell_of, start = unused(df, "__cell", "__key", "__shard_of", "__cell_of", "__start")
     found = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()}
     total = sum(found.values())
     parts = sorted(found)
@@ -79,7 +82,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 40, seed: int = 11, cell_ro
     matrix = spark.sparkContext.broadcast({p: drawn[i].astype(np.int64) for i, p in enumerate(parts)})
     cells = max(1, -(-total // (shards * cell_rows)))
     names = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("__cell", T.IntegerType()), T.StructField("__key", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField(cell_name, T.IntegerType()), T.StructField(key_name, T.LongType())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
@@ -93,7 +96,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 40, seed: int = 11, cell_ro
                 raise RuntimeError("a partition holds more rows than were counted; checkpoint the input first")
             keys = rng.integers(-(2**63), 2**63, n, dtype=np.int64)
             cell = ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels[at : at + n]), pa.array(cell), pa.array(keys)], names=[*names, "shard", "__cell", "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels[at : at + n]), pa.array(cell), pa.array(keys)], names=[*names, "shard", cell_name, key_name])
             at += n
         if at != len(labels):
             raise RuntimeError("a partition holds fewer rows than were counted; checkpoint the input first")
@@ -113,7 +116,9 @@ def shuffle_into_shards(df: DataFrame, shards: int = 40, seed: int = 11, cell_ro
                 yield pa.RecordBatch.from_arrays([pa.array((both // cells).astype(np.int32)), pa.array((both % cells).astype(np.int32)), pa.array(c.astype(np.int64))], names=["s", "c", "n"])
 
     sizes = counted.mapInArrow(cell_counts, "s int, c int, n long").groupBy("s", "c").agg(F.sum("n").alias("n"))
-    starts = sizes.select("s", "c", (F.sum("n").over(W.partitionBy("s").orderBy("c")) - F.col("n")).alias("start"))
-    rank = F.row_number().over(W.partitionBy("shard", "__cell").orderBy("__key"))
+    before = F.sum("n").over(W.partitionBy("s").orderBy("c")) - F.col("n")
+    starts = sizes.select(F.col("s").alias(shard_of), F.col("c").alias(cell_of), before.alias(start))
+    rank = F.row_number().over(W.partitionBy("shard", cell_name).orderBy(key_name))
     placed = dealt.withColumn("slot", rank.cast("long") - 1)
-    return placed.join(starts, (F.col("shard") == F.col("s")) & (F.col("__cell") == F.col("c"))).select(*names, "shard", (F.col("slot") + F.col("start")).alias("slot"))
+    met = placed.join(starts, (F.col("shard") == F.col(shard_of)) & (F.col(cell_name) == F.col(cell_of)))
+    return met.select(*[f"`{c}`" for c in names], "shard", (F.col("slot") + F.col(start)).alias("slot"))

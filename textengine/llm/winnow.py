@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialize
+from .common import materialize, unused
 
 #: A chosen hash and its place share one long: 36 bits of hash over 28 bits of place, counted
 #: down, so that the least value is the least hash at its rightmost place.
@@ -84,40 +84,41 @@ def with_next(df: DataFrame, key: str, values: dict[str, Column], cell_rows: int
 
     Rows are ordered in cells, ranges of the key between quantiles (65,536 at most), so that the
     table is exchanged once and no task orders it whole; the first row of each cell is looked
-    up for its neighbour. A null key comes last.
+    up for its neighbour. A null key comes last. Rows of one key (null keys are one) share a cell, so
+    ids should tell rows apart. Other columns stay, except that `values` and next_<name> replace theirs.
     """
-    df = df.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")))
+    k, cell_name, of, next_key, first, follows = unused(df, "__key", "__cell", "__of", "__next_key", "__first", "__follows")
+    df = df.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")))
     side = max(1, min(256, int((df.count() / cell_rows) ** 0.5 + 0.999)))
     n = side * side
     cell = F.lit(0)
     if n > 1:
-        cuts = df.agg(F.percentile_approx("__key", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
+        cuts = df.agg(F.percentile_approx(k, [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
         cuts = sorted(set(cuts))
         groups = [cuts[i : i + side] for i in range(0, len(cuts), side)]
         # A cell is found in two steps: the group of cuts, then the place in the group.
-        below = lambda cut: cut < F.col("__key")
+        below = lambda cut: cut < F.col(k)
         group = F.size(F.filter(_longs([g[-1] for g in groups]), below))
         cell = group * side + F.size(F.filter(F.get(F.array(*[_longs(g) for g in [*groups, []]]), group), below))
-    df = df.withColumn("__cell", cell.cast("int"))
-    tops, _ = materialize(df.groupBy("__cell").agg(F.max("__key").alias("__key")), "next-tops")
-    along = W.orderBy(F.desc("__cell"))
+    df = df.withColumn(cell_name, cell.cast("int"))
+    tops, _ = materialize(df.groupBy(cell_name).agg(F.max(k).alias(k)), "next-tops")
+    along = W.orderBy(F.desc(cell_name))
     everything = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    tops = tops.select(F.col("__cell").alias("of"), F.coalesce(F.lead("__key").over(along), F.first("__key").over(everything)).alias("next_key"))
+    tops = tops.select(F.col(cell_name).alias(of), F.coalesce(F.lead(k).over(along), F.first(k).over(everything)).alias(next_key))
     names, tie = list(values), F.xxhash64(*values)
     firsts = (
-        df.join(tops, F.col("__key") == F.col("next_key"))
+        df.join(tops, F.col(k) == F.col(next_key))
         .withColumns(values)
-        .groupBy("of")
-        .agg(F.min(F.struct(tie.alias("tie"), F.struct(*names).alias("row")))["row"].alias("__first"))
+        .groupBy(of)
+        .agg(F.min(F.struct(tie.alias("tie"), F.struct(*names).alias("row")))["row"].alias(first))
     )
-    inside = W.partitionBy("__cell").orderBy(F.desc("__key"), tie)
-    follows = F.lead("__cell").over(inside).isNotNull()
+    inside = W.partitionBy(cell_name).orderBy(F.desc(k), tie)
     return (
         df.withColumns(values)
-        .withColumns({"__follows": follows, **{f"next_{c}": F.lead(c).over(inside) for c in names}})
-        .join(firsts, F.col("__cell") == F.col("of"))
-        .withColumns({f"next_{c}": F.when(F.col("__follows"), F.col(f"next_{c}")).otherwise(F.col("__first")[c]) for c in names})
-        .drop("__key", "__cell", "__follows", "__first", "of")
+        .withColumns({follows: F.lead(cell_name).over(inside).isNotNull(), **{f"next_{c}": F.lead(c).over(inside) for c in names}})
+        .join(firsts, F.col(cell_name) == F.col(of))
+        .withColumns({f"next_{c}": F.when(F.col(follows), F.col(f"next_{c}")).otherwise(F.col(first)[c]) for c in names})
+        .drop(k, cell_name, follows, first, of)
     )
 
 
