@@ -11,6 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from textengine.llm import bpe, langid, mcd, mixing, neardup
 from textengine.llm.common import documents, materialize
@@ -34,11 +35,23 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each component, once. Rows without id stay."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return rows.withColumn("__apart", apart).dropDuplicates(["doc_id", "__apart"]).drop("__apart")
+    """Keep the document with the least id of each component, once. Rows without id stay. Different
+    texts of one id are documents of their own; of rows with equal id and text the one whose hash is least stays."""
+    columns, digest = docs.columns, F.xxhash64("text")
+    again = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.min(digest).alias("__least")).where("__n > 1")
+    again, _ = materialize(again, "repeated-ids")
+    named, repeated = docs.withColumn("__doc", F.col("doc_id")), not again.isEmpty()
+    if repeated:
+        # Beyond all ids, so the texts that keep theirs come first.
+        other = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1))
+        named = docs.join(again.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left")
+        named = named.select(*columns, F.when(digest != F.col("__least"), other).otherwise(F.col("doc_id")).alias("__doc"))
+    kept = neardup.near_duplicates(named.select(F.col("__doc").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = named.join(kept.hint("shuffle_hash"), F.col("__doc").eqNullSafe(F.col("id")), "left_semi")
+    if repeated:
+        one = F.row_number().over(W.partitionBy("__doc", F.when(F.col("__doc").isNull(), F.xxhash64(*columns))).orderBy(F.xxhash64(*columns)))
+        rows = rows.withColumn("__n", one).where(F.col("__doc").isNull() | (F.col("__n") == 1))
+    return rows.select(columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
