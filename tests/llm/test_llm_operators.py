@@ -552,25 +552,9 @@ def test_token_counts(docs, none):
     assert got == want and token_counts.count_tokens(none, path).count() == 0
 
 
-def test_lm_score(spark, docs, none):
-    marked = docs.withColumn("target", F.when(F.col("doc_id") == 11, True))
-    got = {r["doc_id"]: r for r in lm_score.score(docs, lm_score.fit(marked, most_words=40, most_bigrams=30), keep=("doc_id", "score")).collect()}
-    assert got[11]["score"] < got[9]["score"] and got[4]["n_words"] == 0
-    assert lm_score.score(none, lm_score.fit(none.withColumn("target", F.lit(True)))).count() == 0
-
-
-def test_lm_probabilities_sum_to_one(spark, docs):
-    ids, models = lm_score.fit(docs.withColumn("target", F.col("doc_id") % 2 == 0), most_words=20, most_bigrams=25)
-    for h in (lm_score.END, 2, 3):
-        total = np.zeros(2)
-        for w in range(models.size):
-            total += np.exp(-models.losses(np.array([h, w]))[:, 1])
-        assert np.allclose(total, 1)
-
-
-@pytest.mark.parametrize("hot", [0, 30, 1_000_000])
-def test_lm_counts_are_whole(spark, docs, none, hot):
-    """Every word and bigram counts, also those seen once and words of any length."""
+@pytest.mark.parametrize("range_bytes", [16 << 20, 40_000])
+def test_lm_counts_are_whole(spark, docs, none, range_bytes):
+    """Every word and bigram counts, also those seen once and words of any length; many chunks and ranges give what one gives."""
     long_word = spark.createDataFrame([(20, "x" * 70 + " rare", None), (21, "x" * 70 + " other", None)], "doc_id long, text string, lang string")
     some = docs.select("doc_id", "text", "lang").union(long_word).withColumn("target", F.col("doc_id") % 2 == 1)
     pairs, words = [Counter(), Counter()], [Counter(), Counter()]
@@ -589,13 +573,15 @@ def test_lm_counts_are_whole(spark, docs, none, hot):
             total -= math.log(0.6 * pairs[model][h, w] / c[h] + 0.4 * base if c[h] else base)
         return total / (len(line) - 1)
 
-    got = lm_score.score_all(some, lm_score.fit_all(some, hot_words=hot), keep=("doc_id", "text", "score"), hot_bigrams=hot).collect()
+    got = lm_score.score_all(some, keep=("doc_id", "text", "score"), range_bytes=range_bytes).collect()
     assert len(got) == len(everything)
     for r in got:
         want = loss(r["text"], 1), loss(r["text"], 0)
         assert r["n_words"] == len(tokens(r["text"])) - 2 and math.isclose(r["score"], want[0] - want[1], abs_tol=1e-5)
         assert math.isclose(r["target_loss"], want[0], rel_tol=1e-5) and math.isclose(r["background_loss"], want[1], rel_tol=1e-5)
-    assert lm_score.score_all(none, lm_score.fit_all(none.withColumn("target", F.lit(True)), hot_words=hot), hot_bigrams=hot).count() == 0
+    assert lm_score.score_all(none.withColumn("target", F.lit(True))).count() == 0
+    by_id = {r["doc_id"]: r["score"] for r in lm_score.score_all(some.withColumn("target", F.col("doc_id") == 11)).collect()}
+    assert by_id[11] < by_id[9]
 
 
 def test_pipeline_stages(spark, docs, none):

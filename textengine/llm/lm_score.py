@@ -5,186 +5,68 @@ vocabulary, one smoothing and one set of bigrams; a document's score is its mean
 under the target model minus that under the background model, so low scores are like the target.
 Tokens are the lower-case words and one end mark per text.
 
-fit_all() and score_all(), which the query uses, keep every word and bigram, also those seen once:
 p(w|h) = weight * c(h,w) / c(h) + (1 - weight) * p(w), p(w) = (c(w) + 1) / (N + V), where V is the
 number of different tokens and one unknown, and p(w|h) = p(w) for an h without rows in the model.
-The counts are written Spark tables that grow with the rows; documents meet the losses of their
-bigrams in a join. The commonest words and bigrams (`hot_words`, `hot_bigrams`) are broadcast with
-the same counts and losses, so that no join has hot keys; these two bound memory and do not
-change the result. Words are known by a hash of 64 bits, bigrams by one made of two such.
+Every word and bigram counts, also those seen once; what is gathered grows with the rows.
 
-fit() and score() are the bounded form for models that have to fit in memory, and do not read all
-counts: the vocabulary is the words of LONGEST characters at most that occur twice or more, `most_words`
-by count, all others share one entry; of the bigrams seen twice or more, `most_bigrams` by count
-keep their own probability, and the others back off.
+Texts are read once, in chunks of bounded size. A chunk asks for the counts of its own distinct
+words and bigrams: their sorted hashes, cut into ranges, are one packed row per chunk and range.
+Ranges are grouped, counts summed over the chunks, and each chunk gets its answers back in the
+order in which it asked. So a word or bigram is one entry per chunk, however often it occurs: no key
+is hot, nothing is broadcast, and the driver gets three totals. Counts stand under hashes of
+48 bits, so in very large corpora a few words or bigrams in a thousand share their counts with another.
 
 A null text counts as empty: its only token is the end mark. Repeated rows count as often as they
-occur; without target rows the target model is uniform. An empty table gives an empty result.
+occur; without target rows the target model is uniform over what is seen. An empty table gives an empty result.
 Columns of `keep` named like the operator's own are replaced.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_table, materialize, sliced, words_of
+from .common import materialize, sliced, words_of
 
-#: Ids of all words outside the vocabulary, and of the end mark (also the first history).
-OTHER, END = 0, 1
-#: Longer words belong to OTHER, so the vocabulary's bytes are bounded.
-LONGEST = 64
 NAMES = ("n_words", "target_loss", "background_loss", "score")
+#: Kinds of rows of the chunk table that are no requests: documents, and a chunk's tokens.
+_DOCUMENT, _TOKENS = -2, -1
+#: Bits of a key.
+_BITS = 48
 
 
-def _within(counts: DataFrame, most: int) -> DataFrame:
-    """Rows whose n reaches the lowest count that leaves `most` rows at most."""
-    steps = counts.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(most).collect()
-    total, least = 0, None
-    for r in steps:  # at most `most` different counts
-        total += r["rows"]
-        if total > most:
-            break
-        least = r["n"]
-    return counts.where(F.col("n") >= least) if least is not None else counts.where(F.lit(False))
-
-
-def vocabulary(df: DataFrame, most_words: int) -> dict[str, int]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-        for batch in sliced(batches, "text"):
-            fresh: Counter[str] = Counter()
-            for t in batch.column("text").to_pylist():
-                fresh.update(words_of(t.lower())) if t else None
-            for w, n in fresh.items():
-                if len(w) <= LONGEST:
-                    seen[w] += n
-            if len(seen) > 1_000_000:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
-
-    words, _ = materialize(df.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > 1), "lm-words")
-    return {r[0]: i for i, r in enumerate(_within(words, most_words).select("word").orderBy("word").collect(), 2)}
-
-
-def token_ids(texts: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each ending in END, and the number of tokens of each text."""
-    get, flat, sizes = ids.get, [], []
-    for t in texts:
-        words = words_of(t.lower()) if t else []
-        flat.extend(map(get, words, repeat(OTHER)))
-        flat.append(END)
-        sizes.append(len(words) + 1)
-    return np.array(flat, np.int64), np.array(sizes, np.int64)
-
-
-def _histories(ids: np.ndarray) -> np.ndarray:
-    return np.concatenate((np.array([END], np.int64), ids[:-1]))
-
-
-class Models:
-    """Log probabilities of the target and background models for (history, id) pairs."""
+def _pack(values: np.ndarray, kind: str) -> bytes:
+    """Numbers by planes of their bytes, deflated."""
+    return zlib.compress(values.astype(kind).view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
 
-    def __init__(self, size: int, single: np.ndarray, keys: np.ndarray, pairs: np.ndarray, weight: float):
-        """single: counts (2, size) of ids; keys: sorted history * size + id; pairs: counts (2, keys).
 
-        Only logarithms are kept, in 32 bits, and they are made in slices: the driver holds little
-        more than what it broadcasts."""
-        self.size, self.keys = size, keys
-        base = (single + 1) / (single.sum(1, keepdims=True) + size)
-        kept = np.zeros((2, size))
-        slices = [slice(at, at + 50_000) for at in range(0, len(keys), 50_000)]
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
-        def share(part: slice) -> np.ndarray:
-            return pairs[:, part] / np.maximum(single[:, keys[part] // size], 1)
 
-        for part in slices:
-            for model, s in enumerate(share(part)):
-                kept[model] += np.bincount(keys[part] // size, weights=s, minlength=size)
-        self.log_base, self.log_rest = np.log(base).astype(np.float32), np.log1p(-weight * kept).astype(np.float32)
-        self.log_pair = np.zeros((2, len(keys)), np.float32)
-        for part in slices:
-            self.log_pair[:, part] = np.log(weight * share(part) + (1 - weight * kept[:, keys[part] // size]) * base[:, keys[part] % size])
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, in 32 bits if they have room there; not deflated, they are random."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    if len(steps) > 1 and int(steps[1:].max()) < 1 << 32:
+        return b"\4" + int(steps[0]).to_bytes(8, "little") + steps[1:].astype("<u4").tobytes()
+    return b"\10" + steps.astype("<u8").tobytes()
 
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """Loss of every token under both models, (2, tokens)."""
-        histories = _histories(ids)
-        key = histories * self.size + ids
-        out = -(self.log_rest[:, histories] + self.log_base[:, ids]).astype(np.float64)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
-            out[:, known] = -self.log_pair[:, at[known]]
-        return out
-
-
-def fit(df: DataFrame, target: str = "target", most_words: int = 65_534, most_bigrams: int = 1_000_000, weight: float = 0.6) -> tuple[dict[str, int], Models]:
-    """Both models, from rows (text, target): target marks the rows of the target model."""
-    spark = df.sparkSession
-    ids = vocabulary(df, most_words)
-    size = len(ids) + 2
-    shared = spark.sparkContext.broadcast(ids)
-
-    def out(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "t", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 24 << 20):
-            flat, sizes = token_ids(batch.column("text").to_pylist(), shared.value)
-            mine = np.repeat(np.array([bool(x) for x in batch.column("target").to_pylist()], np.int64), sizes)
-            # Bigrams as keys from 0, single ids as keys below 0. The target's mark is the lowest bit
-            # while keys are sorted, so equal keys are runs and their marks add up.
-            marked = np.sort((_histories(flat) * size + flat) * 2 + mine)
-            first = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
-            yield out(marked[first] >> 1, np.add.reduceat(marked & 1, first), np.diff(first, append=len(marked)))
-            n, t = np.bincount(flat, minlength=size), np.bincount(flat[mine > 0], minlength=size)
-            found = np.flatnonzero(n)
-            yield out(-1 - found, t[found], n[found])
-
-    rows = df.select("text", F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    counts, _ = materialize(rows.mapInArrow(count, "key long, t long, n long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).where((F.col("key") < 0) | (F.col("n") > 1)), "lm-counts")
-    single = np.zeros((2, size), np.int64)
-    key, t, n = _columns(counts.where(F.col("key") < 0))  # at most one row per word of the vocabulary
-    single[0, -1 - key], single[1, -1 - key] = t, n
-    key, t, n = _columns(_within(counts.where(F.col("key") >= 0), most_bigrams).orderBy("key"))  # at most most_bigrams
-    return ids, Models(size, single, key, np.stack((t, n)), weight)
-
-
-def _columns(counts: DataFrame) -> list[np.ndarray]:
-    table = counts.select("key", "t", "n").toArrow()
-    return [c.combine_chunks().to_numpy(zero_copy_only=False) if len(c) else np.zeros(0, np.int64) for c in table.columns]
-
-
-def score(df: DataFrame, model: tuple[dict[str, int], Models], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns `keep`, n_words, target_loss and background_loss (means per token) and score."""
-    keep = tuple(c for c in keep if c not in NAMES)
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_words", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in NAMES[1:])])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, models = shared.value
-        for batch in sliced(batches, "__text", 16 << 20):
-            flat, sizes = token_ids(batch.column("__text").to_pylist(), ids)
-            ends = np.cumsum(sizes)
-            means = np.add.reduceat(models.losses(flat), ends - sizes, axis=1) / sizes
-            columns = [pa.array(sizes - 1), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *NAMES])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    if raw[0] == 8:
+        return np.cumsum(np.frombuffer(raw, "<u8", offset=1), dtype=np.uint64)
+    rest = np.frombuffer(raw, "<u4", offset=9).astype(np.uint64)
+    return np.cumsum(np.concatenate((np.array([int.from_bytes(raw[1:9], "little")], np.uint64), rest)), dtype=np.uint64)
 
 
 def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,95 +84,119 @@ def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.array(flat, np.int64), np.array(sizes, np.int64), pd.util.hash_array(np.array(list(ids), object), categorize=False)
 
 
-def _before(flat: np.ndarray) -> np.ndarray:
-    return np.concatenate((np.zeros(1, np.int64), flat[:-1]))
+class _Keys:
+    """Distinct words and bigrams of a chunk, and their keys in ascending order."""
 
+    def __init__(self, flat: np.ndarray, code: np.ndarray):
+        before = np.concatenate((np.zeros(1, np.int64), flat[:-1]))
+        pair, self.pair_of_token = np.unique(before * len(code) + flat, return_inverse=True)
+        self.first, self.second = pair // len(code), pair % len(code)
+        h = code[self.first]
+        mixed = (h << np.uint64(1) | h >> np.uint64(63)) ^ code[self.second]
+        self.words, self.at_word = np.unique(code >> np.uint64(64 - _BITS), return_inverse=True)
+        self.pairs, self.at_pair = np.unique(mixed >> np.uint64(64 - _BITS), return_inverse=True)
 
-def _key(h: str, w: str) -> Column:
-    """The bigram's key: h turned by one bit, exclusive or w. Word hashes are uniform, so are these."""
-    return F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63)).bitwiseXOR(F.col(w))
 
-
-def _bigrams(df: DataFrame, target: str) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 24 << 20):
-            flat, sizes, code = _hashed(batch.column("text").to_pylist())
-            mine = np.repeat(np.array([bool(x) for x in batch.column("target").to_pylist()], np.int64), sizes)
-            marked = np.sort((_before(flat) * len(code) + flat) * 2 + mine)
-            first = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
-            pair, code = marked[first] >> 1, code.view(np.int64)
-            columns = code[pair // len(code)], code[pair % len(code)], np.add.reduceat(marked & 1, first), np.diff(first, append=len(marked))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "w", "t", "n"])
-
-    rows = df.select("text", F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    return rows.mapInArrow(count, "h long, w long, t long, n long").groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-
-
-def _with_counts(pairs: DataFrame, words: DataFrame, hot: DataFrame, of: str) -> DataFrame:
-    """Add <of>_t and <of>_n, the counts of the word in column `of`: hot words by broadcast, the
-    others by a join in which rows of hot words are dealt out by the whole bigram."""
-    named = lambda df, tag: df.select(F.col("w").alias(f"__{tag}"), F.col("t").alias(f"__{tag}_t"), F.col("n").alias(f"__{tag}_n"))
-    rows = pairs.join(F.broadcast(named(hot, "hot")), F.col(of) == F.col("__hot"), "left")
-    rows = rows.withColumn("__at", F.when(F.col("__hot").isNull(), F.col(of)).otherwise(F.xxhash64("h", "w")))
-    rows = rows.join(named(words, "word"), F.col("__at") == F.col("__word"), "left")
-    return rows.select(*pairs.columns, *[F.coalesce(f"__hot_{c}", f"__word_{c}").alias(f"{of}_{c}") for c in ("t", "n")])
-
-
-def fit_all(df: DataFrame, target: str = "target", weight: float = 0.6, hot_words: int = 65_534) -> DataFrame:
-    """(key, n, target_log, background_log) of every bigram of the rows (text, target), a written table."""
-    spark = df.sparkSession
-    pairs, pairs_path = materialize(_bigrams(df, target), "lm-bigrams")
-    words, words_path = materialize(pairs.groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n")), "lm-words")
-    # Every token is the next one's history and texts begin and end with END: c(h) is c(w) of the same word.
-    size = words.agg(F.count("*").alias("words"), F.sum("t").alias("t"), F.sum("n").alias("n")).first()
-    hot = _within(words, hot_words)
-    found = _with_counts(_with_counts(pairs, words, hot, "h"), words, hot, "w")
-
-    def log(c: str) -> Column:
-        base = (F.col(f"w_{c}") + 1) / F.lit(float((size[c] or 0) + size["words"] + 1))
-        # A divisor of 1 where h has no rows: both branches may be evaluated.
-        seen = weight * F.col(c) / F.greatest(F.col(f"h_{c}"), F.lit(1)) + (1 - weight) * base
-        return F.log(F.when(F.col(f"h_{c}") > 0, seen).otherwise(base)).cast("float")
-
-    losses, _ = materialize(found.select(_key("h", "w").alias("key"), "n", log("t").alias("target_log"), log("n").alias("background_log")), "lm-losses")
-    drop_table(spark, pairs_path)
-    drop_table(spark, words_path)
-    return losses
-
-
-def score_all(df: DataFrame, losses: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", hot_bigrams: int = 1_000_000) -> DataFrame:
-    """The columns `keep`, n_words, target_loss and background_loss (means per token) and score of
-    rows that fit_all() has seen; a bigram that it has not seen is an error."""
-    keep = tuple(c for c in keep if c not in NAMES)
-    hot = _within(losses, hot_bigrams).orderBy("key").select("key", "target_log", "background_log").toArrow()  # at most hot_bigrams
-    shared = df.sparkSession.sparkContext.broadcast([c.to_numpy() for c in hot.columns])
-    own = [T.StructField("__size", T.LongType()), T.StructField("__t", T.DoubleType()), T.StructField("__b", T.DoubleType())]
-    own += [T.StructField("__keys", T.ArrayType(T.LongType())), T.StructField("__counts", T.ArrayType(T.LongType()))]
+def _chunks(df: DataFrame, keep: tuple[str, ...], text: str, target: str, ranges: tuple[int, int], most_bytes: int) -> DataFrame:
+    """Rows of kind _DOCUMENT (the columns `keep`, place in the chunk), _TOKENS (all tokens of the chunk)
+    and requests (kind: a range of bigrams from 0 on, then the ranges of words)."""
+    own = [T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("place", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("a", "b", "c"))]
+    names = [f"k{i}" for i in range(len(keep))]
+    kept = [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, *logs = shared.value
-        for batch in sliced(batches, "__text", 16 << 20):
+        number = TaskContext.get().partitionId() << 32
+        for batch in sliced(batches, "__text", most_bytes):
             flat, sizes, code = _hashed(batch.column("__text").to_pylist())
-            h = code[_before(flat)]
-            key = ((h << np.uint64(1) | h >> np.uint64(63)) ^ code[flat]).view(np.int64)
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-            starts = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(np.where(known, x[at].astype(np.float64), 0.0) if len(keys) else np.zeros(len(key)), starts) for x in logs]
-            row, key = np.repeat(np.arange(len(sizes)), sizes)[~known], key[~known]
-            order = np.lexsort((key, row))
-            row, key = row[order], key[order]
-            first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(key, prepend=0) != 0))
-            offsets = pa.array(np.searchsorted(row[first], np.arange(len(sizes) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (key[first], np.diff(first, append=len(key)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes), *map(pa.array, sums), *lists], names=[*keep, *(f.name for f in own)])
-
-    schema = T.StructType([*(df.schema[c] for c in keep), *own])
-    rows, _ = materialize(df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "lm-rows")
-    rest = rows.select("__row", F.inline(F.arrays_zip("__keys", "__counts"))).withColumnsRenamed({"__row": "__of", "__keys": "__key", "__counts": "__count"})
-    log = {c: F.coalesce(F.col(c), F.raise_error(F.lit("a bigram is not in the model")).cast("float")).cast("double") for c in ("target_log", "background_log")}
-    met = rest.join(losses, F.col("__key") == F.col("key"), "left")
-    sums = met.groupBy("__of").agg(F.sum(F.col("__count") * log["target_log"]).alias("__t2"), F.sum(F.col("__count") * log["background_log"]).alias("__b2"))
-    joined = rows.drop("__keys", "__counts").join(sums, F.col("__row") == F.col("__of"), "left")
-    loss = {c: -(F.col(f"__{c}") + F.coalesce(f"__{c}2", F.lit(0.0))) / F.col("__size") for c in "tb"}
-    return joined.select(*keep, (F.col("__size") - 1).alias("n_words"), loss["t"].alias("target_loss"), loss["b"].alias("background_loss"), (loss["t"] - loss["b"]).alias("score"))
+            mine = np.repeat(np.array([bool(x) for x in batch.column("__target").to_pylist()], np.float64), sizes)
+            keys, n = _Keys(flat, code), batch.num_rows
+            columns = [pa.array(np.full(n, number)), pa.array(np.full(n, _DOCUMENT, np.int32)), pa.array(np.arange(n)), *[pa.nulls(n, pa.binary())] * 3]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[: len(keep)]], names=[*(f.name for f in own), *names])
+            kinds, packed = [_TOKENS], [(_pack(flat, "<u4"), _pack(sizes, "<u4"), _pack(code, "<u8"))]
+            pair_n, pair_t = np.bincount(keys.pair_of_token, minlength=len(keys.first)), np.bincount(keys.pair_of_token, mine, len(keys.first))
+            word_n, word_t = np.bincount(flat, minlength=len(code)), np.bincount(flat, mine, len(code))
+            for key, at, ns, ts, base, count in ((keys.pairs, keys.at_pair, pair_n, pair_t, 0, ranges[0]), (keys.words, keys.at_word, word_n, word_t, *ranges)):
+                ns, ts = np.bincount(at, ns, len(key)), np.bincount(at, ts, len(key))
+                part = _range_of(key, count)
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(key)]
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    kinds.append(base + int(part[i]))
+                    packed.append((_pack_keys(key[i:j]), _pack(ts[i:j], "<u4"), _pack(ns[i:j], "<u4")))
+            n = len(kinds)
+            columns = [pa.array(np.full(n, number)), pa.array(kinds, pa.int32()), pa.nulls(n, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*packed))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, c.type) for c in batch.columns[: len(keep)])], names=[*(f.name for f in own), *names])
+            number += 1
+
+    rows = df.select(*[F.col(c).alias(n) for n, c in zip(names, keep)], F.col(text).alias("__text"), F.coalesce(F.col(target), F.lit(False)).alias("__target"))
+    return rows.mapInArrow(run, T.StructType([*own, *kept]))
+
+
+def _range_of(keys: np.ndarray, count: int) -> np.ndarray:
+    # The upper 32 bits of a key do: ranges are far wider than what the others tell apart.
+    return ((keys >> np.uint64(_BITS - 32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+
+
+def _answers(requests: DataFrame, first_word_range: int) -> DataFrame:
+    """(chunk, kind, a, b): target and background counts of each request's keys in their order; and
+    for ranges of words one row of chunk -1 whose a holds the number of words and both totals."""
+
+    def add(table: pa.Table) -> pa.Table:
+        kind, asked = table.column("kind")[0].as_py(), [_unpack_keys(x.as_py()) for x in table.column("a")]
+        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+        totals = [np.zeros(len(keys), np.int64) for _ in "tn"]
+        for total, column in zip(totals, "bc"):
+            np.add.at(total, at, np.concatenate([_unpack(x.as_py(), "<u4") for x in table.column(column)]).astype(np.int64))
+        ends = np.cumsum([len(k) for k in asked])
+        chunks = table.column("chunk").to_pylist()
+        packed = [[_pack(total[at[j - len(k) : j]], "<u8") for k, j in zip(asked, ends)] for total in totals]
+        if kind >= first_word_range:
+            chunks.append(-1)
+            packed[0].append(_pack(np.array([len(keys), *(int(t.sum()) for t in totals)]), "<u8"))
+            packed[1].append(None)
+        return pa.table([pa.array(chunks, pa.int64()), pa.array([kind] * len(chunks), pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], names=["chunk", "kind", "a", "b"])
+
+    return requests.select("chunk", "kind", "a", "b", "c").groupBy("kind").applyInArrow(add, "chunk long, kind int, a binary, b binary")
+
+
+def _losses(tokens: DataFrame, answers: DataFrame, first_word_range: int, size: dict[str, float], weight: float) -> DataFrame:
+    """(chunk, place, tokens, t, b): tokens and mean losses of each document."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b", "c"))), key=lambda r: r[0])
+        _, flat, sizes, code = rows[0]
+        flat, sizes, code = _unpack(flat, "<u4").astype(np.int64), _unpack(sizes, "<u4").astype(np.int64), _unpack(code, "<u8")
+        keys = _Keys(flat, code)
+        starts = np.cumsum(sizes) - sizes
+        means = []
+        for column, total in ((1, size["t"]), (2, size["n"])):
+            pairs, words = (np.concatenate([_unpack(r[column], "<u8") for r in rows[1:] if (r[0] >= first_word_range) == of_words]).astype(np.float64) for of_words in (False, True))
+            c_pair, c_word = pairs[keys.at_pair], words[keys.at_word]
+            c_first = c_word[keys.first]
+            base = (c_word[keys.second] + 1) / total
+            seen = weight * c_pair / np.maximum(c_first, 1) + (1 - weight) * base
+            loss = -np.log(np.where(c_first > 0, seen, base))
+            means.append(np.add.reduceat(loss[keys.pair_of_token], starts) / sizes)
+        chunk = table.column("chunk")[0].as_py()
+        return pa.table([pa.array(np.full(len(sizes), chunk)), pa.array(np.arange(len(sizes))), pa.array(sizes), *map(pa.array, means)], names=["__chunk", "__place", "size", "t", "b"])
+
+    both = tokens.select("chunk", "kind", "a", "b", "c").unionByName(answers.withColumn("c", F.lit(None).cast("binary")))
+    return both.groupBy("chunk").applyInArrow(add, "__chunk long, __place long, size long, t double, b double")
+
+
+def score_all(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", target: str = "target", weight: float = 0.6, range_bytes: int = 16 << 20) -> DataFrame:
+    """The columns `keep`, n_words, target_loss and background_loss (means per token) and score of
+    every row; the boolean column `target` marks the rows of the target model. range_bytes: text of a
+    chunk, and of a range of bigrams; ranges of words are eight times as wide."""
+    spark = df.sparkSession
+    keep = tuple(c for c in keep if c not in NAMES)
+    total = df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    ranges = (-(-total // range_bytes) or 1, -(-total // (8 * range_bytes)) or 1)
+    chunks, _ = materialize(_chunks(df, keep, text, target, ranges, range_bytes), "lm-chunks")
+    answers, _ = materialize(_answers(chunks.where("kind >= 0"), ranges[0]), "lm-answers")
+    found = [_unpack(r["a"], "<u8") for r in answers.where("chunk = -1").select("a").toLocalIterator()]  # one row a range of words
+    words, t, n = np.sum(found, axis=0).tolist() if found else (0, 0, 0)
+    losses = _losses(chunks.where(F.col("kind") == _TOKENS), answers.where("chunk >= 0"), ranges[0], {"t": t + words + 1, "n": n + words + 1}, weight)
+    documents = chunks.where(F.col("kind") == _DOCUMENT).drop("kind", "a", "b", "c")
+    rows = documents.join(losses, (F.col("chunk") == F.col("__chunk")) & (F.col("place") == F.col("__place")))
+    kept = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+    return rows.select(*kept, (F.col("size") - 1).alias("n_words"), F.col("t").alias("target_loss"), F.col("b").alias("background_loss"), (F.col("t") - F.col("b")).alias("score"))

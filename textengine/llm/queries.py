@@ -20,7 +20,7 @@ def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id", F.lit(True).alias("target")).distinct()
-    return lm_score.score_all(docs, lm_score.fit_all(docs.join(good.hint("shuffle_hash"), "doc_id", "left")))
+    return lm_score.score_all(docs.join(good.hint("shuffle_hash"), "doc_id", "left"))
 
 
 def op2_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
