@@ -19,8 +19,8 @@ def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good and not toxic; background: all documents."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id", F.lit(True).alias("target")).distinct()
-    return lm_score.score_all(docs.join(good.hint("shuffle_hash"), "doc_id", "left"))
+    good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id", F.lit(True).alias("target"))
+    return lm_score.score_all(docs, marks=good)
 
 
 def op2_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
