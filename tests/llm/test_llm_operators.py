@@ -454,11 +454,38 @@ def test_language_id(spark, docs, none):
 
 
 def test_language_id_equals_a_plain_version(spark, docs):
-    """Scores from the model's own table of logarithms, one dictionary look-up at a time."""
-    model = langid.fit(docs)
-    again = langid.predict(docs.repartition(2), model, keep=("doc_id",)).collect()
-    first = langid.predict(docs, model, keep=("doc_id",)).collect()
-    assert sorted(map(str, again)) == sorted(map(str, first)) and len(first) == len(rows())
+    """Counts, priors, predictions and scores from dictionaries, one n-gram at a time."""
+    mask, shift = 2**64 - 1, 64 - (langid.BUCKETS.bit_length() - 1)
+
+    def buckets(text):
+        t, out = langid.letters(text), Counter()
+        for i in range(len(t)):
+            code = 0
+            for n in range(1, min(4, len(t) - i) + 1):
+                code = (code * 0x100000001B3 + ord(t[i + n - 1]) + n) & mask
+                mixed = code * 0x9E3779B97F4A7C15 & mask
+                out[((mixed ^ (mixed >> 32)) * 0xC2B2AE3D27D4EB4F & mask) >> shift] += 1
+        return out
+
+    counts, n_docs, grams = {}, Counter(), {}
+    for r in docs.select("text", "lang").collect():
+        grams[r["text"]] = buckets(r["text"])
+        if r["lang"] is not None and r["text"] is not None:
+            counts.setdefault(r["lang"], Counter()).update(grams[r["text"]])
+            n_docs[r["lang"]] += bool(langid.letters(r["text"]))
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + 0.5 * langid.BUCKETS for x in langs}
+    prior = {x: math.log((n_docs[x] + 1) / (sum(n_docs.values()) + len(langs))) for x in langs}
+    for r in langid.predict(docs, langid.fit(docs), keep=("doc_id", "text")).collect():
+        found, n = grams[r["text"]], sum(grams[r["text"]].values())
+        if not n:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        logs = {x: sum(k * math.log((counts[x][b] + 0.5) / total[x]) for b, k in found.items()) for x in langs}
+        best = max(langs, key=lambda x: logs[x] + prior[x])
+        mean = {x: logs[x] / n * min(n, 50) + prior[x] for x in langs}
+        share = math.exp(mean[best]) / sum(map(math.exp, mean.values()))
+        assert r["lang_pred"] == best and math.isclose(r["score"], share, abs_tol=1e-4)
 
 
 def test_language_id_held_out(spark):
