@@ -187,14 +187,14 @@ def score_all(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
     """The columns `keep`, n_words, target_loss and background_loss (means per token) and score of
     every row; the boolean column `target` marks the rows of the target model, or marks
     (on, target) does, which is joined after the texts have been measured. range_bytes: text of a
-    range of bigrams; ranges of words are eight times as wide, chunks three quarters."""
+    range of bigrams; ranges of words are eight times as wide, chunks three eighths."""
     spark = df.sparkSession
     keep = tuple(c for c in keep if c not in NAMES)
     total = df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     if marks is not None:
         df = df.drop(target).join(marks.select(on, target).distinct().hint("shuffle_hash"), on, "left")
     ranges = (-(-total // range_bytes) or 1, -(-total // (8 * range_bytes)) or 1)
-    chunks, _ = materialize(_chunks(df, keep, text, target, ranges, range_bytes * 3 // 4), "lm-chunks")
+    chunks, _ = materialize(_chunks(df, keep, text, target, ranges, range_bytes * 3 // 8), "lm-chunks")
     answers, _ = materialize(_answers(chunks.where("kind >= 0"), ranges[0]), "lm-answers")
     found = [_unpack(r["a"], "<u8") for r in answers.where("chunk = -1").select("a").toLocalIterator()]  # one row a range of words
     words, t, n = np.sum(found, axis=0).tolist() if found else (0, 0, 0)
