@@ -600,7 +600,7 @@ def test_lm_counts_are_whole(spark, docs, none, range_bytes):
             total -= math.log(0.6 * pairs[model][h, w] / c[h] + 0.4 * base if c[h] else base)
         return total / (len(line) - 1)
 
-    got = lm_score.score_all(some, keep=("doc_id", "text", "score"), range_bytes=range_bytes).collect()
+    got = lm_score.score_all(some, keep=("doc_id", "text", "score"), range_bytes=range_bytes, cell_bytes=1000).collect()
     assert len(got) == len(everything)
     for r in got:
         want = loss(r["text"], 1), loss(r["text"], 0)

@@ -24,6 +24,7 @@ Columns of `keep` named like the operator's own are replaced.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -75,13 +76,13 @@ def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     ids: defaultdict[str, int] = defaultdict()
     ids.default_factory = ids.__len__
     ids[""]  # number 0
-    flat, sizes = [], []
+    flat, sizes = array("I"), []
     for t in texts:
         words = words_of(t.lower()) if t else []
         flat.extend(map(ids.__getitem__, words))
         flat.append(0)
         sizes.append(len(words) + 1)
-    return np.array(flat, np.int64), np.array(sizes, np.int64), pd.util.hash_array(np.array(list(ids), object), categorize=False)
+    return np.frombuffer(flat, np.uint32).astype(np.int64), np.array(sizes, np.int64), pd.util.hash_array(np.array(list(ids), object), categorize=False)
 
 
 class _Keys:
@@ -97,9 +98,9 @@ class _Keys:
         self.pairs, self.at_pair = np.unique(mixed >> np.uint64(64 - _BITS), return_inverse=True)
 
 
-def _chunks(df: DataFrame, keep: tuple[str, ...], text: str, target: str, ranges: tuple[int, int], most_bytes: int) -> DataFrame:
-    """Rows of kind _DOCUMENT (the columns `keep`, place in the chunk), _TOKENS (all tokens of the chunk)
-    and requests (kind: a range of bigrams from 0 on, then the ranges of words)."""
+def _chunks(df: DataFrame, keep: tuple[str, ...], text: str, target: str, ranges: tuple[int, int], most_bytes: int, cell_bytes: int) -> DataFrame:
+    """Rows of kind _DOCUMENT (the columns `keep`, place in the chunk), _TOKENS (all tokens of the
+    chunk, in cells by place) and requests (kind: a range of bigrams from 0 on, then the ranges of words)."""
     own = [T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("place", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("a", "b", "c"))]
     names = [f"k{i}" for i in range(len(keep))]
     kept = [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, keep)]
@@ -112,7 +113,9 @@ def _chunks(df: DataFrame, keep: tuple[str, ...], text: str, target: str, ranges
             keys, n = _Keys(flat, code), batch.num_rows
             columns = [pa.array(np.full(n, number)), pa.array(np.full(n, _DOCUMENT, np.int32)), pa.array(np.arange(n)), *[pa.nulls(n, pa.binary())] * 3]
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[: len(keep)]], names=[*(f.name for f in own), *names])
-            kinds, packed = [_TOKENS], [(_pack(flat, "<u4"), _pack(sizes, "<u4"), _pack(code, "<u8"))]
+            whole = _pack(flat, "<u4"), _pack(sizes, "<u4"), _pack(code, "<u8")
+            packed = [tuple(w[i : i + cell_bytes] for w in whole) for i in range(0, max(map(len, whole)), cell_bytes)]
+            kinds, places = [_TOKENS] * len(packed), list(range(len(packed)))
             pair_n, pair_t = np.bincount(keys.pair_of_token, minlength=len(keys.first)), np.bincount(keys.pair_of_token, mine, len(keys.first))
             word_n, word_t = np.bincount(flat, minlength=len(code)), np.bincount(flat, mine, len(code))
             for key, at, ns, ts, base, count in ((keys.pairs, keys.at_pair, pair_n, pair_t, 0, ranges[0]), (keys.words, keys.at_word, word_n, word_t, *ranges)):
@@ -123,7 +126,8 @@ def _chunks(df: DataFrame, keep: tuple[str, ...], text: str, target: str, ranges
                     kinds.append(base + int(part[i]))
                     packed.append((_pack_keys(key[i:j]), _pack(ts[i:j], "<u4"), _pack(ns[i:j], "<u4")))
             n = len(kinds)
-            columns = [pa.array(np.full(n, number)), pa.array(kinds, pa.int32()), pa.nulls(n, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*packed))]
+            places += [None] * (n - len(places))
+            columns = [pa.array(np.full(n, number)), pa.array(kinds, pa.int32()), pa.array(places, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*packed))]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, c.type) for c in batch.columns[: len(keep)])], names=[*(f.name for f in own), *names])
             number += 1
 
@@ -162,14 +166,15 @@ def _losses(tokens: DataFrame, answers: DataFrame, first_word_range: int, size:
     """(chunk, place, tokens, t, b): tokens and mean losses of each document."""
 
     def add(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b", "c"))), key=lambda r: r[0])
-        _, flat, sizes, code = rows[0]
-        flat, sizes, code = _unpack(flat, "<u4").astype(np.int64), _unpack(sizes, "<u4").astype(np.int64), _unpack(code, "<u8")
-        keys = _Keys(flat, code)
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "place", "a", "b", "c"))), key=lambda r: r[:2])
+        whole = (b"".join(cells) for cells in list(zip(*(r for r in rows if r[0] == _TOKENS)))[2:])
+        flat, sizes, code = (_unpack(w, kind) for w, kind in zip(whole, ("<u4", "<u4", "<u8")))
+        flat, sizes = flat.astype(np.int64), sizes.astype(np.int64)
+        keys, rows = _Keys(flat, code), [r for r in rows if r[0] != _TOKENS]
         starts = np.cumsum(sizes) - sizes
         means = []
-        for column, total in ((1, size["t"]), (2, size["n"])):
-            pairs, words = (np.concatenate([_unpack(r[column], "<u8") for r in rows[1:] if (r[0] >= first_word_range) == of_words]).astype(np.float64) for of_words in (False, True))
+        for column, total in ((2, size["t"]), (3, size["n"])):
+            pairs, words = (np.concatenate([_unpack(r[column], "<u8") for r in rows if (r[0] >= first_word_range) == of_words]).astype(np.float64) for of_words in (False, True))
             c_pair, c_word = pairs[keys.at_pair], words[keys.at_word]
             c_first = c_word[keys.first]
             base = (c_word[keys.second] + 1) / total
@@ -179,22 +184,23 @@ def _losses(tokens: DataFrame, answers: DataFrame, first_word_range: int, size:
         chunk = table.column("chunk")[0].as_py()
         return pa.table([pa.array(np.full(len(sizes), chunk)), pa.array(np.arange(len(sizes))), pa.array(sizes), *map(pa.array, means)], names=["__chunk", "__place", "size", "t", "b"])
 
-    both = tokens.select("chunk", "kind", "a", "b", "c").unionByName(answers.withColumn("c", F.lit(None).cast("binary")))
+    both = tokens.select("chunk", "kind", "place", "a", "b", "c").unionByName(answers.withColumns({"place": F.lit(0).cast("long"), "c": F.lit(None).cast("binary")}))
     return both.groupBy("chunk").applyInArrow(add, "__chunk long, __place long, size long, t double, b double")
 
 
-def score_all(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", target: str = "target", weight: float = 0.6, range_bytes: int = 16 << 20, marks: DataFrame | None = None, on: str = "doc_id") -> DataFrame:
+def score_all(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", target: str = "target", weight: float = 0.6, range_bytes: int = 16 << 20, cell_bytes: int = 1 << 18, marks: DataFrame | None = None, on: str = "doc_id") -> DataFrame:
     """The columns `keep`, n_words, target_loss and background_loss (means per token) and score of
     every row; the boolean column `target` marks the rows of the target model, or marks
     (on, target) does, which is joined after the texts have been measured. range_bytes: text of a
-    chunk, and of a range of bigrams; ranges of words are eight times as wide."""
+    chunk, and of a range of bigrams; ranges of words are eight times as wide.
+    cell_bytes: a chunk's tokens are cut into cells of this size, so that no row is of several MB."""
     spark = df.sparkSession
     keep = tuple(c for c in keep if c not in NAMES)
     total = df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     if marks is not None:
         df = df.drop(target).join(marks.select(on, target).distinct().hint("shuffle_hash"), on, "left")
     ranges = (-(-total // range_bytes) or 1, -(-total // (8 * range_bytes)) or 1)
-    chunks, _ = materialize(_chunks(df, keep, text, target, ranges, range_bytes), "lm-chunks")
+    chunks, _ = materialize(_chunks(df, keep, text, target, ranges, range_bytes, cell_bytes), "lm-chunks")
     answers, _ = materialize(_answers(chunks.where("kind >= 0"), ranges[0]), "lm-answers")
     found = [_unpack(r["a"], "<u8") for r in answers.where("chunk = -1").select("a").toLocalIterator()]  # one row a range of words
     words, t, n = np.sum(found, axis=0).tolist() if found else (0, 0, 0)
