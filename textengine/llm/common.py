@@ -51,12 +51,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: the lineage ends there,
-    a lost executor loses nothing, and several readers don't compute df again."""
+    a lost executor loses nothing, and several readers don't compute df again. With `by`, each
+    value of that column has a folder of its own, so that parts can be dropped early."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

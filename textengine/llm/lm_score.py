@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, sliced, words_of
+from .common import drop_table, materialize, sliced, words_of
 
 NAMES = ("n_words", "target_loss", "background_loss", "score")
 #: Kinds of rows of the chunk table that are no requests: documents, and a chunk's tokens.
@@ -200,8 +200,10 @@ def score_all(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
     if marks is not None:
         df = df.drop(target).join(marks.select(on, target).distinct().hint("shuffle_hash"), on, "left")
     ranges = (-(-total // range_bytes) or 1, -(-total // (8 * range_bytes)) or 1)
-    chunks, _ = materialize(_chunks(df, keep, text, target, ranges, range_bytes, cell_bytes), "lm-chunks")
-    answers, _ = materialize(_answers(chunks.where("kind >= 0"), ranges[0]), "lm-answers")
+    chunks, folder = materialize(_chunks(df, keep, text, target, ranges, range_bytes, cell_bytes).withColumn("asks", F.col("kind") >= 0), "lm-chunks", by="asks")
+    answers, _ = materialize(_answers(chunks.where("asks"), ranges[0]), "lm-answers")
+    drop_table(spark, f"{folder}/asks=true")  # the rest of the chunks is in the other folder
+    chunks = chunks.where("NOT asks").drop("asks")
     found = [_unpack(r["a"], "<u8") for r in answers.where("chunk = -1").select("a").toLocalIterator()]  # one row a range of words
     words, t, n = np.sum(found, axis=0).tolist() if found else (0, 0, 0)
     losses = _losses(chunks.where(F.col("kind") == _TOKENS), answers.where("chunk >= 0"), ranges[0], {"t": t + words + 1, "n": n + words + 1}, weight)
