@@ -9,7 +9,7 @@ p(w|h) = weight * c(h,w) / c(h) + (1 - weight) * p(w), p(w) = (c(w) + 1) / (N +
 number of different tokens and one unknown, and p(w|h) = p(w) for an h without rows in the model.
 Every word and bigram counts, also those seen once; what is gathered grows with the rows.
 
-Texts are read once, in chunks of bounded size. A chunk asks for the counts of its own distinct
+Texts are read once, in chunks of bounded size, and kept as token numbers; texts are never shuffled. A chunk asks for the counts of its own distinct
 words and bigrams: their sorted hashes, cut into ranges, are one packed row per chunk and range.
 Ranges are grouped, counts summed over the chunks, and each chunk gets its answers back in the
 order in which it asked. So a word or bigram is one entry per chunk, however often it occurs: no key
@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_table, materialize, sliced, words_of
+from .common import materialize, sliced, words_of
 
 NAMES = ("n_words", "target_loss", "background_loss", "score")
-#: Kinds of rows of the chunk table that are no requests: documents, and a chunk's tokens.
+#: Kinds of rows that are no requests: documents, and a chunk's tokens.
 _DOCUMENT, _TOKENS = -2, -1
 #: Bits of a key.
 _BITS = 48
@@ -98,43 +98,68 @@ class _Keys:
         self.pairs, self.at_pair = np.unique(mixed >> np.uint64(64 - _BITS), return_inverse=True)
 
 
-def _chunks(df: DataFrame, keep: tuple[str, ...], text: str, target: str, ranges: tuple[int, int], most_bytes: int, cell_bytes: int) -> DataFrame:
-    """Rows of kind _DOCUMENT (the columns `keep`, place in the chunk), _TOKENS (all tokens of the
-    chunk, in cells by place) and requests (kind: a range of bigrams from 0 on, then the ranges of words)."""
+def _chunks(df: DataFrame, keep: tuple[str, ...], text: str, flag: str, most_bytes: int, cell_bytes: int) -> DataFrame:
+    """Rows of kind _DOCUMENT (the columns `keep` and `flag`, place in the chunk) and _TOKENS (all
+    tokens of the chunk, in cells by place)."""
     own = [T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("place", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("a", "b", "c"))]
-    names = [f"k{i}" for i in range(len(keep))]
-    kept = [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, keep)]
+    names = [*(f"k{i}" for i in range(len(keep))), "flag"]
+    kept = [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, (*keep, flag))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in sliced(batches, "__text", most_bytes):
             flat, sizes, code = _hashed(batch.column("__text").to_pylist())
-            mine = np.repeat(np.array([bool(x) for x in batch.column("__target").to_pylist()], np.float64), sizes)
-            keys, n = _Keys(flat, code), batch.num_rows
+            n = batch.num_rows
             columns = [pa.array(np.full(n, number)), pa.array(np.full(n, _DOCUMENT, np.int32)), pa.array(np.arange(n)), *[pa.nulls(n, pa.binary())] * 3]
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[: len(keep)]], names=[*(f.name for f in own), *names])
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[:-1]], names=[*(f.name for f in own), *names])
             whole = _pack(flat, "<u4"), _pack(sizes, "<u4"), _pack(code, "<u8")
-            packed = [tuple(w[i : i + cell_bytes] for w in whole) for i in range(0, max(map(len, whole)), cell_bytes)]
-            kinds, places = [_TOKENS] * len(packed), list(range(len(packed)))
-            pair_n, pair_t = np.bincount(keys.pair_of_token, minlength=len(keys.first)), np.bincount(keys.pair_of_token, mine, len(keys.first))
-            word_n, word_t = np.bincount(flat, minlength=len(code)), np.bincount(flat, mine, len(code))
-            for key, at, ns, ts, base, count in ((keys.pairs, keys.at_pair, pair_n, pair_t, 0, ranges[0]), (keys.words, keys.at_word, word_n, word_t, *ranges)):
-                ns, ts = np.bincount(at, ns, len(key)), np.bincount(at, ts, len(key))
-                part = _range_of(key, count)
-                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(key)]
-                for i, j in zip(cuts[:-1], cuts[1:]):
-                    kinds.append(base + int(part[i]))
-                    packed.append((_pack_keys(key[i:j]), _pack(ts[i:j], "<u4"), _pack(ns[i:j], "<u4")))
-            n = len(kinds)
-            places += [None] * (n - len(places))
-            columns = [pa.array(np.full(n, number)), pa.array(kinds, pa.int32()), pa.array(places, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*packed))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, c.type) for c in batch.columns[: len(keep)])], names=[*(f.name for f in own), *names])
+            cells = [tuple(w[i : i + cell_bytes] for w in whole) for i in range(0, max(map(len, whole)), cell_bytes)]
+            n = len(cells)
+            columns = [pa.array(np.full(n, number)), pa.array(np.full(n, _TOKENS, np.int32)), pa.array(np.arange(n)), *(pa.array(c, pa.binary()) for c in zip(*cells))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, c.type) for c in batch.columns[:-1])], names=[*(f.name for f in own), *names])
             number += 1
 
-    rows = df.select(*[F.col(c).alias(n) for n, c in zip(names, keep)], F.col(text).alias("__text"), F.coalesce(F.col(target), F.lit(False)).alias("__target"))
+    rows = df.select(*[F.col(c).alias(n) for n, c in zip(names, (*keep, flag))], F.col(text).alias("__text"))
     return rows.mapInArrow(run, T.StructType([*own, *kept]))
 
 
+def _tokens_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _hashed() said of a chunk, from its rows (kind, place, a, b, c)."""
+    cells = sorted((r for r in rows if r[0] == _TOKENS), key=lambda r: r[1])
+    flat, sizes, code = (_unpack(b"".join(r[i] for r in cells), kind) for i, kind in ((2, "<u4"), (3, "<u4"), (4, "<u8")))
+    return flat.astype(np.int64), sizes.astype(np.int64), code
+
+
+def _requests(tokens: DataFrame, targets: DataFrame, ranges: tuple[int, int]) -> DataFrame:
+    """(chunk, kind, a, b, c): keys of a range, ascending, with their counts in the chunk's target
+    rows and in all of its rows; kind is a range of bigrams from 0 on, then the ranges of words.
+    targets: chunk and place of the target rows."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "place", "a", "b", "c"))))
+        flat, sizes, code = _tokens_of(rows)
+        mine = np.zeros(len(sizes))
+        mine[[r[1] for r in rows if r[0] == _DOCUMENT]] = 1
+        mine, keys = np.repeat(mine, sizes), _Keys(flat, code)
+        pair_n, pair_t = np.bincount(keys.pair_of_token, minlength=len(keys.first)), np.bincount(keys.pair_of_token, mine, len(keys.first))
+        word_n, word_t = np.bincount(flat, minlength=len(code)), np.bincount(flat, mine, len(code))
+        kinds, packed = [], []
+        for key, at, ns, ts, base, count in ((keys.pairs, keys.at_pair, pair_n, pair_t, 0, ranges[0]), (keys.words, keys.at_word, word_n, word_t, *ranges)):
+            ns, ts = np.bincount(at, ns, len(key)), np.bincount(at, ts, len(key))
+            part = _range_of(key, count)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(key)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                kinds.append(base + int(part[i]))
+                packed.append((_pack_keys(key[i:j]), _pack(ts[i:j], "<u4"), _pack(ns[i:j], "<u4")))
+        chunk = table.column("chunk")[0].as_py()
+        return pa.table([pa.array([chunk] * len(kinds), pa.int64()), pa.array(kinds, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*packed))], names=["chunk", "kind", "a", "b", "c"])
+
+    none = F.lit(None).cast("binary")
+    marked = targets.select("chunk", F.lit(_DOCUMENT).alias("kind"), "place", none.alias("a"), none.alias("b"), none.alias("c"))
+    both = tokens.select("chunk", "kind", "place", "a", "b", "c").unionByName(marked)
+    return both.groupBy("chunk").applyInArrow(ask, "chunk long, kind int, a binary, b binary, c binary")
+
+
 def _range_of(keys: np.ndarray, count: int) -> np.ndarray:
     # The upper 32 bits of a key do: ranges are far wider than what the others tell apart.
     return ((keys >> np.uint64(_BITS - 32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
@@ -166,11 +191,9 @@ def _losses(tokens: DataFrame, answers: DataFrame, first_word_range: int, size:
     """(chunk, place, tokens, t, b): tokens and mean losses of each document."""
 
     def add(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "place", "a", "b", "c"))), key=lambda r: r[:2])
-        whole = (b"".join(cells) for cells in list(zip(*(r for r in rows if r[0] == _TOKENS)))[2:])
-        flat, sizes, code = (_unpack(w, kind) for w, kind in zip(whole, ("<u4", "<u4", "<u8")))
-        flat, sizes = flat.astype(np.int64), sizes.astype(np.int64)
-        keys, rows = _Keys(flat, code), [r for r in rows if r[0] != _TOKENS]
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "place", "a", "b", "c"))))
+        flat, sizes, code = _tokens_of(rows)
+        keys, rows = _Keys(flat, code), sorted((r for r in rows if r[0] != _TOKENS), key=lambda r: r[0])
         starts = np.cumsum(sizes) - sizes
         means = []
         for column, total in ((2, size["t"]), (3, size["n"])):
@@ -191,23 +214,24 @@ def _losses(tokens: DataFrame, answers: DataFrame, first_word_range: int, size:
 def score_all(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", target: str = "target", weight: float = 0.6, range_bytes: int = 16 << 20, cell_bytes: int = 1 << 18, marks: DataFrame | None = None, on: str = "doc_id") -> DataFrame:
     """The columns `keep`, n_words, target_loss and background_loss (means per token) and score of
     every row; the boolean column `target` marks the rows of the target model, or marks
-    (on, target) does, which is joined after the texts have been measured. range_bytes: text of a
+    (on, target) does, which is joined with the ids of the rows, not with their texts. range_bytes: text of a
     chunk, and of a range of bigrams; ranges of words are eight times as wide.
     cell_bytes: a chunk's tokens are cut into cells of this size, so that no row is of several MB."""
     spark = df.sparkSession
     keep = tuple(c for c in keep if c not in NAMES)
     total = df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    if marks is not None:
-        df = df.drop(target).join(marks.select(on, target).distinct().hint("shuffle_hash"), on, "left")
     ranges = (-(-total // range_bytes) or 1, -(-total // (8 * range_bytes)) or 1)
-    chunks, folder = materialize(_chunks(df, keep, text, target, ranges, range_bytes, cell_bytes).withColumn("asks", F.col("kind") >= 0), "lm-chunks", by="asks")
-    answers, _ = materialize(_answers(chunks.where("asks"), ranges[0]), "lm-answers")
-    drop_table(spark, f"{folder}/asks=true")  # the rest of the chunks is in the other folder
-    chunks = chunks.where("NOT asks").drop("asks")
+    chunks, _ = materialize(_chunks(df, keep, text, target if marks is None else on, range_bytes, cell_bytes), "lm-chunks")
+    documents, tokens = chunks.where(F.col("kind") == _DOCUMENT).drop("kind", "a", "b", "c"), chunks.where(F.col("kind") == _TOKENS)
+    if marks is None:
+        targets = documents.where("flag")
+    else:
+        ids = marks.where(F.col(target)).select(F.col(on).alias("__on")).distinct()
+        targets = documents.join(ids.hint("shuffle_hash"), F.col("flag") == F.col("__on"), "left_semi")
+    answers, _ = materialize(_answers(_requests(tokens, targets, ranges), ranges[0]), "lm-answers")
     found = [_unpack(r["a"], "<u8") for r in answers.where("chunk = -1").select("a").toLocalIterator()]  # one row a range of words
     words, t, n = np.sum(found, axis=0).tolist() if found else (0, 0, 0)
-    losses = _losses(chunks.where(F.col("kind") == _TOKENS), answers.where("chunk >= 0"), ranges[0], {"t": t + words + 1, "n": n + words + 1}, weight)
-    documents = chunks.where(F.col("kind") == _DOCUMENT).drop("kind", "a", "b", "c")
+    losses = _losses(tokens, answers.where("chunk >= 0"), ranges[0], {"t": t + words + 1, "n": n + words + 1}, weight)
     rows = documents.join(losses, (F.col("chunk") == F.col("__chunk")) & (F.col("place") == F.col("__place")))
     kept = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
     return rows.select(*kept, (F.col("size") - 1).alias("n_words"), F.col("t").alias("target_loss"), F.col("b").alias("background_loss"), (F.col("t") - F.col("b")).alias("score"))
