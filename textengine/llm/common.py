@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -67,6 +68,13 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of jobs that are done: it does so once the
+    driver has collected their handles, which else may take as long as the next jobs."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a text column holds about most_bytes, or one row."""
     for batch in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, sliced, words_of
+from .common import drop_shuffles, materialize, sliced, words_of
 
 NAMES = ("n_words", "target_loss", "background_loss", "score")
 #: Kinds of rows that are no requests: documents, and a chunk's tokens.
@@ -229,6 +229,7 @@ def score_all(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
         ids = marks.where(F.col(target)).select(F.col(on).alias("__on")).distinct()
         targets = documents.join(ids.hint("shuffle_hash"), F.col("flag") == F.col("__on"), "left_semi")
     answers, _ = materialize(_answers(_requests(tokens, targets, ranges), ranges[0]), "lm-answers")
+    drop_shuffles(spark)
     found = [_unpack(r["a"], "<u8") for r in answers.where("chunk = -1").select("a").toLocalIterator()]  # one row a range of words
     words, t, n = np.sum(found, axis=0).tolist() if found else (0, 0, 0)
     losses = _losses(tokens, answers.where("chunk >= 0"), ranges[0], {"t": t + words + 1, "n": n + words + 1}, weight)
