@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced
+from .common import bytes_of, sliced, unused
 
 #: The white space of Unicode, which the normalizer turns into blanks.
 _BLANKS = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -84,14 +84,6 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets (from 0) and bytes of a binary array without nulls."""
-    wide = pa.types.is_large_binary(strings.type) or pa.types.is_large_string(strings.type)
-    offsets = np.frombuffer(strings.buffers()[1] or b"\0" * 8, np.int64 if wide else np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
-    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
-    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
-
-
 def _binary(offsets: np.ndarray, data) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
 
@@ -109,7 +101,7 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     chunks as they stand in the text, which the byte rules don't cover; and the number of
     pre-tokens before each text's end."""
     closed = pc.binary_join_element_wise(texts.fill_null("").cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
-    offsets, raw = _bytes_of(closed)
+    offsets, raw = bytes_of(closed)
     kinds = _KINDS[raw]
     low = _SMALL[raw]
     latin = np.flatnonzero(raw[:-1] == 0xC3) + 1
@@ -301,7 +293,7 @@ class PairIndexBpe:
 
     def encode_units(self, units: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct units of cut() one after another, and the count of each."""
-        offsets, raw = _bytes_of(units)
+        offsets, raw = bytes_of(units)
         sizes = np.diff(offsets)
         if not odd.any():
             return self.merge(raw, sizes)
@@ -374,14 +366,14 @@ class Encoder:
         ends = np.concatenate(([0], np.cumsum(counts)))
         self.known, self.counts = pa.concat_arrays([self.known, fresh]), np.concatenate((self.counts, counts))
         for f in self.forms:
-            offsets, data = _bytes_of(self.bpe.shown[f].take(pa.array(flat)))
+            offsets, data = bytes_of(self.bpe.shown[f].take(pa.array(flat)))
             self.shown[f] = pa.concat_arrays([self.shown[f], _binary(offsets[ends], data)])
         codes = number[codes]
         upto = np.concatenate(([0], bounds))
         total = np.concatenate(([0], np.cumsum(self.counts[codes])))
         out = {}
         for f in self.forms:
-            offsets, data = _bytes_of(self.shown[f].take(pa.array(codes)))
+            offsets, data = bytes_of(self.shown[f].take(pa.array(codes)))
             out[f] = offsets[upto], data
         return np.diff(total[upto]), out
 
@@ -398,12 +390,13 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     keep = tuple(c for c in keep if c not in {f.name for f in out})
     fields = [df.schema[c] for c in keep]
     n_keep = len(keep)
+    (whole,) = unused(df, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the caches hold no cycles, and each collection would walk them whole
         encoder = Encoder(PairIndexBpe(path), ("ids", "decoded"))
-        for batch in sliced(batches, "__text", 16 << 20):
-            counts, shown = encoder.run(batch.column("__text"))
+        for batch in sliced(batches, whole, 16 << 20):
+            counts, shown = encoder.run(batch.column(whole))
             said = {}
             for form, (at, data) in shown.items():
                 view, at = memoryview(data), at.tolist()
@@ -416,4 +409,4 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in out)])
         gc.enable()
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, T.StructType([*fields, *out]))
+    return df.select(*keep, F.col(text).alias(whole)).mapInArrow(run, T.StructType([*fields, *out]))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,3 +86,11 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 32
                 n //= 2
             yield batch.slice(at, n)
             at += n
+
+
+def bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from 0) and bytes of a string or binary array without nulls."""
+    wide = pa.types.is_large_binary(strings.type) or pa.types.is_large_string(strings.type)
+    offsets = np.frombuffer(strings.buffers()[1] or b"\0" * 8, np.int64 if wide else np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm_score, mcd, mixing, neardup, sharding, token_counts, token_files, winnow
+from . import bpe, fill_middle, langid, lm_score, mcd, mixing, neardup, prefix_bpe, sharding, token_counts, token_files, whitening, winnow
 from .common import documents, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +97,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(documents(spark, sf_dir))
+
+
+def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -109,6 +122,9 @@ QUERIES = {
         op8_language_id,
         op9_winnowing,
         op10_token_counts,
+        op11_prefix_bpe,
+        op12_fill_in_middle,
+        op13_block_whitening,
     )
 }
 
