@@ -8,7 +8,7 @@ of neighbouring ranks, in which each pre-token's least rank is applied first, so
 every pre-token is the ascending one. Whole texts are put together from their numbers.
 
 Byte rules cover ASCII and the Latin letters of U+00C0 to U+00FF. Chunks between blanks that hold anything else, a
-contraction or a special token are cut by the tokenizer's own pattern, once per distinct chunk.
+contraction or a special token are normalized and cut by the library itself, once per distinct chunk; only merges are made here.
 
 Nulls count as empty texts, an empty text has no token, and repeated rows are encoded like
 any other row. Extra columns are ignored by encode_decode() except those named in `keep`; a kept
@@ -20,7 +20,6 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,24 +27,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
+
+from .common import added, bytes_of, map_texts, sliced
 
-from .common import bytes_of, sliced, unused
-
-#: The white space of Unicode, which the normalizer turns into blanks.
-_BLANKS = regex.compile("[\t-\r \x85\xa0  -     　]+")
-#: Capitals of Unicode 16 and 17, which the library lower-cases and str.lower() doesn't.
-_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
-_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-#: Letters of Unicode 17, which the library's pattern doesn't count as letters yet.
-_NOT_LETTERS = (
-    "՘֋֌࢏౜೜₏₝-₟꟎꟏꟝꟢꟱꭬꭭\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7"
-    "\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda"
-    "\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81"
-    "\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff"
-    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
-)
 #: Distinct pre-tokens that a task keeps before it starts its cache anew.
 CACHE_UNITS = 1_000_000
 #: Pairs that share a window of ranks.
@@ -161,10 +147,11 @@ class PairIndexBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        pattern = pattern.replace(r"[\p{L}]", rf"[\p{{L}}--[{_NOT_LETTERS}]]").replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]{_NOT_LETTERS}]")
-        self.pre_tokens = regex.compile(pattern, regex.V1).findall
+        library = Tokenizer.from_file(path)
+        self.normal, self.cut_up = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.ascii_cut = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
         letters = _byte_letters()
+        self.byte_of = {c: b for b, c in enumerate(letters)}
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.last = np.array([vocab[c + self.end] for c in letters], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -282,12 +269,11 @@ class PairIndexBpe:
         return symbol[alive], np.add.reduceat(alive, ends - sizes + 1, dtype=np.int64)
 
     def parts(self, chunk: str) -> list:
-        """Of a text without special rules for bytes: pre-tokens as strings, special tokens as ids."""
+        """Of a chunk that the rules for bytes don't cover: pre-tokens as bytes, special tokens as ids."""
         if self.special_pattern is None or not (hit := self.special_pattern.search(chunk)):
-            if not chunk.isascii():
-                chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower().translate(_LOWER)
-                return [p for c in _BLANKS.split(chunk) if c for p in self.pre_tokens(c)]
-            return self.pre_tokens(chunk.lower())
+            if chunk.isascii():
+                return [p.encode() for p in self.ascii_cut(chunk.lower())]
+            return [bytes([self.byte_of[c] for c in piece]) for piece, _ in self.cut_up(self.normal(chunk))]
         head, tail = chunk[: hit.start()], chunk[hit.end() :]
         return [*(self.parts(head) if head else []), self.special[hit[0]], *(self.parts(tail) if tail else [])]
 
@@ -300,7 +286,7 @@ class PairIndexBpe:
         index: dict = {}
         found = [self.parts(u.decode()) for u in units.filter(pa.array(odd)).to_pylist()]
         codes = np.array([index.setdefault(p, len(index)) for ps in found for p in ps], np.int64)
-        words = [b"" if type(w) is int else w.encode() for w in index]
+        words = [b"" if type(w) is int else w for w in index]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         is_word = lengths > 0
         plain_bytes = raw[np.repeat(~odd, sizes)]
@@ -388,25 +374,22 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     if with_text:
         out += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     keep = tuple(c for c in keep if c not in {f.name for f in out})
-    fields = [df.schema[c] for c in keep]
-    n_keep = len(keep)
-    (whole,) = unused(df, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the caches hold no cycles, and each collection would walk them whole
         encoder = Encoder(PairIndexBpe(path), ("ids", "decoded"))
-        for batch in sliced(batches, whole, 16 << 20):
-            counts, shown = encoder.run(batch.column(whole))
+        for batch in sliced(batches, "text", 16 << 20):
+            counts, shown = encoder.run(batch.column("text"))
             said = {}
             for form, (at, data) in shown.items():
                 view, at = memoryview(data), at.tolist()
                 said[form] = [view[i : max(i, j - 1)] for i, j in zip(at[:-1], at[1:])]  # without the last blank
             sha = [pa.array([hashlib.sha256(v).hexdigest() for v in said[form]], pa.string()) for form in ("ids", "decoded")]
-            columns = [*batch.columns[:n_keep], pa.array(counts, pa.int64()), *sha]
+            columns = [pa.array(counts, pa.int64()), *sha]
             if with_text:
                 ids = [[int(i) for i in bytes(v).split()] for v in said["ids"]]
                 columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([bytes(v).decode() for v in said["decoded"]], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in out)])
+            yield added(batch, out, columns)
         gc.enable()
 
-    return df.select(*keep, F.col(text).alias(whole)).mapInArrow(run, T.StructType([*fields, *out]))
+    return map_texts(df, keep, text, run, out)

@@ -6,11 +6,13 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of every contract: runs of anything but space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -43,6 +45,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def columns(*names: str) -> list[Column]:
+    """Columns of these very names, whatever dots and backticks are in them."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def map_texts(df: DataFrame, keep: tuple[str, ...], text: str, run: Callable, fields: list[T.StructField]) -> DataFrame:
+    """df's columns `keep` and the fields that run() adds to batches of them and, as the last column, "text".
+
+    Inside, columns have names of their own, as Spark's Arrow functions don't take every name.
+    """
+    inner = [f"k{i}" for i in range(len(keep))]
+    rows = df.select(*[c.alias(n) for n, c in zip((*inner, "text"), columns(*keep, text))])
+    schema = T.StructType([*(T.StructField(n, df.schema[c].dataType) for n, c in zip(inner, keep)), *fields])
+    return rows.mapInArrow(run, schema).toDF(*keep, *(f.name for f in fields))
+
+
+def added(batch: pa.RecordBatch, fields: list[T.StructField], columns: list[pa.Array]) -> pa.RecordBatch:
+    """A batch of map_texts() with the fields in the place of the text."""
+    n = batch.num_columns - 1
+    return pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=[*batch.schema.names[:n], *(f.name for f in fields)])
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with so many underscores before it that no column of df has it."""
     taken, out = {c.lower() for c in df.columns}, []

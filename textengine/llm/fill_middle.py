@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, sliced
+from .common import bytes_of, columns, sliced
 
 #: Fixed values of the format: sentinels of prefix, suffix and middle.
 SENTINELS = {"prefix": b"<P>", "suffix": b"<S>", "middle": b"<M>"}
@@ -264,7 +264,8 @@ def fill_in_middle(
 
         return _Stream(with_text).run(_inside(batches, digest="digest", output="output"), finished, False)
 
-    rows = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(n) for n, c in zip(inner, keep)])
+    id_of, text_of = columns(doc_id, text)
+    rows = df.select(id_of.alias("id"), F.coalesce(text_of, F.lit("")).alias("text"), *[c.alias(n) for n, c in zip(inner, columns(*keep))])
     cut = rows.mapInArrow(_pieces(inner, units, seed, plain_from, spm_below), cut_schema)
     outputs = cut.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_output(with_text), out_schema)
     found = outputs.sortWithinPartitions("key", "place").mapInArrow(restored, last_schema)

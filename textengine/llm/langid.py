@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced
+from .common import added, columns, map_texts, sliced
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -74,7 +74,8 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities (float32, languages x buckets; the last
     column of the returned matrix is the log prior)."""
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    lang_of, text_of = columns(lang, text)
+    rows = df.where(lang_of.isNotNull() & text_of.isNotNull()).select(lang_of.cast("string").alias("lang"), text_of.alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -108,13 +109,13 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str,
     keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     langs, logs = model
     table = df.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logs)))
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = table.value
         buckets = matrix.shape[1] - 1
-        for batch in sliced(batches, "__text", SLICE):
-            texts = [letters(t) for t in batch.column("__text").to_pylist()]
+        for batch in sliced(batches, "text", SLICE):
+            texts = [letters(t) for t in batch.column("text").to_pylist()]
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if names:
                 ids, owner = grams(texts, buckets)
@@ -127,6 +128,6 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str,
                 share /= share.sum(0)
                 score = np.where(n > 0, np.clip(share[best, np.arange(len(texts))], 0.0, 1.0), 0.0)
                 pred = [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield added(batch, out, [pa.array(pred, pa.string()), pa.array(score, pa.float64())])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return map_texts(df, keep, text, run, out)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_shuffles, materialize, sliced, words_of
+from .common import columns, drop_shuffles, materialize, sliced, words_of
 
 NAMES = ("n_words", "target_loss", "background_loss", "score")
 #: Kinds of rows that are no requests: documents, and a chunk's tokens.
@@ -119,7 +119,7 @@ def _chunks(df: DataFrame, keep: tuple[str, ...], text: str, flag: str, most_byt
             yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, c.type) for c in batch.columns[:-1])], names=[*(f.name for f in own), *names])
             number += 1
 
-    rows = df.select(*[F.col(c).alias(n) for n, c in zip(names, (*keep, flag))], F.col(text).alias("__text"))
+    rows = df.select(*[c.alias(n) for n, c in zip((*names, "__text"), columns(*keep, flag, text))])
     return rows.mapInArrow(run, T.StructType([*own, *kept]))
 
 
@@ -234,5 +234,5 @@ def score_all(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
     words, t, n = np.sum(found, axis=0).tolist() if found else (0, 0, 0)
     losses = _losses(tokens, answers.where("chunk >= 0"), ranges[0], {"t": t + words + 1, "n": n + words + 1}, weight)
     rows = documents.join(losses, (F.col("chunk") == F.col("__chunk")) & (F.col("place") == F.col("__place")))
-    kept = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
-    return rows.select(*kept, (F.col("size") - 1).alias("n_words"), F.col("t").alias("target_loss"), F.col("b").alias("background_loss"), (F.col("t") - F.col("b")).alias("score"))
+    kept = [f"k{i}" for i in range(len(keep))]
+    return rows.select(*kept, F.col("size") - 1, "t", "b", F.col("t") - F.col("b")).toDF(*keep, *NAMES)

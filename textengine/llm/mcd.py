@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import drop_table, materialize
+from .common import columns, drop_table, materialize
 from .stats import NAMES, with_stats
 
 #: Features: name, transformation of the statistics, floor of the standard deviation.
@@ -236,8 +236,8 @@ def quality(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
     keep = tuple(c for c in keep if c not in mine)
     # Kept columns travel under names that no statistic, feature or estimate has.
     under = {c: f"__keep{i}" for i, c in enumerate(keep)}
-    rows = df.select("lang", "source", F.col(text).alias("__body"), *[F.col(c).alias(n) for c, n in under.items()])
+    rows = df.select("lang", "source", *(c.alias(n) for c, n in zip(columns(text, *keep), ("__body", *under.values()))))
     slim = tuple(n for c, n in under.items() if c != text)
     stats, _ = materialize(with_stats(rows, (*slim, "lang", "source"), "__body"), "mcd-stats")
     whole = with_stats(rows, (*under.values(), "lang", "source"), "__body") if text in keep else stats
-    return judge(whole, fit(stats), cutoff).select(*[F.col(n).alias(c) for c, n in under.items()], *mine)
+    return judge(whole, fit(stats), cutoff).select(*under.values(), *mine).toDF(*keep, *mine)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, columns, materialize
 
 #: Rounds of the block permutation.
 _ROUNDS = 12
@@ -129,9 +129,8 @@ def mix(
     mine = ("size", "source_size", "target", "taken", "shard_taken", "copies")
     keep = tuple(c for c in keep if c not in mine)
     base = df.select(
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-        F.col(source).alias("source"),
-        F.col(text).alias("text"),
+        *[c.alias(f"k{i}") for i, c in enumerate(columns(*keep))],
+        *(c.alias(n) for c, n in zip(columns(source, text), ("source", "text"))),
     ).withColumn("place", F.xxhash64(F.lit(seed), "text", *[f"k{i}" for i, c in enumerate(keep) if c != text and isinstance(df.schema[c].dataType, (T.LongType, T.IntegerType, T.StringType))]))
     sources, _ = materialize(base.groupBy("source").agg(F.count("*").alias("n")), "mix-sources")
     if cell_rows is None:
@@ -202,12 +201,6 @@ def mix(
         F.when(has, copies(whole, place(middle))).otherwise(F.lit(0)).cast("long").alias("copies"),
     )
     by_shard = F.transform("sums", lambda v, i: v - F.when(i > 0, F.get("sums", i - 1)).otherwise(F.lit(0)))
-    return rows.select(
-        *[F.col(i).alias(c) for i, c in zip(ids, keep)],
-        "size",
-        "source_size",
-        "target",
-        F.element_at("sums", -1).alias("taken"),
-        by_shard.alias("shard_taken"),
-        "copies",
-    )
+    # Kept columns take their names last: one may be named like a column that is read here.
+    found = rows.select(*ids, "size", "source_size", "target", F.element_at("sums", -1), by_shard, "copies")
+    return found.toDF(*keep, *mine)

@@ -26,10 +26,9 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, sliced, unused
+from .common import added, bytes_of, map_texts, sliced
 
 #: Pieces, and pairs of tokens, that a task remembers before it starts anew.
 CACHE = 1_000_000
@@ -241,9 +240,9 @@ class EditableText:
         """Put `new` in the place of the code points from start up to stop."""
         grown = len(new) - (stop - start)
         self.text = self.text[:start] + new + self.text[stop:]
-        # A piece depends on the code point behind it, and white space on the one behind the whole
-        # stretch: what ends at `start` or later is cut anew, and the white space before that.
-        first = max(0, bisect.bisect_left(self.starts, start) - 1)
+        # A piece depends on up to two code points behind it (a contraction has three), and white space on
+        # the one behind the whole stretch: what ends there or later is cut anew, and the white space before that.
+        first = max(0, bisect.bisect_left(self.starts, start - 2) - 1)
         while first and self.pieces[first - 1].isspace():
             first -= 1
         begin = self.starts[first] if self.starts else 0
@@ -294,20 +293,19 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ke
     if with_ids:
         out += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
     keep = tuple(c for c in keep if c not in {f.name for f in out})
-    (whole,) = unused(df, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cut = load(path), Cutter(pattern)
         known, shown = _Known(bpe), pa.array(bpe.tokens, pa.large_binary())
-        for batch in sliced(batches, whole, 8 << 20):
+        for batch in sliced(batches, "text", 8 << 20):
             coded, decoded = [], []
-            for t in batch.column(whole):
+            for t in batch.column("text"):
                 coded.append(b"".join(map(known.__getitem__, cut(t.as_py() or ""))))
                 decoded.append(bytes_of(shown.take(pa.array(np.frombuffer(coded[-1], "<u4"))))[1])
             sha = [pa.array([hashlib.sha256(x).hexdigest() for x in of], pa.string()) for of in (coded, decoded)]
-            columns = [*batch.columns[: len(keep)], pa.array([len(c) // 4 for c in coded], pa.int64()), *sha]
+            columns = [pa.array([len(c) // 4 for c in coded], pa.int64()), *sha]
             if with_ids:
                 columns += [pa.array([np.frombuffer(c, "<i4") for c in coded], pa.list_(pa.int32())), pa.array([d.tobytes() for d in decoded], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in out)])
+            yield added(batch, out, columns)
 
-    return df.select(*keep, F.col(text).alias(whole)).mapInArrow(run, T.StructType([*[df.schema[c] for c in keep], *out]))
+    return map_texts(df, keep, text, run, out)

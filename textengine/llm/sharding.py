@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import unused
-
 
 def draw_marked(rng: np.random.Generator, marked: int, others: int, n: int) -> int:
     """Hypergeometric draw for any counts: marked ones among n of marked + others.
@@ -72,7 +70,8 @@ def communication_matrix(counts: list[int], capacity: list[int], seed: int) -> n
 def shuffle_into_shards(df: DataFrame, shards: int = 40, seed: int = 11, cell_rows: int = 4000) -> DataFrame:
     """df with shard (0 to shards - 1) and slot (place in the shard, gapless from 0)."""
     df = df.drop("shard", "slot")
-    cell_name, key_name, shard_of, cell_of, start = unused(df, "__cell", "__key", "__shard_of", "__cell_of", "__start")
+    own_names, df = df.columns, df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    cell_name, key_name, shard_of, cell_of, start = "cell", "key", "shard_of", "cell_of", "start"
     found = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()}
     total = sum(found.values())
     parts = sorted(found)
@@ -121,4 +120,4 @@ def shuffle_into_shards(df: DataFrame, shards: int = 40, seed: int = 11, cell_ro
     rank = F.row_number().over(W.partitionBy("shard", cell_name).orderBy(key_name))
     placed = dealt.withColumn("slot", rank.cast("long") - 1)
     met = placed.join(starts, (F.col("shard") == F.col(shard_of)) & (F.col(cell_name) == F.col(cell_of)))
-    return met.select(*[f"`{c}`" for c in names], "shard", (F.col("slot") + F.col(start)).alias("slot"))
+    return met.select(*names, "shard", F.col("slot") + F.col(start)).toDF(*own_names, "shard", "slot")

@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, sliced, words_of
+from .common import WORD, added, map_texts, sliced, words_of
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -55,12 +54,12 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 def with_stats(df: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """The columns `keep` and the statistics NAMES of each row's whole text (null: all 0)."""
     keep = tuple(c for c in keep if c not in NAMES)
-    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in NAMES)])
+    out = [T.StructField(n, T.LongType()) for n in NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "__text"):
-            found = [text_stats(t) for t in batch.column("__text").to_pylist()]
+        for batch in sliced(batches, "text"):
+            found = [text_stats(t) for t in batch.column("text").to_pylist()]
             columns = list(zip(*found)) or [()] * len(NAMES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, pa.int64()) for c in columns)], names=[*keep, *NAMES])
+            yield added(batch, out, [pa.array(c, pa.int64()) for c in columns])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return map_texts(df, keep, text, run, out)

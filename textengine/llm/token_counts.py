@@ -23,10 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, words_of
+from .common import added, map_texts, sliced, words_of
 
 #: Starts every pre-token.
 MARK = "▁"
@@ -84,14 +83,14 @@ class ScoreTrie:
 def count_tokens(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns `keep`, n_words and n_tokens of every row. One pass, no shuffle."""
     keep = tuple(c for c in keep if c not in ("n_words", "n_tokens"))
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    out = [T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the trie holds no cycles, and each collection would walk it whole
         trie, terminal = ScoreTrie(pieces(path)), {}
-        for batch in sliced(batches, "__text"):
+        for batch in sliced(batches, "text"):
             words, totals = [], []
-            for t in batch.column("__text").to_pylist():
+            for t in batch.column("text").to_pylist():
                 found = words_of(t) if t else []
                 if len(trie.best) > MOST_NODES:
                     trie.clear()
@@ -100,7 +99,7 @@ def count_tokens(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
                     terminal[w] = trie.tokens(MARK + w)
                 words.append(len(found))
                 totals.append(sum([terminal[w] for w in found]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(words, pa.int64()), pa.array(totals, pa.int64())], names=[*keep, "n_words", "n_tokens"])
+            yield added(batch, out, [pa.array(words, pa.int64()), pa.array(totals, pa.int64())])
         gc.enable()
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return map_texts(df, keep, text, run, out)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_table, materialize
+from .common import columns, drop_table, materialize
 
 #: Fixed value of the contract: steps of one unit of an entry.
 STEPS = 256.0
@@ -44,7 +44,8 @@ def stepped(vector: str = "x") -> F.Column:
 
 def usable(df: DataFrame, vector: str, keep: tuple[str, ...]) -> DataFrame:
     """Rows with vectors of the commonest length whose entries are all finite: head, x."""
-    rows = df.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("head") if keep else F.struct(F.lit(0).alias("none")).alias("head"), F.col(vector).alias("x"))
+    head = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns(*keep))]) if keep else F.struct(F.lit(0).alias("none"))
+    rows = df.select(head.alias("head"), *(c.alias("x") for c in columns(vector)))
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     rows = rows.where(F.col("x").isNotNull() & (F.size("x") > 0)).where(F.coalesce(finite, F.lit(False)))
     sizes = rows.groupBy(F.size("x").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
