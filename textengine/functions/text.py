@@ -16,6 +16,11 @@ LETTERS_DE = r"[a-zäöüß]+"
 KEYWORD = r"[a-z][a-z']+"
 RARE = r"[a-z][a-z0-9\-]{2,}"
 DIGIT_RUN = r"[0-9][0-9\s\-]{6,}[0-9]"
+#: What cleaning turns into blanks. An address begins where its run of characters does: only there is it
+#: looked for, as a search from every character would take time by the square of the run's length.
+URL = r"https?://\S+"
+MAIL = r"(?<!\S)\S+@\S+"
+TICKET = r"\b[A-Z]{2,}-?[0-9]{3,}\b"
 #: Fixed value: characters that a cleaned ticket keeps (PF-01).
 MAX_CHARS = 2000
 
@@ -48,7 +53,7 @@ def clean(subject: Column, body: Column, most: int | None = None) -> Column:
     both empty leave the joiner's dot. most: characters to keep, where short tickets are wanted. The id pattern follows the lower-casing and so never
     matches, which keeps ticket ids."""
     text = F.lower(F.concat(F.coalesce(subject, F.lit("")), F.lit(" . "), F.coalesce(body, F.lit(""))))
-    for pattern in (r"https?://\S+", r"\S+@\S+", r"\b[A-Z]{2,}-?[0-9]{3,}\b"):
+    for pattern in (URL, MAIL, TICKET):
         text = F.regexp_replace(text, pattern, " ")
     text = F.trim(F.regexp_replace(text, WS + "+", " "))
     return text if most is None else F.substring(text, 1, most)
@@ -74,7 +79,7 @@ def sentences(text: Column) -> Column:
     """array<string>: cut after end punctuation with white space and at line breaks."""
     plain = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit(" ")), F.lit("\\r"), F.lit(" "))
     cut = F.split(F.regexp_replace(plain, r"([.!?:;])\s+", "$1\n"), "\n+")
-    return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"^\s+|(?<!\s)\s+$", "")), lambda s: s != "")
 
 
 def hits(tokens: Column, names: list[str]) -> Column:

@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out once where the files have fewer splits than half the cores, so that one split's
-    texts aren't all cleaned by one task. Tables with enough splits stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    """Deal rows out once where the table has less than a split for every core, by the plan's own estimate of
+    its bytes: its few row groups would else all be cleaned by one task. Larger tables stay as they are."""
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if held < cores * split else df
 
 
 def tickets(spark: SparkSession, d: str) -> DataFrame:
