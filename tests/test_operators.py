@@ -3,15 +3,18 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textengine.functions import text as X
 from textengine.operators import decide as D
 from textengine.operators import evidence as E
 from textengine.operators import families, metrics, monitor, split
+from textengine.operators import ivf as I
 from textengine.operators import models as M
 from textengine.operators import similarity as J
 from textengine.operators import vectorize as V
+from textengine.scratch import materialize
 
 
 def test_greedy_dedup_follows_row_order(spark):
@@ -77,26 +80,59 @@ def test_sim_join_is_exact(spark):
     assert {(r["q_id"], r["n_id"]) for r in J.sim_join(w, w, 0.4, same=True).collect()} == want
 
 
-def test_approximate_neighbours_recall(spark, sf):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    q = v.where("id % 20 = 0")
-    exact = J.dense_topk(q, v, 10, same=True).select("q_id", "n_id")
-    found = J.approx_topk(q, v, 10).select("q_id", "n_id")
-    assert exact.join(found, ["q_id", "n_id"]).count() >= 0.9 * exact.count()
-
-
-def test_registered_approximate_neighbours_recall(spark):
-    """The query as registered, against all other rows."""
-    import __spark_entry__ as entry
-    from textengine.plans import views
-
-    d = "/root/testdata/sf0.01"
-    v = views.dense(spark, d)
-    exact = J.dense_topk(v.where("id % 20 = 0"), v, 10, same=True).select("q_id", "n_id")
-    found = entry.queries()["jn_19_approx_topk"](spark, d).select("q_id", "n_id")
-    wanted, met = exact.count(), exact.join(found, ["q_id", "n_id"]).count()
-    # 100 candidates a query are scored, 20 % of the 500 rows here and a smaller share of larger tables.
-    assert wanted > 0 and met >= 0.95 * wanted
+def recall_and_share(q, v, k=10):
+    index = I.build(v, k)
+    exact = J.dense_topk(q, v, k, same=True).select("q_id", "n_id")
+    found = I.search(q, v, k, index=index).select("q_id", "n_id")
+    share = I.compared(q, index).first()
+    return exact.join(found, ["q_id", "n_id"]).count() / exact.count(), share["compared"] / share["pairs"]
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_registered_approximate_neighbours_recall(spark, size):
+    """The query as registered, against all other rows. The vectors of these tables point anywhere (no
+    direction has more variance than another), so cells exclude few rows."""
+    from textengine.plans import neighbours
+
+    recall, share = recall_and_share(*neighbours.search(spark, f"/root/testdata/{size}"))
+    assert recall >= 0.9 and share < 0.8
+
+
+def test_inverted_file_compares_few_rows_of_clustered_vectors(spark):
+    rng, shares = np.random.default_rng(5), []
+    for n in (600, 2400):
+        centres = rng.normal(size=(n // 20, 32))
+        vectors = centres[rng.integers(len(centres), size=n)] + 0.4 * rng.normal(size=(n, 32))
+        v = spark.createDataFrame([(i, x) for i, x in enumerate(vectors.tolist())] + [(n, None), (n + 1, [0.0] * 32)], "id long, vec array<double>")
+        recall, share = recall_and_share(v.where("id % 20 = 0 and vec is not null"), v.where("vec is not null"))
+        shares.append(share)
+        assert recall >= 0.9 and share <= 0.2
+    assert shares[1] < shares[0]
+
+
+def test_bounded_topk_equals_the_plain_join(spark):
+    rng = np.random.default_rng(2)
+    rare = lambda i: " ".join(f"r{x}" for x in rng.choice(900, 6)) + f" only{i}"
+    rows = spark.createDataFrame([(i, f"the {rare(i)}" + " of" * int(i % 3)) for i in range(1000)] + [(2000, "the"), (2001, "the of")], "id long, text string")
+    w, _ = materialize(V.tfidf_view(rows, min_df=1), "w")
+    plain = J.sparse_pairs(w, w).where("q_id <> n_id")
+    assert {tuple(r) for r in J.top_k(plain, 5).collect()} == {tuple(r) for r in J.bounded_topk(w, w, 5, same=True).collect()}
+    marks = J.bounded_marks(w, w, 5, same=True)
+    assert plain.count() > 0.9 * 1002**2 and J.bounded_pairs(marks, w, same=True).count() < 0.05 * 1002**2
+    sides = V.bm25_sides(rows.where("id < 40 or id >= 2000"), rows)
+    scores = J.sparse_pairs(*sides)
+    assert {tuple(r) for r in J.top_k(scores, 5).collect()} == {tuple(r) for r in J.bounded_topk(*sides, 5, unit=False).collect()}
+    bounds = J.bounded_marks(*sides, 5, unit=False).groupBy("q_id").agg(F.max("upto").alias("bound"))
+    assert scores.join(bounds, "q_id").where("sim > bound + 1e-9").count() == 0
+
+
+def test_bounded_topk_with_few_neighbours_and_one_hot_term(spark):
+    q = spark.createDataFrame([(1, "a", 1.0), (2, "hot", 1.0), (3, "b", 0.6), (3, "hot", 0.8), (4, "none", 1.0)], "id long, term string, w double")
+    p = spark.createDataFrame([(i, "hot", 1.0 - i / 500) for i in range(100, 400)] + [(500, "a", 1.0), (501, "b", 0.9)], "id long, term string, w double")
+    want = {tuple(r) for r in J.top_k(J.sparse_pairs(q, p), 3).collect()}
+    assert {tuple(r) for r in J.bounded_topk(q, p, 3).collect()} == want and len(want) == 7
+    assert J.bounded_pairs(J.bounded_marks(q, p, 3), p).count() < 20
+    assert J.bounded_topk(q.where("false"), p, 3).count() == 0 == J.bounded_topk(q, p.where("false"), 3).count()
 
 
 def test_places_in_hash_order(spark):

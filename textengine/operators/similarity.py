@@ -8,8 +8,6 @@ Similarities are rounded to 6 places before ranking, and ties go to the smaller
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from textengine.functions import text as X
+from textengine.scratch import drop_table, materialize
 
 PLACES = 6
 
@@ -35,13 +34,97 @@ def sparse_pairs(q: DataFrame, p: DataFrame) -> DataFrame:
     return a.join(b, "term").groupBy("q_id", "n_id").agg(F.sum(F.col("wq") * F.col("wp")).alias("sim"))
 
 
+#: Similarities are rounded, so what lies less than this below a bound may still tie with it.
+_TIE = 2e-6
+
+
+def bounded_marks(q: DataFrame, p: DataFrame, k: int, same: bool = False, unit: bool = True) -> DataFrame:
+    """The query terms that the pool has, with what each has to be read for.
+
+    Postings are ordered by impact. The first 2 k of every term give sums that no similarity is
+    below, and so a k-th best (`floor`) for each query. From the commonest term on, terms can be left out of the
+    search while all of them together can't lift a row to the floor: sums of weight times the term's largest
+    weight bound them and, unit (rows of length 1), the length of the query's part does, too. Of the first term beyond those
+    (`edge`), postings below `need` can't lift a row there either; it is read whole if `need` is less than half
+    the term's largest weight, as its sums are then worth more than what is saved. Columns: q_id, term, wq, part
+    (left, edge, core), need, upto and below (bounds with and without the term), floor.
+    """
+    a = q.select(F.col("id").alias("q_id"), "term", F.col("w").alias("wq"))
+    b = p.select(F.col("id").alias("n_id"), "term", F.col("w").alias("wp"))
+    asked = a.join(b.groupBy("term").agg(F.count("*").alias("df"), F.max("wp").alias("most")), "term")
+    heads = b.withColumn("place", F.row_number().over(W.partitionBy("term").orderBy(F.desc("wp"), "n_id"))).where(F.col("place") <= 2 * k)
+    sums = _apart(asked.join(heads, "term"), same).groupBy("q_id", "n_id").agg(F.sum(F.col("wq") * F.col("wp")).alias("sum"))
+    best = sums.withColumn("place", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("sum")))).where(F.col("place") <= k)
+    floors = best.where(F.col("place") == k).select("q_id", F.col("sum").alias("floor"))
+    rows = asked.join(floors, "q_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - _TIE)
+    order = W.partitionBy("q_id").orderBy(F.desc("df"), "term").rowsBetween(W.unboundedPreceding, 0)
+    impact, square = F.col("wq") * F.col("most"), F.col("wq") * F.col("wq")
+
+    def bound(without: bool) -> Column:
+        by_impact = F.sum(impact).over(order) - (impact if without else 0)
+        by_length = F.sqrt(F.greatest(F.sum(square).over(order) - (square if without else 0), F.lit(0.0)))
+        return F.least(by_impact, by_length) if unit else by_impact
+
+    rows = rows.withColumns({"upto": bound(False), "below": bound(True)})
+    rows = rows.withColumn("need", (F.col("floor") - F.col("below")) / F.col("wq"))
+    edge = (F.col("below") < F.col("floor")) & (F.col("need") * 2 >= F.col("most"))
+    part = F.when(F.col("upto") < F.col("floor"), "left").when(edge, "edge").otherwise("core")
+    return rows.select("q_id", "term", "wq", part.alias("part"), "need", "upto", "below", "floor")
+
+
+def _apart(pairs: DataFrame, same: bool) -> DataFrame:
+    return pairs.where(F.col("q_id") != F.col("n_id")) if same else pairs
+
+
+def bounded_pairs(marks: DataFrame, p: DataFrame, same: bool = False) -> DataFrame:
+    """(q_id, n_id, sum, edge): all pairs that may reach the floor, with the sum over what was read;
+    edge: whether that holds the edge term."""
+    b = p.select(F.col("id").alias("n_id"), "term", F.col("w").alias("wp"))
+    met = marks.where(F.col("part") != "left").join(b, "term").where((F.col("part") == "core") | (F.col("wp") >= F.col("need")))
+    return _apart(met, same).groupBy("q_id", "n_id").agg(F.sum(F.col("wq") * F.col("wp")).alias("sum"), F.max(F.col("part") == "edge").alias("edge"))
+
+
+def bounded_topk(q: DataFrame, p: DataFrame, k: int, same: bool = False, unit: bool = True) -> DataFrame:
+    """The k most similar pool rows of each query, exactly, without a join on common terms.
+
+    Rare terms find the pairs; the terms that were left out are looked up only for pairs that may still be among the
+    k best. Weights must not be negative; unit: rows have length 1 at most. Both sides are written once, as
+    they are read several times.
+    """
+    p, pool_path = materialize(p.select("id", "term", "w"), "topk-pool")
+    q, query_path = (p, None) if same else materialize(q.select("id", "term", "w"), "topk-queries")
+    marks, marks_path = materialize(bounded_marks(q, p, k, same, unit), "topk-marks")
+    by_query = marks.groupBy("q_id").agg(
+        F.max("floor").alias("floor"),
+        F.coalesce(F.max(F.when(F.col("part") == "left", F.col("upto"))), F.lit(0.0)).alias("left_out"),
+        F.coalesce(F.max(F.when(F.col("part") == "edge", F.col("need") * F.col("wq"))), F.lit(0.0)).alias("edge_out"),
+    )
+    # The terms left out and the edge are bounded apart, as most pairs hold the edge term.
+    pairs = bounded_pairs(marks, p, same)
+    place = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("sum")))
+    kth = F.max(F.when(F.col("place") == k, F.col("sum"))).over(W.partitionBy("q_id"))
+    rows = pairs.withColumn("place", place).withColumn("kth", kth).join(by_query, "q_id")
+    reach = F.col("sum") + F.col("left_out") + F.when(F.col("edge"), 0.0).otherwise(F.col("edge_out"))
+    open_pairs, open_path = materialize(rows.where(reach >= F.greatest("floor", F.coalesce("kth", F.lit(0.0)) - _TIE)).select("q_id", "n_id", "sum", "edge"), "topk-open")
+    rest = marks.where(F.col("part") != "core").select("q_id", "term", "wq", "part")
+    b = p.select(F.col("id").alias("n_id"), "term", F.col("w").alias("wp"))
+    asked = open_pairs.select("q_id", "n_id", "edge").join(rest, "q_id").where((F.col("part") == "left") | ~F.col("edge"))
+    more = asked.join(b, ["n_id", "term"]).groupBy("q_id", "n_id").agg(F.sum(F.col("wq") * F.col("wp")).alias("more"))
+    sims = open_pairs.join(more, ["q_id", "n_id"], "left").select("q_id", "n_id", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sim"))
+    found, _ = materialize(top_k(sims, k), "topk-found")
+    for path in (pool_path, query_path, marks_path, open_path):
+        if path:
+            drop_table(p.sparkSession, path)
+    return found
+
+
 def sparse_topk(q: DataFrame, p: DataFrame, k: int) -> DataFrame:
-    return top_k(sparse_pairs(q, p), k)
+    return bounded_topk(q, p, k)
 
 
 def loo_topk(rows: DataFrame, k: int) -> DataFrame:
     """Neighbours within one set, without oneself."""
-    return top_k(sparse_pairs(rows, rows).where(F.col("q_id") != F.col("n_id")), k)
+    return bounded_topk(rows, rows, k, same=True)
 
 
 def dense_topk(q: DataFrame, p: DataFrame, k: int, same: bool = False, apart: Column | None = None, rows_per_block: int = 4000) -> DataFrame:
@@ -257,52 +340,6 @@ def fuse(views: DataFrame, how: str, dense: list[str], lexical: list[str], weigh
     raise ValueError(how)
 
 
-def approx_topk(q: DataFrame, p: DataFrame, k: int, bits: int = 1024, tenfold: int = 10, rows_per_block: int = 20_000, seed: int = 7) -> DataFrame:
-    """Dense neighbours from sign sketches, exactly scored: rows (id, vec) become `bits` signs of random
-    projections, blocks of sketches are compared by the number of different bits, and only
-    the tenfold * k nearest of each query are scored on their vectors. A row is not its own neighbour.
-
-    The candidates of a query don't grow with the pool; a sketch has bits / 8 bytes whatever the vectors have.
-    """
-    def sketched(df: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                m = np.stack([np.asarray(v, np.float64) for v in part["vec"]])
-                planes = np.random.default_rng(seed).normal(size=(m.shape[1], bits))
-                packed = np.packbits(m @ planes > 0, axis=1)
-                yield pd.DataFrame({"id": part["id"], "bits": [r.tobytes() for r in packed]})
-
-        return df.select("id", "vec").mapInPandas(run, "id long, bits binary")
-
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // rows_per_block))
-
-    def words(col: pd.Series) -> np.ndarray:
-        return np.frombuffer(b"".join(col), np.uint64).reshape(len(col), -1)
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            ours, theirs, own, ids = words(a["bits"]), words(b["bits"]), a["id"].to_numpy(), b["id"].to_numpy()
-            for i in range(len(ours)):
-                apart = np.bitwise_count(theirs ^ ours[i]).sum(1, dtype=np.int32)
-                apart[ids == own[i]] = bits + 1
-                at = np.argpartition(apart, most - 1)[:most] if most < len(apart) else np.arange(len(apart))
-                at = at[apart[at] <= bits]
-                out.append(pd.DataFrame({"q_id": own[i], "n_id": ids[at], "apart": apart[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"q_id": [], "n_id": [], "apart": []}).astype({"q_id": "int64", "n_id": "int64", "apart": "int32"})
-
-    most, nq, np_ = tenfold * k, blocks(q), blocks(p)
-    left = sketched(q).withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(nq)), "pb": F.explode(F.sequence(F.lit(0), F.lit(np_ - 1)))})
-    right = sketched(p).withColumns({"npb": F.pmod(F.xxhash64("id"), F.lit(np_)), "nqb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
-    met = left.groupBy("qb", "pb").cogroup(right.groupBy("nqb", "npb")).applyInPandas(nearest, "q_id long, n_id long, apart int")
-    best = F.row_number().over(W.partitionBy("q_id").orderBy("apart", "n_id"))
-    pairs = met.withColumn("n", best).where(F.col("n") <= most).select("q_id", "n_id")
-    rows = pairs.join(q.select(F.col("id").alias("q_id"), F.col("vec").alias("a")), "q_id").join(p.select(F.col("id").alias("n_id"), F.col("vec").alias("b")), "n_id")
-    cosine = X.dot(F.col("a"), F.col("b")) / F.sqrt(X.dot(F.col("a"), F.col("a")) * X.dot(F.col("b"), F.col("b")))
-    return top_k(rows.select("q_id", "n_id", cosine.alias("sim")), k)
-
-
 def match_labels(answers: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, label): the class that a free answer names exactly, else one that it begins with or
     that begins with it (the first in order), else null. labels (queue, label) is the class list."""

@@ -68,13 +68,12 @@ def bm25_weights(terms: DataFrame, n_docs: DataFrame, k1: float = 1.2, b: float
     return rows.select("id", "term", w.alias("w")), idf
 
 
-def bm25(queries: DataFrame, pool: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(q_id, n_id, sim): scores of queries (id, text) over a pool, divided by the query's bound."""
+def bm25_sides(queries: DataFrame, pool: DataFrame, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Queries (id, text) and pool as rows (id, term, w) whose products add up to the score, divided by the query's bound."""
     weights, idf = bm25_weights(token_rows(pool), count_rows(pool), k1, b)
-    asked = token_rows(queries).join(idf, "term").select(F.col("id").alias("q_id"), "term", "idf")
-    bound = asked.groupBy("q_id").agg((F.sum("idf") * (k1 + 1)).alias("bound"))
-    scores = asked.select("q_id", "term").join(weights.withColumnRenamed("id", "n_id"), "term").groupBy("q_id", "n_id").agg(F.sum("w").alias("s"))
-    return scores.join(bound, "q_id").select("q_id", "n_id", (F.col("s") / F.greatest("bound", F.lit(1e-6))).alias("sim"))
+    asked = token_rows(queries).join(idf, "term").select("id", "term", "idf")
+    bound = asked.groupBy("id").agg((F.sum("idf") * (k1 + 1)).alias("bound"))
+    return asked.join(bound, "id").select("id", "term", (1 / F.greatest("bound", F.lit(1e-6))).alias("w")), weights
 
 
 def onehot(df: DataFrame, token_column: str) -> DataFrame:

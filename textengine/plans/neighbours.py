@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textengine.functions import text as X
 from textengine.operators import decide as D
 from textengine.operators import evidence as E
+from textengine.operators import ivf as I
 from textengine.operators import quality as Q
 from textengine.operators import similarity as J
 from textengine.operators import vectorize as V
@@ -239,7 +240,7 @@ def jn_18(spark, d):
 
 @query("jn_19_approx_topk")
 def jn_19(spark, d):
-    return J.approx_topk(*search(spark, d), 10)
+    return I.search(*search(spark, d), 10)
 
 
 @query(

@@ -21,7 +21,7 @@ def spread(df: DataFrame) -> DataFrame:
     its bytes: its few row groups would else all be cleaned by one task. Larger tables stay as they are."""
     spark = df.sparkSession
     cores, split = spark.sparkContext.defaultParallelism, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if held < cores * split else df
 
 
