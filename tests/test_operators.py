@@ -219,3 +219,150 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     known, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(known) and len(sql) > 140
+
+
+def test_truncated_svd_equals_numpy(spark, sf):
+    from textengine.operators import lsa
+    from textengine.plans import vectors
+
+    w, _ = materialize(V.tfidf_view(vectors.docs(spark, sf), min_df=5), "w")
+    rows = w.toPandas()
+    wide = rows.pivot(index="id", columns="term", values="w").fillna(0.0)
+    u, s, _ = np.linalg.svd(wide.to_numpy(), full_matrices=False)
+    values, found = lsa.truncated_svd(w, 40, rows_per_block=60)
+    # The values fall slowly here, so the last of 40 are the least exact.
+    error = np.abs(np.array(values) / s[:40] - 1)
+    assert error[:6].max() < 0.01 and error.max() < 0.1
+    got = {r["id"]: r["v"] for r in found.collect()}
+    ours, want = np.stack([got[i] for i in wide.index]), u[:, :6] * s[:6]
+    # Leading directions up to signs: inner products of rows agree.
+    assert np.abs(ours[:, :6] @ ours[:, :6].T - want @ want.T).max() < 0.02
+    assert lsa.truncated_svd(w.where("false"), 5)[0] == []
+    whole = np.array(lsa.truncated_svd(w, 400)[0])  # more than there are rows
+    assert len(whole) == (s > 1e-6 * s[0]).sum() and np.abs(whole / s[: len(whole)] - 1).max() < 0.01
+
+
+def test_lcs_by_bits(spark):
+    import random
+
+    from textengine.operators import models as M
+
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            new = [0]
+            for j, b in enumerate(y):
+                new.append(row[j] + 1 if a == b else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(4)
+    for _ in range(300):
+        x, y = ([rng.choice("abcdefg") for _ in range(rng.randrange(150))] for _ in range(2))
+        assert M.lcs_length(x, y) == plain(x, y)
+    df = spark.createDataFrame([("a b", "c d"), ("a b c", "a b"), (None, "a"), ("a x", "a y")], "a string, b string")
+    assert [r["ratio"] for r in M.lcs_ratio(df, "a", "b").collect()] == [0.0, 0.8, 0.0, 0.5]
+    assert [r["ratio"] for r in M.lcs_ratio(df, "a", "b", least=0.6).collect()] == [None, 0.8, None, None]
+
+
+def test_registered_lcs_equals_a_plain_version(spark, sf):
+    import __spark_entry__ as entry
+
+    from textengine.plans import views
+
+    texts = {r["id"]: (r["text"] or "").split() for r in views.cleaned(spark, sf).collect()}
+    rows = entry.queries()["ud_04_lcs_ratio"](spark, sf).collect()
+    assert rows
+    for r in rows[:: max(1, len(rows) // 40)]:
+        x, y = texts[r["q_id"]], texts[r["n_id"]]
+        codes = {w: i for i, w in enumerate({*x, *y})}
+        right, row = np.array([codes[w] for w in y]), np.zeros(len(y) + 1, int)
+        for w in x:
+            step = row.copy()
+            step[1:] = np.maximum(row[1:], (row[:-1] + 1) * (right == codes[w]))
+            row = np.maximum.accumulate(step)
+        assert abs(r["ratio"] - 2 * int(row[-1]) / max(1, len(x) + len(y))) < 1e-6
+
+
+def test_prototypes_equal_plain_kmeans_per_class(spark):
+    from textengine.operators import models as M
+
+    rng = np.random.default_rng(3)
+    rows = [(int(c), v) for c, v in zip(rng.integers(3, size=200), rng.normal(size=(200, 8)).tolist())] + [(7, [1.0] * 8), (1, None)]
+    df = spark.createDataFrame(rows, "class int, vec array<double>")
+    got = {}
+    for r in M.class_prototypes(df, 12).collect():
+        got.setdefault(r["class"], []).append(r["vec"])
+    order = df.where("vec is not null").select("class", "vec", F.xxhash64("vec", F.lit(1)).alias("h")).orderBy("h").collect()
+    for c in {r["class"] for r in order}:
+        m = np.array([r["vec"] for r in order if r["class"] == c])
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        centres = m[: max(1, round(12 * len(m) / len(order)))].copy()
+        for _ in range(10):
+            near = (m @ centres.T).argmax(1)
+            for j in range(len(centres)):
+                if (near == j).any():
+                    centres[j] = m[near == j].sum(0) / np.linalg.norm(m[near == j].sum(0))
+        assert np.allclose(np.array(got[c]), centres, atol=1e-9)
+
+
+@pytest.mark.parametrize("links_per_range", [7, 200_000])
+def test_greedy_dedup_of_chains_and_ranges(spark, links_per_range):
+    rng = np.random.default_rng(8)
+    pairs = sorted({tuple(sorted(map(int, rng.choice(80, 2, replace=False)))) for _ in range(120)} | {(i, i + 1) for i in range(100, 130)})
+    dropped = set()
+    for a in range(131):
+        if a not in dropped:
+            dropped |= {b for x, b in pairs if x == a}
+    got = {r["id"] for r in split.greedy_dedup(spark.range(131), spark.createDataFrame(pairs, "q_id long, n_id long"), links_per_range=links_per_range).collect()}
+    assert got == set(range(131)) - dropped
+
+
+def test_greedy_dedup_of_a_long_chain_takes_few_jobs(spark):
+    rows, links = spark.range(10_000), spark.range(9_999).select(F.col("id").alias("q_id"), (F.col("id") + 1).alias("n_id"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    found = split.greedy_dedup(rows, links)
+    assert {r["id"] for r in found.collect()} == set(range(0, 10_000, 2))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 20
+    assert split.greedy_dedup(rows, links.where("false")).count() == 10_000
+
+
+def test_bootstrap_draws_are_poisson(spark):
+    a = spark.createDataFrame([(i, i % 3, 0) for i in range(300)], "q_id long, y int, pred int")
+    b = a.withColumn("pred", F.when(F.col("q_id") < 280, F.col("y")).otherwise(F.lit(None)))
+    cells = metrics.resampled_cells(a, b, 400)
+    sizes = {(r["y"], r["pred"]): r["count"] for r in b.groupBy("y", "pred").count().collect()}
+    for r in cells.groupBy("y", "pb").agg(F.avg("w").alias("mean"), F.var_pop("w").alias("var")).collect():
+        m = sizes[r["y"], r["pb"]]
+        assert abs(r["mean"] - m) < 5 * (m / 400) ** 0.5 + 0.1 and 0.7 * m < r["var"] < 1.4 * m
+    found = {r["measure"]: r for r in metrics.paired_bootstrap(a, b, 300, 100).collect()}
+    assert found["accuracy"]["verdict"] == "better" == found["macro_f1"]["verdict"] and abs(found["accuracy"]["gain"] - 0.6) < 0.02
+    assert [metrics.paired_bootstrap(a.where("false"), b, 50, 20).collect()[k]["resamples"] for k in (0, 1)] == [0, 0]
+
+
+def test_containment_moves_few_bytes(spark, sf):
+    from textengine.operators import quality as Q
+    from textengine.plans import views
+
+    b, _ = materialize(views.cleaned(spark, sf), "texts")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    held, before = b.agg(F.sum(F.octet_length("text"))).first()[0], written()
+    assert Q.prefix_contained(views.evals(spark, sf), b, 40).count() > 0
+    assert written() - before <= 3 * held
+
+
+def test_cleaning_is_linear_in_long_strings(spark):
+    import time
+
+    for text in ("a" * 1_000_000, "x." * 500_000, " " * 1_000_000 + "y", "a@" * 300_000):
+        df = spark.createDataFrame([(text,)], "t string")
+        began = time.time()
+        df.select(F.length(X.clean(F.lit("s"), F.col("t"))), F.size(X.sentences(F.col("t")))).collect()
+        assert time.time() - began < 8
+    odd = spark.createDataFrame([("a@b c",), ("@a b@ @@c",), ("x a@@b@ y",), ("@ @a@ a@b@c d",)], "t string")
+    import re
+
+    for t, got in odd.select("t", X.clean(F.lit(""), F.col("t"))).collect():
+        assert got == " ".join(re.sub(r"\S+@\S+", " ", f" . {t}").split())

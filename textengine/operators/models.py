@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, HashingTF, IDF, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .decide import normalize
 from .split import assign_folds
@@ -114,28 +115,46 @@ def fit_flat(rows: DataFrame, columns: list[str], trees: int = 20):
     return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=6, seed=1).fit(assemble(rows, columns))
 
 
-def class_prototypes(df: DataFrame, total: int) -> DataFrame:
-    """(class, vec): cosine k-means per class, k in proportion to its size; one fit per class."""
-    n = df.count()
-    sizes = df.groupBy("class").count().orderBy("class").collect()  # one row per class
-    out = None
-    for r in sizes:
-        part = df.where(F.col("class") == r["class"]).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-        model = KMeans(k=max(1, round(total * r["count"] / n)), distanceMeasure="cosine", seed=1, maxIter=10).fit(part)
-        rows = df.sparkSession.createDataFrame([(r["class"], [float(x) for x in c]) for c in model.clusterCenters()], "class int, vec array<double>")
-        out = rows if out is None else out.unionAll(rows)
-    return out
+def class_prototypes(df: DataFrame, total: int, steps: int = 10, seed: int = 1) -> DataFrame:
+    """(class, vec): spherical k-means inside every class at once, k in proportion to the class's size.
+
+    It begins with the rows of a class whose hashes are least. A step sends each row to the nearest centre of
+    its class and adds rows up per centre, inside tasks first; a centre without rows stays. The
+    driver and each task hold the centres (about `total` vectors), never rows.
+    """
+    rows = df.where(F.col("vec").isNotNull()).select("class", F.col("vec").cast("array<double>").alias("vec"))
+    n = F.sum(F.count("*")).over(W.partitionBy())
+    sizes = rows.groupBy("class").agg(F.greatest(F.lit(1), F.round(F.lit(total) * F.count("*") / n)).alias("k"))
+    place = F.row_number().over(W.partitionBy("class").orderBy(F.xxhash64("vec", F.lit(seed)), "vec"))
+    heads = rows.withColumn("place", place).where(F.col("place") <= total).join(sizes, "class").where(F.col("place") <= F.col("k"))
+    centres: dict[int, np.ndarray] = {}
+    for r in heads.orderBy("class", "place").collect():
+        centres.setdefault(r["class"], []).append(r["vec"])
+    centres = {c: _unit_rows(np.array(v)) for c, v in centres.items()}
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for part in batches:
+            for c, vecs in part.groupby("class")["vec"]:
+                m = _unit_rows(np.stack(vecs.to_list()))
+                near = (m @ centres[c].T).argmax(1)
+                for j in np.unique(near):
+                    sums[c, int(j)] = sums.get((c, int(j)), 0) + m[near == j].sum(0)
+        yield pd.DataFrame([(c, j, i, x) for (c, j), v in sums.items() for i, x in enumerate(v.tolist())], columns=["class", "j", "i", "x"])
 
+    for _ in range(steps if centres else 0):
+        found = rows.mapInPandas(add, f"class {rows.schema['class'].dataType.simpleString()}, j int, i int, x double").groupBy("class", "j", "i").agg(F.sum("x").alias("x")).collect()
+        fresh = {c: v.copy() for c, v in centres.items()}
+        for r in found:
+            fresh[r["class"]][r["j"], r["i"]] = r["x"]
+        centres = {c: _unit_rows(v) for c, v in fresh.items()}
+    out = [(c, v) for c in sorted(centres) for v in centres[c].tolist()]
+    return df.sparkSession.createDataFrame(out, f"class {rows.schema['class'].dataType.simpleString()}, vec array<double>")
 
-def lsa(weights: DataFrame, k: int, size: int = 512) -> DataFrame:
-    """(id, vec): principal components of hashed sparse rows (id, term, w), L2-normalized."""
-    from textengine.functions.text import l2norm
 
-    hashed = weights.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("b")).agg(F.sum("w").alias("w"))
-    dense = hashed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
-    rows = dense.select("id", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).alias("features"))
-    out = PCA(k=k, inputCol="features", outputCol="out").fit(rows).transform(rows)
-    return out.select("id", l2norm(vector_to_array("out")).alias("vec"))
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
 def grid_search(df: DataFrame, cs: list[float], folds: int = 3) -> DataFrame:
@@ -171,23 +190,36 @@ def column_ablation(train: DataFrame, test: DataFrame, sets: dict[str, list[str]
     return out.join(truth, "q_id").groupBy("columns").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") == F.col("y")).cast("double")), 4).alias("accuracy"))
 
 
-def lcs_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Add ratio: 2 LCS / (|a| + |b|) of the words of two text columns, on given pairs only."""
+def lcs_length(x: list, y: list) -> int:
+    """Longest common subsequence, with a bit for each item of the shorter list: the row of the usual
+    table is kept as the set of places where it doesn't grow, and a whole row is one addition."""
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    places: dict = {}
+    for i, w in enumerate(short):
+        places[w] = places.get(w, 0) | 1 << i
+    whole = (1 << len(short)) - 1
+    still = whole
+    for w in long:
+        hit = still & places.get(w, 0)
+        if hit:
+            still = ((still + hit) | (still - hit)) & whole
+    return len(short) - still.bit_count()
+
+
+def lcs_ratio(pairs: DataFrame, a: str, b: str, least: float = 0.0) -> DataFrame:
+    """Add ratio: 2 LCS / (|a| + |b|) of the words of two text columns, on given pairs only. The words
+    that both have, counted, bound it; pairs whose bound is 0 or below `least` are not compared, and those
+    below `least` get null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             out = []
             for x, y in zip(part[a], part[b]):
                 x, y = (x or "").split(), (y or "").split()
-                codes = {w: i for i, w in enumerate(dict.fromkeys([*x, *y]))}
-                row, right = np.zeros(len(y) + 1, np.int64), np.array([codes[w] for w in y], np.int64)
-                for w in x:
-                    # A match extends the diagonal; the running maximum carries the rest along.
-                    step = row.copy()
-                    step[1:] = np.maximum(row[1:], (row[:-1] + 1) * (right == codes[w]))
-                    row = np.maximum.accumulate(step)
-                out.append(2 * int(row[-1]) / max(1, len(x) + len(y)))
-            yield part.assign(ratio=out)
+                total = max(1, len(x) + len(y))
+                bound = (Counter(x) & Counter(y)).total()
+                out.append(None if 2 * bound / total < least else 2 * (lcs_length(x, y) if bound else 0) / total)
+            yield part.assign(ratio=pd.Series(out, part.index, float))
 
     from pyspark.sql import types as T
 

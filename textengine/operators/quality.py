@@ -61,27 +61,28 @@ def meta_doc(df: DataFrame) -> DataFrame:
 def prefix_contained(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     """(a_id, b_id) where the first n characters of a's text occur in b's text.
 
-    The prefix's words are looked up among b's words first (an equality join on its rarest
-    whole word), so texts are only compared that share it. A prefix of fewer than three words has no
-    whole word; its first (at most eight) characters are looked up among b's runs of as many instead. An
-    empty prefix is contained in every text and is left out.
+    A prefix is looked up by its rarest whole word among b's words, one without a whole word (fewer
+    than three words) by its first characters, eight at most, among b's runs of as many. The index
+    is built of the words and runs that prefixes ask for only and holds ids, not texts; each text is joined
+    once with the prefixes that it may contain. An empty prefix is contained in every text and is left out.
     """
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    index = b.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
-    df_of = index.groupBy("w").agg(F.count("*").alias("df"))
-    heads = a.select(F.col("id").alias("a_id"), F.substring("text", 1, n).alias("head"))
+    heads = a.select(F.col("id").alias("a_id"), F.substring("text", 1, n).alias("head")).where(F.col("head") != "")
     # Whole words of the prefix: neither its first nor its last one may be cut.
     inner = F.slice(words(F.col("head")), F.lit(2), F.greatest(F.size(words(F.col("head"))) - 2, F.lit(0)))
-    long_heads = heads.withColumn("w", F.explode(inner)).join(df_of, "w", "left")
-    best = long_heads.groupBy("a_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
-    found = heads.join(best, "a_id").join(index, "w").where(F.contains("b_text", "head")).select("a_id", "b_id")
-    short = heads.where((F.size(inner) == 0) & (F.col("head") != "")).withColumn("w", F.left("head", F.lit(8)))
+    asked = heads.select("a_id", F.explode(inner).alias("w"))
+    found = b.select(F.col("id").alias("b_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
+    df_of = found.groupBy("w").agg(F.count("*").alias("df"))
+    best = asked.join(df_of, "w", "left").groupBy("a_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
+    maybe = best.join(found, "w").select("a_id", "b_id")
+    short = heads.where(F.size(inner) == 0).select("a_id", F.left("head", F.lit(8)).alias("w"))
     for size in [r[0] for r in short.select(F.length("w")).distinct().collect()]:  # eight lengths at most
         keys = short.where(F.length("w") == size)
         runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - size + 1, F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(size))))
-        grams = b.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.explode(runs).alias("w"))
-        found = found.union(keys.join(grams, "w").where(F.contains("b_text", "head")).select("a_id", "b_id"))
-    return found
+        grams = b.select(F.col("id").alias("b_id"), F.explode(runs).alias("w")).join(keys.select("w").distinct(), "w", "left_semi")
+        maybe = maybe.union(keys.join(grams, "w").select("a_id", "b_id"))
+    rows = maybe.join(heads, "a_id").join(b.select(F.col("id").alias("b_id"), F.col("text").alias("b_text")), "b_id")
+    return rows.where(F.contains("b_text", "head")).select("a_id", "b_id")
 
 
 def encode_labels(df: DataFrame, column: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -82,30 +86,54 @@ def anti_text(df: DataFrame, other: DataFrame, key: str = "text") -> DataFrame:
     return df.join(other.select(key).distinct(), key, "left_anti")
 
 
-def greedy_dedup(df: DataFrame, pairs: DataFrame, order: str = "id") -> DataFrame:
-    """Rows that no kept earlier row is linked with (pairs q_id < n_id), decided in rounds.
+def greedy_dedup(df: DataFrame, pairs: DataFrame, order: str = "id", links_per_range: int = 200_000) -> DataFrame:
+    """Rows that no kept earlier row is linked with (pairs q_id < n_id).
 
-    A row is kept once all its earlier neighbours are dropped, and dropped once one of them is
-    kept; each round decides at least the first open row of every cluster, and rows whose
-    neighbours are decided in the same round don't wait for the rest of the table.
+    Links are dealt out by ranges of their later row and read in order: within a range one pass
+    decides every row whose earlier neighbours are decided, chains of any length included. What
+    depends on rows of another range that are still open waits for the next round, which sees only
+    links of open rows. A task keeps the decisions of its range's rows, not their links.
     """
-    links, _ = materialize(pairs.select(F.col("q_id").alias("a"), F.col("n_id").alias("b")).distinct(), "greedy-links")
-    done = path = None
-    while True:
-        state = links if done is None else links.join(done.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a", "left")
-        if done is None:
-            state = state.withColumn("ka", F.lit(None).cast("boolean"))
-        heads = links.select(F.col("a").alias("id")).join(links.select(F.col("b").alias("id")), "id", "left_anti").distinct().withColumn("kept", F.lit(True))
-        decided = state.groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("ka"), F.lit(False))).alias("free"))
-        now = decided.where(F.col("hit") | F.col("free")).select("id", F.col("free").alias("kept")).union(heads)
-        now, fresh = materialize(now, "greedy-state")
-        if done is not None and now.count() == done.count():
-            drop_table(df.sparkSession, fresh)
-            break
-        if path is not None:
-            drop_table(df.sparkSession, path)
-        done, path = now, fresh
-    return df.join(done.where(~F.col("kept")).select("id"), "id", "left_anti")
+    spark = df.sparkSession
+    links, path = materialize(pairs.select(F.col("q_id").alias("a"), F.col("n_id").alias("b")).distinct(), "greedy-links")
+    # Rows that are nobody's later neighbour are kept.
+    first = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti").withColumn("ka", F.lit(True))
+    links, opened = materialize(links.join(first, "a", "left"), "greedy-open")
+    drop_table(spark, path)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, bool] = {}  # of this range
+        row, hit, free = None, False, True
+
+        def close(out: list) -> None:
+            if row is not None and (hit or free):
+                known[row] = not hit
+                out.append((row, not hit))
+
+        for batch in batches:
+            out: list[tuple[int, bool]] = []
+            for a, b, kept in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ka"))):
+                if b != row:
+                    close(out)
+                    row, hit, free = b, False, True
+                kept = known.get(a) if kept is None else kept
+                hit, free = hit or kept is True, free and kept is False
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.bool_())], names=["id", "kept"])
+        out = []
+        close(out)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.bool_())], names=["id", "kept"])
+
+    dropped, paths = [], [opened]
+    while (n := links.count()) > 0:
+        ranged = links.repartitionByRange(-(-n // links_per_range), "b").sortWithinPartitions("b", "a")
+        now, path = materialize(ranged.select(F.col("a").cast("long"), F.col("b").cast("long"), "ka").mapInArrow(decide, "id long, kept boolean"), "greedy-decided")
+        dropped.append(now.where(~F.col("kept")).select("id"))
+        left = links.join(now.select(F.col("id").alias("b")), "b", "left_anti").join(now.select(F.col("id").alias("a"), F.col("kept").alias("k")), "a", "left")
+        links, opened = materialize(left.select("a", "b", F.coalesce("ka", "k").alias("ka")), "greedy-open")
+        drop_table(spark, paths.pop())
+        paths.append(opened)
+    drop_table(spark, paths.pop())
+    return df.join(reduce(DataFrame.unionAll, dropped), "id", "left_anti") if dropped else df
 
 
 def drop_reasons(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 
@@ -95,7 +97,28 @@ def ev_11(spark, d):
     return V.band_table(preds(spark, d), N.BANDS, "conf")
 
 
-@query("ev_12_paired_bootstrap")
+#: The draws of the operator, in SQL.
+_U = "((CAST('0x' || left(md5(concat_ws('|', '0', CAST(y AS VARCHAR), CAST(pa AS VARCHAR), CAST(pb AS VARCHAR), CAST(rep AS VARCHAR), {})), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+_POISSON = " + ".join(f"CASE WHEN {e!r}::DOUBLE < u THEN 1 ELSE 0 END" for e in V.poisson_edges())
+VIEWS["v_resampled"] = f"""SELECT c.rep, c.y, c.pa, c.pb, CASE WHEN any_value(m) <= {V.SMALL_CELL} THEN sum({_POISSON})::DOUBLE ELSE greatest(floor(any_value(m) + sqrt(any_value(m)) * any_value(z) + (any_value(z) * any_value(z) - 1) / 6 + 0.5::DOUBLE), 0.0) END AS w
+ FROM (SELECT *, {_U.format("CAST(i AS VARCHAR)")} AS u, sqrt(-2 * ln({_U.format("'r'")})) * cos({2 * math.pi!r}::DOUBLE * {_U.format("'a'")}) AS z FROM (SELECT *, unnest(range(1, least(m, {V.SMALL_CELL}) + 1)) AS i FROM
+ (SELECT a.y, a.pred AS pa, b.pred AS pb, count(*) AS m FROM v_dpred2 a JOIN v_dpred b USING (q_id) GROUP BY a.y, a.pred, b.pred) CROSS JOIN (SELECT unnest(range(1, 3001)) AS rep))) c GROUP BY c.rep, c.y, c.pa, c.pb"""
+_INTERVAL = """SELECT '{0}' AS measure, count(gain) AS resamples, round(avg(gain), 4) AS gain, round(quantile_cont(gain, 0.025), 4) AS low, round(quantile_cont(gain, 0.975), 4) AS high,
+ CASE WHEN round(quantile_cont(gain, 0.025), 4) > 0 THEN 'better' WHEN round(quantile_cont(gain, 0.975), 4) < 0 THEN 'worse' ELSE 'no difference' END AS verdict FROM {1}"""
+
+
+@query(
+    "ev_12_paired_bootstrap",
+    """WITH g AS (SELECT rep, sum(CASE WHEN pb = y THEN w ELSE 0 END - CASE WHEN pa = y THEN w ELSE 0 END) / nullif(sum(w), 0) AS gain FROM v_resampled GROUP BY rep),
+    k AS (SELECT rep, class, sum(t) AS t, sum(a) AS a, sum(b) AS b, sum(ha) AS ha, sum(hb) AS hb FROM (
+      SELECT rep, y AS class, w AS t, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, CASE WHEN pa = y THEN w ELSE 0.0::DOUBLE END AS ha, CASE WHEN pb = y THEN w ELSE 0.0::DOUBLE END AS hb FROM v_resampled WHERE rep <= 1000
+      UNION ALL SELECT rep, pa, 0, w, 0, 0, 0 FROM v_resampled WHERE rep <= 1000 UNION ALL SELECT rep, pb, 0, 0, w, 0, 0 FROM v_resampled WHERE rep <= 1000) GROUP BY rep, class),
+    f AS (SELECT rep, avg(2 * hb / nullif(t + b, 0)) - avg(2 * ha / nullif(t + a, 0)) AS gain FROM k GROUP BY rep)
+    """
+    + _INTERVAL.format("accuracy", "g")
+    + " UNION ALL "
+    + _INTERVAL.format("macro_f1", "f"),
+)
 def ev_12(spark, d):
     return V.paired_bootstrap(nn_preds(spark, d), preds(spark, d))
 

@@ -96,9 +96,9 @@ def tx_08(spark, d):
 
 @query("tx_09_lsa")
 def tx_09(spark, d):
-    from textengine.operators import models as M
+    from textengine.operators import lsa as L
 
-    return M.lsa(V.tfidf_view(docs(spark, d), min_df=10), 16)
+    return L.lsa(V.tfidf_view(docs(spark, d), min_df=10))
 
 
 _KEY = f"list_distinct(list_filter(regexp_extract_all(text, '[a-z][a-z'']+'), lambda w: length(w) > 2 AND NOT list_contains({lst(X.STOP_WORDS)}, w)))"
