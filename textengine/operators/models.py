@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from textengine.scratch import drop_table, materialize, shared_dir
+
 from .decide import normalize
 from .split import assign_folds
 
@@ -92,21 +94,34 @@ def predict_labels(model, df: DataFrame) -> DataFrame:
     return model.transform(df).select("id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
 
 
-def assemble(rows: DataFrame, columns: list[str]) -> DataFrame:
+def assemble(rows: DataFrame, columns: list[str], categories: dict[str, int] | None = None) -> DataFrame:
+    """Add features. categories: columns that hold numbers of so many classes, which trees split by sets."""
+    for c, n in (categories or {}).items():
+        rows = rows.withColumn(c, F.col(c).cast("double")).withMetadata(c, {"ml_attr": {"type": "nominal", "num_vals": n}})
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(rows)
 
 
-def fit_stacker(rows: DataFrame, columns: list[str], rounds: int = 10, depth: int = 4, valid: str | None = None):
-    """Boosted trees on (query, class) rows with a 0/1 label; valid names an early-stopping flag."""
-    gbt = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.1, minInstancesPerNode=10, seed=1)
+#: Fixed values of the stacker: rounds, rate, depth, rows of a leaf.
+ROUNDS, RATE, DEPTH, LEAF_ROWS = 300, 0.06, 5, 40
+
+
+def fit_stacker(rows: DataFrame, columns: list[str], rounds: int = ROUNDS, depth: int = DEPTH, valid: str | None = None, categories: dict[str, int] | None = None):
+    """Boosted trees on (query, class) rows with a 0/1 label; valid names an early-stopping flag. The
+    rows are written once; the lineage of the rounds is cut by checkpoints in spark.checkpoint.dir."""
+    spark, bins = rows.sparkSession, max([32, *(categories or {}).values()])
+    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    gbt = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=RATE, minInstancesPerNode=LEAF_ROWS, maxBins=bins, checkpointInterval=20, seed=1)
     if valid:
         gbt = gbt.setValidationIndicatorCol(valid)
-    return gbt.fit(assemble(rows, columns))
+    table, path = materialize(rows.select(*columns, "label", *([valid] if valid else [])), "stacker-rows")
+    model = gbt.fit(assemble(table, columns, categories))
+    drop_table(spark, path)
+    return model
 
 
-def predict_stacker(model, rows: DataFrame, columns: list[str]) -> DataFrame:
+def predict_stacker(model, rows: DataFrame, columns: list[str], categories: dict[str, int] | None = None) -> DataFrame:
     """(q_id, class, p): positive scores, normalized within the query."""
-    scored = model.transform(assemble(rows, columns)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+    scored = model.transform(assemble(rows, columns, categories)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return normalize(scored)
 
 
@@ -178,13 +193,13 @@ def block_ablation(df: DataFrame, blocks: dict[str, list[str]], k: int = 2) -> D
     return out.groupBy("block").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") == F.col("y")).cast("double")), 4).alias("accuracy"))
 
 
-def column_ablation(train: DataFrame, test: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+def column_ablation(train: DataFrame, test: DataFrame, sets: dict[str, list[str]], rounds: int = ROUNDS) -> DataFrame:
     """(columns, n, accuracy) of the stacker for each set of columns."""
     from .decide import decide
 
     out = None
     for name, columns in sets.items():
-        got = decide(predict_stacker(fit_stacker(train, columns, 5, 3), test, columns), 0.7).select("q_id", "pred", F.lit(name).alias("columns"))
+        got = decide(predict_stacker(fit_stacker(train, columns, rounds), test, columns), 0.7).select("q_id", "pred", F.lit(name).alias("columns"))
         out = got if out is None else out.unionAll(got)
     truth = test.where(F.col("label") == 1).select("q_id", F.col("class").alias("y"))
     return out.join(truth, "q_id").groupBy("columns").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") == F.col("y")).cast("double")), 4).alias("accuracy"))

@@ -108,10 +108,11 @@ def conjunctions(weights: DataFrame, order: int = 2, min_df: int = 2, max_terms:
 
 
 def hash_features(rows: DataFrame, buckets: int) -> DataFrame:
-    """(id, bucket, w): terms hashed into buckets, each with the sign of another hash bit."""
-    h = F.xxhash64("term")
-    sign = F.when(h.bitwiseAND(F.lit(1 << 40)) == 0, 1.0).otherwise(-1.0)
-    return rows.groupBy("id", F.pmod(h, F.lit(buckets)).alias("bucket")).agg(F.sum(F.col("w") * sign).alias("w"))
+    """(id, bucket, w): terms hashed into buckets by the first 32 bits of their md5, each with the sign of the next four."""
+    digest = F.md5(F.col("term").cast("binary"))
+    bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int")
+    sign = F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
+    return rows.groupBy("id", bucket.alias("bucket")).agg(F.sum(F.col("w") * sign).alias("w"))
 
 
 def contrast_keywords(df: DataFrame, flag: str, most: int = 12, least: int = 3) -> DataFrame:

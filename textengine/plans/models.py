@@ -13,6 +13,7 @@ from textengine.operators import models as M
 from textengine.operators import quality as Q
 from textengine.operators import similarity as J
 from textengine.operators import split as P
+from textengine.scratch import materialize
 
 from . import neighbours as N
 from . import views as S
@@ -45,6 +46,10 @@ def stacker_rows(spark, d):
 COLUMNS = ["best_top", "cnt_top", "gap_top", "top_top", "best_wide", "cnt_wide", "gap_wide", "top_wide", "class_id"]
 
 
+#: Rounds of the models that are fitted twice for a comparison; the stacker and the gate have all rounds.
+SHORT = 40
+
+
 def parts(rows):
     return rows.where(F.col("q_id") % 5 != 0), rows.where(F.col("q_id") % 5 == 0)
 
@@ -59,8 +64,10 @@ def pf_22(spark, d):
 
 @query("md_03_fit_stacker")
 def md_03(spark, d):
-    train, test = parts(stacker_rows(spark, d))
-    return M.predict_stacker(M.fit_stacker(train, COLUMNS), test, COLUMNS)
+    rows, _ = materialize(stacker_rows(spark, d), "stacker")
+    train, test = parts(rows)
+    classes = {"class_id": rows.agg(F.max("class_id")).first()[0] + 1}
+    return M.predict_stacker(M.fit_stacker(train, COLUMNS, categories=classes), test, COLUMNS, classes)
 
 
 @query(
@@ -106,7 +113,7 @@ def md_10(spark, d):
     rows = nbrs.select("q_id", "n_id", "sim", F.col("rank").cast("double").alias("place"), (F.col("class") == F.col("y")).cast("double").alias("label"), X.hash_half(F.col("q_id").cast("string")).alias("half"))
     out = None
     for half in (0, 1):
-        model = M.fit_stacker(rows.where(F.col("half") != half), ["sim", "place"], 5, 3)
+        model = M.fit_stacker(rows.where(F.col("half") != half), ["sim", "place"], SHORT)
         got = model.transform(M.assemble(rows.where(F.col("half") == half), ["sim", "place"])).select("q_id", "n_id", F.round(F.get(M.vector_to_array("probability"), F.lit(1)), 6).alias("p"))
         out = got if out is None else out.unionAll(got)
     return out
@@ -119,17 +126,17 @@ def md_12(spark, d):
 
 @query("md_13_grid_search")
 def md_13(spark, d):
-    return M.grid_search(labelled(spark, d)[0], [0.3, 3.0])
+    return M.grid_search(labelled(spark, d)[0], [0.3, 1.0, 3.0, 10.0])
 
 
 @query("md_17_stack_on")
 def md_17(spark, d):
     train, test = parts(stacker_rows(spark, d))
-    first = M.predict_stacker(M.fit_stacker(train, COLUMNS[:4], 5, 3), train.unionAll(test), COLUMNS[:4])
+    first = M.predict_stacker(M.fit_stacker(train, COLUMNS[:4], SHORT), train.unionAll(test), COLUMNS[:4])
     both = E.gap(first, "q_id", "p", "gap_p")
     columns = [*COLUMNS[4:], "p", "gap_p"]
     train, test = train.join(both, ["q_id", "class"]), test.join(both, ["q_id", "class"])
-    return M.predict_stacker(M.fit_stacker(train, columns, 5, 3), test, columns)
+    return M.predict_stacker(M.fit_stacker(train, columns, SHORT), test, columns)
 
 
 @query("md_18_flat_stacker")
@@ -146,7 +153,7 @@ def md_18(spark, d):
 def md_19(spark, d):
     train, test = parts(stacker_rows(spark, d))
     train = train.withColumn("held", F.pmod(F.xxhash64("q_id"), F.lit(100)) < 15)
-    return M.predict_stacker(M.fit_stacker(train, COLUMNS, 10, 3, valid="held"), test, COLUMNS)
+    return M.predict_stacker(M.fit_stacker(train, COLUMNS, valid="held"), test, COLUMNS)
 
 
 @query("md_20_block_ablation")
@@ -159,7 +166,7 @@ def md_20(spark, d):
 @query("md_21_column_ablation")
 def md_21(spark, d):
     train, test = parts(stacker_rows(spark, d))
-    return M.column_ablation(train, test, {"top": COLUMNS[:4], "wide": COLUMNS[4:8]})
+    return M.column_ablation(train, test, {"top": COLUMNS[:4], "wide": COLUMNS[4:8]}, SHORT)
 
 
 @query("ev_31_learning_curve")

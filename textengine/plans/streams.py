@@ -38,7 +38,12 @@ def st_03(spark, d):
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n", F.round("unfamiliar", 6).alias("unfamiliar"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("st_04_throttle")
+@query(
+    "st_04_throttle",
+    """WITH RECURSIVE e AS (SELECT api_key, id, CAST(floor(epoch(created_at)) AS BIGINT) AS t FROM v_pred), a AS (SELECT api_key, arg_min(id, (t, id)) AS id, min(t) AS t FROM e GROUP BY api_key
+    UNION ALL SELECT e.api_key, arg_min(e.id, (e.t, e.id)), min(e.t) FROM a JOIN e ON e.api_key = a.api_key AND e.t > a.t + 3600 GROUP BY e.api_key)
+    SELECT api_key, id, id IN (SELECT id FROM a) AS admitted FROM e""",
+)
 def st_04(spark, d):
     return J.run_to_end(J.throttle(stream(spark, d), 1, 3600), "throttle")
 

@@ -81,10 +81,22 @@ def pf_08(spark, d):
     return Q.route_language(S.table(spark, d, "documents").withColumnRenamed("doc_id", "id")).select("id", "share")
 
 
-@query("pf_09_chunk_sentences")
+_WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''))"
+#: The pieces so far in one string, char 1 between them; the last one is still open.
+_OPEN = "string_split(acc, chr(1))[-1]"
+_LONGER = f"trim({_OPEN} || ' ' || part)"
+_PACK = f"CASE WHEN {_OPEN} <> '' AND {_WORDS.format(_LONGER)} > 20 THEN acc || chr(1) || part ELSE left(acc, length(acc) - length({_OPEN})) || {_LONGER} END"
+
+
+@query(
+    "pf_09_chunk_sentences",
+    rf"""SELECT id, CAST(i AS INTEGER) AS i, sentence, CASE WHEN {_WORDS.format("sentence")} > 20 THEN
+    replace(list_reduce(list_concat([''], string_split(regexp_replace(sentence, ',\s+', ',' || chr(1), 'g'), chr(1))), lambda acc, part: {_PACK}), chr(1), chr(10)) ELSE sentence END AS pieces
+    FROM (SELECT doc_id AS id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS i FROM (SELECT doc_id, {SENTENCES.format('text')} AS s FROM documents))""",
+)
 def pf_09(spark, d):
     s = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(X.sentences(F.col("text"))).alias("i", "sentence"))
-    return Q.chunk_sentences(s, "sentence", 20)
+    return Q.chunk_sentences(s, "sentence", 20).select("id", "i", "sentence", F.array_join("pieces", "\n").alias("pieces"))
 
 
 @query(

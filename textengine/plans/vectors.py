@@ -89,9 +89,17 @@ def tx_07(spark, d):
     return V.conjunctions(V.tfidf_view(docs(spark, d)), 2, 2, 8).select("id", "term", F.round("w", 6).alias("w"))
 
 
-@query("tx_08_hash_pairs")
+VIEWS["v_top8"] = "SELECT id, term, w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, term) AS place FROM v_tfidf) WHERE place <= 8"
+VIEWS["v_pairs"] = """SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM (
+ SELECT a.id, a.term || '&' || b.term AS term, a.w * b.w AS w FROM v_top8 a JOIN v_top8 b ON a.id = b.id AND a.term < b.term)) WHERE df >= 2"""
+
+
+@query(
+    "tx_08_hash_pairs",
+    "SELECT id, CAST(CAST('0x' || left(md5(term), 8) AS BIGINT) % 4096 AS INTEGER) AS bucket, round(sum(CASE WHEN substring(md5(term), 9, 1) < '8' THEN w ELSE -w END), 6) AS w FROM v_pairs GROUP BY id, bucket",
+)
 def tx_08(spark, d):
-    return V.hash_features(V.conjunctions(V.tfidf_view(docs(spark, d)), 2, 2, 8), 4096)
+    return V.hash_features(V.conjunctions(V.tfidf_view(docs(spark, d)), 2, 2, 8), 4096).select("id", "bucket", F.round("w", 6).alias("w"))
 
 
 @query("tx_09_lsa")
