@@ -110,6 +110,20 @@ def test_inverted_file_compares_few_rows_of_clustered_vectors(spark):
     assert shares[1] < shares[0]
 
 
+def test_exact_dense_topk_leaves_out_cells(spark, sf):
+    rng, n = np.random.default_rng(6), 1500
+    centres = rng.normal(size=(20, 24))
+    vectors = (centres[rng.integers(20, size=n)] + 0.25 * rng.normal(size=(n, 24))).tolist()
+    v = spark.createDataFrame([*enumerate(vectors), (n, vectors[0]), (n + 1, None), (n + 2, [0.0] * 24)], "id long, vec array<double>")
+    q, kept = v.where("id % 20 = 0"), v.where("vec is not null")
+    found, visited = I.exact_topk(q, v, 7, same=True, cells=40)
+    want = J.dense_topk(q.where("vec is not null"), kept, 7, same=True)
+    assert {(r["q_id"], r["n_id"], r["sim"], r["rank"]) for r in found.collect()} == {(r["q_id"], r["n_id"], r["sim"], r["rank"]) for r in want.collect()}
+    share = visited.first()
+    assert 0 < share["visited"] < 0.25 * share["cells"]
+    assert I.exact_topk(q, v.where("false"), 7)[0].count() == 0 == I.exact_topk(q.where("false"), v, 7)[0].count()
+
+
 def test_bounded_topk_equals_the_plain_join(spark):
     rng = np.random.default_rng(2)
     rare = lambda i: " ".join(f"r{x}" for x in rng.choice(900, 6)) + f" only{i}"
