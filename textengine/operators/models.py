@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -24,15 +25,18 @@ from .split import assign_folds
 
 
 def hash_encoder(size: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic encoder without weights: signed hashes of words, L2-normalized."""
-    import zlib
+    """A deterministic encoder without weights: words in buckets by the first 32 bits of their md5, signed by
+    the next four, L2-normalized."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), size))
+        out, seen = np.zeros((len(texts), size)), {}
         for row, t in zip(out, texts):
             for w in t.split():
-                h = zlib.crc32(w.encode())
-                row[h % size] += 1.0 if h & 0x80000000 else -1.0
+                if w not in seen:
+                    digest = hashlib.md5(w.encode()).hexdigest()
+                    seen[w] = int(digest[:8], 16) % size, 1.0 if digest[8] < "8" else -1.0
+                bucket, sign = seen[w]
+                row[bucket] += sign
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0)
 

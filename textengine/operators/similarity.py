@@ -340,9 +340,16 @@ def fuse(views: DataFrame, how: str, dense: list[str], lexical: list[str], weigh
     raise ValueError(how)
 
 
+#: Classes that answers are compared with.
+MOST_CLASSES = 10_000
+
+
 def match_labels(answers: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, label): the class that a free answer names exactly, else one that it begins with or
-    that begins with it (the first in order), else null. labels (queue, label) is the class list."""
+    that begins with it (the first in order), else null. labels (queue, label) is the class list: every answer is
+    compared with every class, so a list of more than MOST_CLASSES is refused."""
+    if labels.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise ValueError("too many classes to compare every answer with")
     text = F.lower(F.trim("answer"))
     name = F.lower("queue")
     exact = text == name

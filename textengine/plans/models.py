@@ -54,12 +54,16 @@ def parts(rows):
     return rows.where(F.col("q_id") % 5 != 0), rows.where(F.col("q_id") % 5 == 0)
 
 
-@query("pf_22_embed")
+@query(
+    "pf_22_embed",
+    """WITH w AS (SELECT id, unnest(string_split(text, ' ')) AS w FROM v_clean), v AS (SELECT id, CAST(CAST('0x' || left(md5(w), 8) AS BIGINT) % 32 AS INTEGER) AS i, sum(CASE WHEN substring(md5(w), 9, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM w WHERE w <> '' GROUP BY ALL),
+    n AS (SELECT id, sqrt(sum(x * x)) AS n FROM v GROUP BY id) SELECT c.id, CAST(g.i AS INTEGER) AS i, round(coalesce(v.x / nullif(n.n, 0), 0.0::DOUBLE), 6) AS x FROM v_clean c CROSS JOIN (SELECT unnest(range(0, 32)) AS i) g LEFT JOIN v ON v.id = c.id AND v.i = g.i LEFT JOIN n ON n.id = c.id""",
+)
 def pf_22(spark, d):
     rows = S.cleaned(spark, d)
     encoder = M.hash_encoder(32)
     known = M.embed(rows.where(F.col("id") % 2 == 0), encoder).join(rows.select("id", F.sha1("text").alias("key")), "id").select("key", "vec").dropDuplicates(["key"])
-    return M.embed(rows, encoder, known)
+    return M.embed(rows, encoder, known).select("id", F.posexplode("vec").alias("i", "x")).select("id", "i", F.round("x", 6).alias("x"))
 
 
 @query("md_03_fit_stacker")
