@@ -380,3 +380,21 @@ def test_cleaning_is_linear_in_long_strings(spark):
 
     for t, got in odd.select("t", X.clean(F.lit(""), F.col("t"))).collect():
         assert got == " ".join(re.sub(r"\S+@\S+", " ", f" . {t}").split())
+
+
+def test_throttle_by_doubling_equals_one_pass(spark):
+    import datetime
+    import random
+
+    from textengine.streaming import jobs
+
+    rng, base = random.Random(9), datetime.datetime(2024, 1, 1)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3]), base + datetime.timedelta(seconds=rng.choice([rng.randrange(4000), 60 * rng.randrange(60)]))) for i in range(700)] + [(999, 4, base)]
+    got = {r["id"]: r["admitted"] for r in jobs.throttle_once(spark.createDataFrame(rows, "id long, api_key long, created_at timestamp"), 60).collect()}
+    last, want = {}, {}
+    for i, key, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = key not in last or (at - last[key]).total_seconds() > 60
+        if want[i]:
+            last[key] = at
+    assert got == want and 60 < sum(want.values()) < 300
+    assert jobs.throttle_once(spark.createDataFrame([], "id long, api_key long, created_at timestamp")).count() == 0

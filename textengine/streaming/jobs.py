@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window as W
 
+from textengine.scratch import drop_table, materialize
 from textengine.sources.io import scratch
 
 LATE = "10 minutes"
@@ -72,6 +74,42 @@ def throttle(stream: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     return rows.groupBy("api_key").applyInPandasWithState(step, "api_key long, id long, admitted boolean", "log array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def throttle_once(events: DataFrame, seconds: int = 60) -> DataFrame:
+    """Batch twin of throttle() for a limit of one: (api_key, id, admitted), with a hot key's events in many tasks.
+
+    Each event points at the first one more than `seconds` later, found in buckets of `seconds` + 1: in
+    the next bucket, or else at the head of the next bucket that has any. Admitted are each key's first event and
+    what its pointers lead to; pointers double their length every round, so a chain of n takes log n rounds.
+    """
+    spark = events.sparkSession
+    rows = events.select("api_key", "id", F.unix_seconds(F.col("created_at").cast("timestamp")).alias("t"))
+    rows, rows_path = materialize(rows.withColumn("bucket", F.floor(F.col("t") / (seconds + 1)).cast("long")), "throttle-rows")
+    heads = rows.groupBy("api_key", "bucket").agg(F.min(F.struct("t", "id")).alias("head"))
+    in_order = W.partitionBy("api_key").orderBy("bucket")
+    later = heads.select("api_key", F.col("bucket").alias("of"), F.lead("bucket").over(in_order).alias("b1"), F.lead("head").over(in_order).alias("h1"), F.lead("head", 2).over(in_order).alias("h2"))
+    # Questions stand among the next bucket's events at the last time that is still too early.
+    asked = rows.select("api_key", F.col("id").alias("asks"), (F.col("t") + seconds).alias("t"), (F.col("bucket") + 1).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"))
+    there = rows.select("api_key", F.lit(None).cast("long").alias("asks"), "t", "bucket", F.lit(0).alias("kind"), "id")
+    after = W.partitionBy("api_key", "bucket").orderBy("t", "kind", "id").rowsBetween(0, W.unboundedFollowing)
+    near = there.union(asked).withColumn("next", F.first("id", ignorenulls=True).over(after)).where(F.col("kind") == 1)
+    near = near.select("api_key", F.col("asks").alias("id"), (F.col("bucket") - 1).alias("of"), "next").join(later, ["api_key", "of"])
+    beyond = F.when(F.col("b1") > F.col("of") + 1, F.col("h1.id")).otherwise(F.col("h2.id"))
+    jump, jump_path = materialize(near.select("api_key", "id", F.coalesce("next", beyond).alias("next")).where(F.col("next").isNotNull()), "throttle-jump")
+    reached, path = materialize(rows.groupBy("api_key").agg(F.min_by("id", F.struct("t", "id")).alias("id")), "throttle-reached")
+    while not jump.isEmpty():
+        more = reached.join(jump, ["api_key", "id"]).select("api_key", F.col("next").alias("id"))
+        wider, wider_path = materialize(reached.union(more).distinct(), "throttle-reached")
+        twice = jump.join(jump.select("api_key", F.col("id").alias("next"), F.col("next").alias("far")), ["api_key", "next"])
+        longer, longer_path = materialize(twice.select("api_key", "id", F.col("far").alias("next")), "throttle-jump")
+        for old in (path, jump_path):
+            drop_table(spark, old)
+        reached, path, jump, jump_path = wider, wider_path, longer, longer_path
+    found, _ = materialize(rows.join(reached.withColumn("hit", F.lit(True)), ["api_key", "id"], "left").select("api_key", "id", F.coalesce("hit", F.lit(False)).alias("admitted")), "throttle-found")
+    for old in (rows_path, path, jump_path):
+        drop_table(spark, old)
+    return found
+
+
 def feedback_join(predictions: DataFrame, feedback: DataFrame, days: int = 30) -> DataFrame:
     """Feedback with its prediction, as streams; feedback that finds none within the horizon comes out
     with nulls (dead letters)."""
