@@ -56,23 +56,30 @@ def _unpack(raw: bytes, kind: str) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, in 32 bits if they have room there; not deflated, they are random."""
+    """Ascending keys as differences, in 32 bits if they have room there. Of those only the highest bytes are
+    deflated, as the others are random."""
     steps = np.diff(keys, prepend=np.uint64(0))
     if len(steps) > 1 and int(steps[1:].max()) < 1 << 32:
-        return b"\4" + int(steps[0]).to_bytes(8, "little") + steps[1:].astype("<u4").tobytes()
+        planes = steps[1:].astype("<u4").view(np.uint8).reshape(-1, 4)
+        high = zlib.compress(planes[:, 3].tobytes(), 1)
+        return b"\4" + int(steps[0]).to_bytes(8, "little") + len(high).to_bytes(4, "little") + high + planes[:, :3].tobytes()
     return b"\10" + steps.astype("<u8").tobytes()
 
 
 def _unpack_keys(raw: bytes) -> np.ndarray:
     if raw[0] == 8:
         return np.cumsum(np.frombuffer(raw, "<u8", offset=1), dtype=np.uint64)
-    rest = np.frombuffer(raw, "<u4", offset=9).astype(np.uint64)
-    return np.cumsum(np.concatenate((np.array([int.from_bytes(raw[1:9], "little")], np.uint64), rest)), dtype=np.uint64)
+    low = 13 + int.from_bytes(raw[9:13], "little")
+    rest = np.empty(((len(raw) - low) // 3, 4), np.uint8)
+    rest[:, :3] = np.frombuffer(raw, np.uint8, offset=low).reshape(-1, 3)
+    rest[:, 3] = np.frombuffer(zlib.decompress(raw[13:low]), np.uint8)
+    return np.cumsum(np.concatenate((np.array([int.from_bytes(raw[1:9], "little")], np.uint64), rest.view("<u4").reshape(-1).astype(np.uint64))), dtype=np.uint64)
 
 
 def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of all tokens within these texts, the number of tokens of each text, and the hash
-    of each number; 0 is the end mark, which has the hash of the empty word."""
+    of each number (its _BITS highest bits); 0 is the end mark, which has the hash of the empty word, and
+    the others go by falling count, so that frequent words have small numbers, which pack well."""
     ids: defaultdict[str, int] = defaultdict()
     ids.default_factory = ids.__len__
     ids[""]  # number 0
@@ -82,7 +89,12 @@ def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         flat.extend(map(ids.__getitem__, words))
         flat.append(0)
         sizes.append(len(words) + 1)
-    return np.frombuffer(flat, np.uint32).astype(np.int64), np.array(sizes, np.int64), pd.util.hash_array(np.array(list(ids), object), categorize=False)
+    code = pd.util.hash_array(np.array(list(ids), object), categorize=False) & ~np.uint64((1 << (64 - _BITS)) - 1)
+    flat = np.frombuffer(flat, np.uint32)
+    order = np.concatenate(([0], np.argsort(-np.bincount(flat, minlength=len(code))[1:], kind="stable") + 1))
+    number = np.empty(len(code), np.int64)
+    number[order] = np.arange(len(code))
+    return number[flat], np.array(sizes, np.int64), code[order]
 
 
 class _Keys:
