@@ -49,9 +49,10 @@ def any_character(rng: random.Random) -> str:
 
 
 def test_prefix_bpe_equals_the_library_on_all_of_unicode(library):
-    rng, cut, known = random.Random(1), prefix_bpe.Cutter(public_tokenizers.PATTERN), prefix_bpe._Known(prefix_bpe.load(RANKS))
-    for _ in range(30_000):
-        text = "".join(any_character(rng) for _ in range(rng.randrange(12)))
+    rng, cut, known = random.Random(1), prefix_bpe.Cutter(public_tokenizers.PATTERN), prefix_bpe.Known(prefix_bpe.load(RANKS))
+    texts = ["".join(any_character(rng) for _ in range(rng.randrange(12))) for _ in range(30_000)]
+    known.learn({p for text in texts for p in cut(text)})
+    for text in texts:
         assert np.frombuffer(b"".join(map(known.__getitem__, cut(text))), "<u4").tolist() == library.encode_ordinary(text), ascii(text)
 
 

@@ -16,10 +16,13 @@ from __future__ import annotations
 
 import base64
 import bisect
+import gc
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import added, bytes_of, map_texts, sliced
 
-#: Pieces, and pairs of tokens, that a task remembers before it starts anew.
+#: Pieces, and pairs of tokens, that a worker remembers before it starts anew.
 CACHE = 1_000_000
 #: A symbol, that is neither a letter, a number nor white space in any version of Unicode.
 _SYMBOL = "☃"
@@ -166,11 +169,6 @@ class PrefixBpe:
             size -= len(self.tokens[out[-1]])
         return out[::-1]
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        """A piece that is a token itself is that token, whatever merges say, as in the library."""
-        known = self.ids.get(data)
-        return [known] if known is not None else self.tokens_of(self.prefixes(data), len(data))
-
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
@@ -180,20 +178,39 @@ def load(path: str) -> PrefixBpe:
     return PrefixBpe(path)
 
 
-class _Known(dict):
-    """Pieces and the bytes of their ids (32 bits, little-endian)."""
+class Known(dict):
+    """Pieces and the bytes of their ids (32 bits, little-endian). A piece that is a token itself is
+    that token, whatever merges say, as in the library."""
 
     def __init__(self, bpe: PrefixBpe):
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that aren't known. In order of their bytes, each goes on from the prefix that
+        it shares with the one before."""
+        fresh = sorted(p.encode() for p in pieces if p not in self)
+        if len(self) + len(fresh) > CACHE:
             self.clear()
-        ids = np.array(self.bpe.encode_piece(piece.encode()), "<u4").tobytes()
-        if len(piece) < 1000:
-            self[piece] = ids
-        return ids
+            fresh = sorted(p.encode() for p in pieces)
+        ids, prefixes, tokens_of = self.bpe.ids, self.bpe.prefixes, self.bpe.tokens_of
+        before, last = b"", []
+        for data in fresh:
+            if (one := ids.get(data)) is None:
+                same, most = 0, min(len(data), len(before))
+                while same < most and data[same] == before[same]:
+                    same += 1
+                del last[same:]
+                found, before = tokens_of(prefixes(data, last), len(data)), data
+            else:
+                found = [one]
+            self[data.decode()] = array("I", found).tobytes()
+
+
+@lru_cache(2)
+def known_pieces(path: str) -> Known:
+    """What a worker process has encoded, over all its tasks."""
+    return Known(load(path))
 
 
 class EditableText:
@@ -295,17 +312,19 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ke
     keep = tuple(c for c in keep if c not in {f.name for f in out})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cut = load(path), Cutter(pattern)
-        known, shown = _Known(bpe), pa.array(bpe.tokens, pa.large_binary())
-        for batch in sliced(batches, "text", 8 << 20):
-            coded, decoded = [], []
-            for t in batch.column("text"):
-                coded.append(b"".join(map(known.__getitem__, cut(t.as_py() or ""))))
-                decoded.append(bytes_of(shown.take(pa.array(np.frombuffer(coded[-1], "<u4"))))[1])
+        gc.disable()  # the caches hold no cycles, and each collection would walk them whole
+        known, cut = known_pieces(path), Cutter(pattern)
+        shown = pa.array(known.bpe.tokens, pa.large_binary())
+        for batch in sliced(batches, "text", 4 << 20):
+            cuts = [cut(t.as_py() or "") for t in batch.column("text")]
+            known.learn(set(chain.from_iterable(cuts)))
+            coded = [b"".join(map(known.__getitem__, pieces)) for pieces in cuts]
+            decoded = [bytes_of(shown.take(pa.array(np.frombuffer(c, "<u4"))))[1] for c in coded]
             sha = [pa.array([hashlib.sha256(x).hexdigest() for x in of], pa.string()) for of in (coded, decoded)]
             columns = [pa.array([len(c) // 4 for c in coded], pa.int64()), *sha]
             if with_ids:
                 columns += [pa.array([np.frombuffer(c, "<i4") for c in coded], pa.list_(pa.int32())), pa.array([d.tobytes() for d in decoded], pa.binary())]
             yield added(batch, out, columns)
+        gc.enable()
 
     return map_texts(df, keep, text, run, out)
