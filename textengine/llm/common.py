@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textengine.scratch import drop_table, materialize, shared_dir  # noqa: F401 (the operators take them from here)
+
 #: Words of every contract: runs of anything but space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
@@ -29,22 +29,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is spark.checkpoint.dir; where that is unset a local session gets a temporary
-    folder of its own, and any other session is refused.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="textengine-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def columns(*names: str) -> list[Column]:
     """Columns of these very names, whatever dots and backticks are in them."""
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
@@ -77,22 +61,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it back: the lineage ends there,
-    a lost executor loses nothing, and several readers don't compute df again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of jobs that are done: it does so once the
     driver has collected their handles, which else may take as long as the next jobs."""
