@@ -149,6 +149,29 @@ def test_bounded_topk_with_few_neighbours_and_one_hot_term(spark):
     assert J.bounded_topk(q.where("false"), p, 3).count() == 0 == J.bounded_topk(q, p.where("false"), 3).count()
 
 
+def test_class_evidence_of_the_whole_pool_equals_the_plain_join(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, "the " + " ".join(f"r{x}" for x in rng.choice(700, 6)) + f" of own{i % 5}") for i in range(900)] + [(2000, "the"), (2001, "alone")], "id long, text string")
+    labels = rows.select("id", F.when(F.col("id") < 2000, F.concat(F.lit("c"), F.col("id") % 7)).alias("class"))
+    w, _ = materialize(V.tfidf_view(rows, min_df=1), "w")
+    q, p = w.where("id % 9 = 0 or id >= 2000"), w.where("id % 9 <> 0")
+    sims = J.sparse_pairs(q, p).join(labels.withColumnRenamed("id", "n_id"), "n_id").where("class is not null")
+    want = {tuple(r) for r in sims.groupBy("q_id", "class").agg(F.round(F.max("sim"), 6).alias("best")).collect()}
+    assert {tuple(r) for r in J.best_per_class(q, p, labels).collect()} == want and len(want) > 600
+    # Every query shares a term with every row; few of these pairs are joined.
+    asked, pool = J.class_sides(q, p, labels)
+    met = J.bounded_pairs(J.bounded_marks(asked, pool, 1), pool).count()
+    assert met < 0.2 * sims.count()
+    assert J.best_per_class(q.where("false"), p, labels).count() == 0 == J.best_per_class(q, p, labels.where("false")).count()
+    near = J.sparse_topk(q, p.where("id < 2000"), 10).join(labels.withColumnRenamed("id", "n_id"), "n_id")
+    found = {(r["q_id"], r["class"]): r for r in E.class_feats(near, J.best_per_class(q, p, labels), labels.where("class is not null").select("class").distinct()).collect()}
+    ranked = {(r["q_id"], r["rank"]): r for r in near.collect()}
+    for (q_id, name), r in found.items():
+        mine = [k for k in range(1, 11) if (q_id, k) in ranked and ranked[q_id, k]["class"] == name]
+        assert abs(r["vote"] - sum(1 / k for k in mine) / sum(1 / k for k in range(1, 11))) < 1e-9
+        assert r["cnt5"] == sum(k <= 5 for k in mine) / 5 and r["s1"] == ranked[q_id, 1]["sim"] and r["top1"] == ranked[q_id, 1]["class"]
+
+
 def test_places_in_hash_order(spark):
     """Cells of the hash give the same places as one sort, per class (also null) and over all rows."""
     from textengine.operators import split as P

@@ -57,19 +57,15 @@ def pair_rows(wide: DataFrame, names: list[str]) -> DataFrame:
     return wide.withColumn("class_id", index)
 
 
-def class_feats(sims: DataFrame, classes: DataFrame, k: int = 10) -> DataFrame:
-    """Of all similarities (q_id, n_id, sim, class) per query and class: best (-1 if the class has none), gap, rank-weighted
-    vote among the k nearest and share of the five nearest; s1, s5 and top1 of the query."""
-    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("sim"), "n_id"))
-    ranked = sims.withColumn("rank", rank)
-    best = ranked.groupBy("q_id", "class").agg(
-        F.max("sim").alias("best"),
-        F.sum(F.when(F.col("rank") <= k, 1.0 / F.col("rank")).otherwise(0.0)).alias("vote"),
-        (F.count_if(F.col("rank") <= 5) / 5).alias("cnt5"),
-    )
-    own = ranked.groupBy("q_id").agg(F.max(F.when(F.col("rank") == 1, F.col("sim"))).alias("s1"), F.max(F.when(F.col("rank") == 5, F.col("sim"))).alias("s5"), F.max(F.when(F.col("rank") == 1, F.col("class"))).alias("top1"))
+def class_feats(nbrs: DataFrame, best: DataFrame, classes: DataFrame, k: int = 10) -> DataFrame:
+    """Per query and class: best over the whole pool (-1 if the class has none), gap, rank-weighted vote among
+    the k nearest and share of the five nearest; s1, s5 and top1 of the query. nbrs: the k nearest or more (5 at
+    least), with rank; best (q_id, class, best): every class's nearest row, however far down the list."""
+    near = nbrs.groupBy("q_id", "class").agg(F.sum(F.when(F.col("rank") <= k, 1.0 / F.col("rank")).otherwise(0.0)).alias("vote"), (F.count_if(F.col("rank") <= 5) / 5).alias("cnt5"))
+    own = nbrs.groupBy("q_id").agg(*[F.max(F.when(F.col("rank") == r, F.col(c))).alias(n) for r, c, n in ((1, "sim", "s1"), (5, "sim", "s5"), (1, "class", "top1"))])
     total = sum(1.0 / r for r in range(1, k + 1))
-    rows = grid(sims, classes).join(best, ["q_id", "class"], "left").select("q_id", "class", F.coalesce("best", F.lit(-1.0)).alias("best"), (F.coalesce("vote", F.lit(0.0)) / total).alias("vote"), F.coalesce("cnt5", F.lit(0.0)).alias("cnt5"))
+    rows = grid(nbrs, classes).join(best, ["q_id", "class"], "left").join(near, ["q_id", "class"], "left")
+    rows = rows.select("q_id", "class", F.coalesce("best", F.lit(-1.0)).alias("best"), (F.coalesce("vote", F.lit(0.0)) / total).alias("vote"), F.coalesce("cnt5", F.lit(0.0)).alias("cnt5"))
     return gap(rows, "q_id", "best", "gap").join(own, "q_id")
 
 

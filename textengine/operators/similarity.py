@@ -127,6 +127,25 @@ def loo_topk(rows: DataFrame, k: int) -> DataFrame:
     return bounded_topk(rows, rows, k, same=True)
 
 
+def class_sides(q: DataFrame, p: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a search inside each class: a query stands once for each class that has one of its terms, and
+    a term once for each class that holds it. labels (id, class), one class a row; rows without one are left out."""
+    of_class = p.join(labels.select("id", "class").where(F.col("class").isNotNull()), "id")
+    held = of_class.select("class", "term").distinct()
+    asked = q.select("id", "term", "w").join(held, "term")
+    term = F.struct("class", "term").alias("term")
+    return asked.select(F.struct(F.col("id").alias("q"), "class").alias("id"), term, "w"), of_class.select("id", term, "w")
+
+
+def best_per_class(q: DataFrame, p: DataFrame, labels: DataFrame) -> DataFrame:
+    """(q_id, class, best): similarity of the nearest row of every class that shares a term with the query.
+
+    bounded_topk() with k = 1 inside each class, which has floors and bounds of its own, so common terms aren't joined.
+    """
+    found = bounded_topk(*class_sides(q, p, labels), 1)
+    return found.select(F.col("q_id.q").alias("q_id"), F.col("q_id.class").alias("class"), F.col("sim").alias("best"))
+
+
 def dense_topk(q: DataFrame, p: DataFrame, k: int, same: bool = False, apart: Column | None = None, rows_per_block: int = 4000) -> DataFrame:
     """Exact cosine top-k of (id, vec) rows: each query block meets each pool block once. Rows of
     one group `apart` (an integer expression of id, such as a fold) are no neighbours; same: nor is a row its own."""

@@ -62,11 +62,6 @@ def near(spark, d, k: int = 20):
     return E.with_class(nbrs, docs(spark, d))
 
 
-def near_sims(spark, d):
-    pairs = J.sparse_pairs(xx_w(spark, d), en_w(spark, d)).withColumn("sim", F.round("sim", 6))
-    return E.with_class(pairs, docs(spark, d))
-
-
 def all_w(spark, d):
     return V.tfidf_view(docs(spark, d))
 
@@ -303,7 +298,9 @@ def ag_03(spark, d):
     JOIN (SELECT q_id, max(sim) FILTER (rank = 1) AS s1, max(sim) FILTER (rank = 5) AS s5, max(class) FILTER (rank = 1) AS top1 FROM r GROUP BY q_id) s USING (q_id)""",
 )
 def ag_04(spark, d):
-    rows = E.class_feats(near_sims(spark, d), classes(spark, d))
+    labels = docs(spark, d).select("id", F.col("queue").alias("class"))
+    best = J.best_per_class(xx_w(spark, d), en_w(spark, d), labels)
+    rows = E.class_feats(near(spark, d, 10), best, classes(spark, d))
     return rows.withColumns({c: F.round(c, 6) for c in ("vote", "gap")})
 
 
