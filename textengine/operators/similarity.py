@@ -36,6 +36,8 @@ def sparse_pairs(q: DataFrame, p: DataFrame) -> DataFrame:
 
 #: Similarities are rounded, so what lies less than this below a bound may still tie with it.
 _TIE = 2e-6
+#: Share of a query's postings that must be left out to be worth looking its pairs up again.
+SAVED = 0.75
 
 
 def bounded_marks(q: DataFrame, p: DataFrame, k: int, same: bool = False, unit: bool = True) -> DataFrame:
@@ -46,7 +48,8 @@ def bounded_marks(q: DataFrame, p: DataFrame, k: int, same: bool = False, unit:
     search while all of them together can't lift a row to the floor: sums of weight times the term's largest
     weight bound them and, unit (rows of length 1), the length of the query's part does, too. Of the first term beyond those
     (`edge`), postings below `need` can't lift a row there either; it is read whole if `need` is less than half
-    the term's largest weight, as its sums are then worth more than what is saved. Columns: q_id, term, wq, part
+    the term's largest weight, as its sums are then worth more than what is saved. A query for which that leaves out less
+    than SAVED of its postings reads all of them, as its pairs then need no second look. Columns: q_id, term, wq, part
     (left, edge, core), need, upto and below (bounds with and without the term), floor.
     """
     a = q.select(F.col("id").alias("q_id"), "term", F.col("w").alias("wq"))
@@ -68,8 +71,10 @@ def bounded_marks(q: DataFrame, p: DataFrame, k: int, same: bool = False, unit:
     rows = rows.withColumns({"upto": bound(False), "below": bound(True)})
     rows = rows.withColumn("need", (F.col("floor") - F.col("below")) / F.col("wq"))
     edge = (F.col("below") < F.col("floor")) & (F.col("need") * 2 >= F.col("most"))
-    part = F.when(F.col("upto") < F.col("floor"), "left").when(edge, "edge").otherwise("core")
-    return rows.select("q_id", "term", "wq", part.alias("part"), "need", "upto", "below", "floor")
+    rows = rows.withColumn("part", F.when(F.col("upto") < F.col("floor"), "left").when(edge, "edge").otherwise("core"))
+    one = W.partitionBy("q_id")
+    spared = F.sum(F.when(F.col("part") != "core", F.col("df")).otherwise(0)).over(one) >= SAVED * F.sum("df").over(one)
+    return rows.select("q_id", "term", "wq", F.when(spared, F.col("part")).otherwise("core").alias("part"), "need", "upto", "below", "floor")
 
 
 def _apart(pairs: DataFrame, same: bool) -> DataFrame:
