@@ -488,6 +488,23 @@ def test_language_id_equals_a_plain_version(spark, docs):
         assert r["lang_pred"] == best and math.isclose(r["score"], share, abs_tol=1e-4)
 
 
+def test_language_id_with_more_languages_than_a_block(spark, docs, monkeypatch):
+    """Blocks of the matrix, carried from one to the next, give what one matrix gives."""
+    many = docs.withColumn("lang", F.when(F.col("lang").isNotNull(), F.concat("lang", F.lit("-"), (F.col("doc_id") % 3).cast("string"))))
+    keep = ("doc_id", "text", "lang", "best", "pred")
+    rows = many.withColumns({"best": F.lit("mine"), "pred": F.lit(7)})
+    model = langid.fit(many)
+    order = lambda found: sorted(found.collect(), key=str)
+    whole = order(langid.predict(rows, model, keep=keep))
+    monkeypatch.setattr(langid, "LANGS", 1)
+    assert model.n_langs > 3
+    parts = order(langid.predict(rows, langid.fit(many), keep=keep))
+    assert len(parts) == len(whole) == docs.count()
+    for r, w in zip(parts, whole):
+        assert tuple(r)[:6] == tuple(w)[:6] and math.isclose(r["score"], w["score"], rel_tol=1e-9) and (r["best"], r["pred"]) == ("mine", 7)
+    model.drop()
+
+
 def test_language_id_held_out(spark):
     out = queries.op8_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out")
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
