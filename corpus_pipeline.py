@@ -51,7 +51,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     others together. If no row has a language to learn from, nothing is dropped."""
     columns = docs.columns
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    if not model[0]:
+    if not model.n_langs:
         return docs
     named = langid.predict(docs, model, keep=tuple(columns))
     return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(columns)
