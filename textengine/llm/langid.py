@@ -143,7 +143,7 @@ _STATE = ("best", "mean", "most", "shares")
 
 
 def predict(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", evidence: int = 50) -> DataFrame:
-    """The columns `keep`, lang_pred and score of every row."""
+    """The columns `keep`, lang_pred and score of every row. The model's table isn't read after the call."""
     spark, keep = df.sparkSession, tuple(c for c in keep if c not in ("lang_pred", "score"))
     inner = tuple(f"k{i}" for i in range(len(keep)))
     rows = df.select(*(c.alias(n) for n, c in zip((*inner, "body"), columns(*keep, text))))

@@ -65,7 +65,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = langid.held_out(F.col("doc_id"))
     model = langid.fit(docs.where(~held))
-    return langid.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    found = langid.predict(docs, model)
+    model.drop()
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
