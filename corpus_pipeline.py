@@ -54,6 +54,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if not model.n_langs:
         return docs
     named = langid.predict(docs, model, keep=tuple(columns))
+    model.drop()
     return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(columns)
 
 
