@@ -124,6 +124,23 @@ def test_exact_dense_topk_leaves_out_cells(spark, sf):
     assert I.exact_topk(q, v.where("false"), 7)[0].count() == 0 == I.exact_topk(q.where("false"), v, 7)[0].count()
 
 
+def test_dense_topk_in_blocks_meets_every_row(spark):
+    """Both sides in several blocks, and partitions that stay apart: every block must meet every other one."""
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(400, 8))
+    v = spark.createDataFrame([*enumerate(vectors.tolist())], "id long, vec array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sims = np.round(unit[::4] @ unit.T, 6)
+    sims[np.arange(100), np.arange(0, 400, 4)] = -2
+    want = {(4 * i, int(j), r + 1) for i, row in enumerate(sims) for r, j in enumerate(np.lexsort((np.arange(400), -row))[:5])}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = J.dense_topk(v.where("id % 4 = 0"), v, 5, same=True, rows_per_block=70).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r["q_id"], r["n_id"], r["rank"]) for r in found} == want
+
+
 def test_bounded_topk_equals_the_plain_join(spark):
     rng = np.random.default_rng(2)
     rare = lambda i: " ".join(f"r{x}" for x in rng.choice(900, 6)) + f" only{i}"
