@@ -157,6 +157,27 @@ def test_bounded_topk_equals_the_plain_join(spark):
     assert scores.join(bounds, "q_id").where("sim > bound + 1e-9").count() == 0
 
 
+def test_blocks_equal_the_plain_join_without_its_rows(spark):
+    """Searches and joins in many blocks; nothing is shuffled in proportion to the pairs that share a term."""
+    from textengine.operators import blocks as B
+
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(3 * i, "the " + " ".join(f"r{x}" for x in rng.choice(200, 6))) for i in range(600)] + [(5000, "the")], "id long, text string").repartition(3)
+    w, _ = materialize(V.tfidf_view(rows, min_df=1), "w")
+    plain = J.sparse_pairs(w, w)
+    as_set = lambda df: {tuple(r) for r in df.select("q_id", "n_id", "sim").collect()}
+    apart = plain.where("q_id <> n_id")
+    assert as_set(J.top_k(B.similar(w, w, 5, same="apart", postings=700), 5)) == as_set(J.top_k(apart, 5))
+    assert B.similar(w, w, 5, same="apart", postings=700).count() < 0.1 * apart.count()
+    want = as_set(plain.where("q_id < n_id").withColumn("sim", F.round("sim", 6)).where("sim >= 0.2 and sim < 0.5"))
+    assert as_set(B.similar(w, w, low=0.2, same="less", postings=700).where("sim < 0.5")) == want == as_set(J.sim_join(w, w, 0.2, 0.5, same=True))
+    pairs = spark.createDataFrame([(0, 3), (0, 3), (0, 5000), (6, 7), (9, 9)], "q_id long, n_id long")
+    dots = {(r["q_id"], r["n_id"]): r["sim"] for r in plain.collect()}
+    found = J.pair_dot(pairs, w, w).collect()
+    assert len(found) == 5 and all(abs(r["sim"] - dots.get((r["q_id"], r["n_id"]), 0.0)) < 1e-12 for r in found)
+    assert "MapInArrow" in J.pair_dot(pairs, w, w)._jdf.queryExecution().toString()
+
+
 def test_bounded_topk_with_few_neighbours_and_one_hot_term(spark):
     q = spark.createDataFrame([(1, "a", 1.0), (2, "hot", 1.0), (3, "b", 0.6), (3, "hot", 0.8), (4, "none", 1.0)], "id long, term string, w double")
     p = spark.createDataFrame([(i, "hot", 1.0 - i / 500) for i in range(100, 400)] + [(500, "a", 1.0), (501, "b", 0.9)], "id long, term string, w double")
