@@ -54,3 +54,16 @@ def test_nothing_to_weigh(spark):
     df = corpus(spark).where("id > 89")
     assert V.tfidf_view(df).count() == 0
     assert J.sparse_topk(*[V.tfidf_view(df.where("id = 7"), form=f) for f in ("queries", "pool")], 3).count() == 0
+
+
+def test_a_search_holds_small_batches(spark, monkeypatch):
+    """Blocks go through Python a few at a time; the session's own setting stays."""
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    w = by_rows(corpus(spark).where("id < 60"))
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen.append(int(spark.conf.get(key))), write(self, *a, **b))[1])
+    assert J.sparse_topk(w, w, 3, same=True).count() and seen and max(seen) <= 8 << 20
+    assert spark.conf.get(key) == before
