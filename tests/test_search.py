@@ -78,3 +78,35 @@ def test_results_held_are_cut_and_groups_beyond_them_leave_early(spark, monkeypa
         wide[held] = best
         assert most <= held
     assert wide[40] == wide[1 << 18]
+
+
+def test_links_join_what_all_pairs_join_with_a_pair_for_each_row(spark):
+    from textengine.operators import chunks as C
+    from textengine.operators import families as M
+
+    draw = random.Random(5)
+    words = [f"wort{i}" for i in range(40)]
+    texts = [" ".join(draw.choices(words, k=4)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, texts[draw.randrange(6)] + f" {words[i % 40]}", ["en", "de", None][i % 3]) for i in range(200)], "id long, text string, language string").repartition(6, "id")
+    rows = C.term_chunks(docs, by=F.coalesce(F.concat(F.lit("in "), "language"), F.lit("none")), postings=60)
+    assert rows.groupBy("chunk").agg(F.countDistinct("by").alias("n")).where("n <> 1").isEmpty()
+    found = B.links(C.weights(rows, rows, form="queries", kept=F.col("by") != "none"), 0.6)
+    w = C.weights(rows, rows)
+    lang = docs.select("id", "language")
+    pairs = plain(w).where("sim >= 0.6 AND q_id < n_id").join(lang.toDF("q_id", "a"), "q_id").join(lang.toDF("n_id", "b"), "n_id").where("a = b")
+    out = lambda e: sorted(map(tuple, M.families(e, docs).collect()))
+    assert out(found) == out(pairs)
+    assert found.count() < pairs.count() / 2
+
+
+def test_dense_searches_hold_few_queries_at_a_time(spark, monkeypatch):
+    from textengine.operators import ivf as I
+
+    draw = random.Random(8)
+    v = spark.createDataFrame([(i, [draw.gauss(0, 1) for _ in range(6)]) for i in range(150)], "id long, vec array<double>").cache()
+    found = lambda: (sorted(map(tuple, I.exact_topk(v, v, 3, same=True, cells=4)[0].collect())), sorted(map(tuple, I.search(v, v, 3).collect())))
+    want = found()
+    monkeypatch.setattr(I, "QUERY_ROWS", 40)
+    monkeypatch.setattr(I, "SLICE", 7)
+    assert I.query_blocks(v) == 4
+    assert found() == want
