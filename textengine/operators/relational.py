@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -36,7 +38,11 @@ def fractions(df: DataFrame, order: str, tiles: int) -> DataFrame:
     spark_n = df.count()
     n = max(1, min(4096, spark_n // 10_000))
     cuts = (df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000)).first()[0] or []) if n > 1 else []
-    cell = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    below = lambda found: F.size(F.filter(found, lambda c: c < F.col(order)))
+    # Every step-th cut first, then the cuts between two of these.
+    step = max(1, math.isqrt(len(cuts)))
+    coarse = below(F.array(*[F.lit(c) for c in cuts[step - 1 :: step]])) * step
+    cell = coarse + below(F.slice(F.array(*[F.lit(c) for c in cuts]), coarse + 1, step)) if cuts else F.lit(0)
     rows = df.withColumn("__cell", cell.cast("int"))
     sizes = rows.groupBy("__cell").agg(F.count("*").alias("__n"))
     base = sizes.select(F.col("__cell").alias("__c"), (F.sum("__n").over(W.orderBy("__cell")) - F.col("__n")).alias("__base"))
