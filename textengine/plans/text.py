@@ -123,7 +123,9 @@ def pf_11(spark, d):
     (SELECT ' ' || w || ' ' AS u FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM v_clean) WHERE w <> ''), (SELECT unnest([3, 4]) AS n) WHERE length(u) >= n) GROUP BY gram""",
 )
 def pf_12(spark, d):
-    return S.cleaned(spark, d).select(F.explode(X.char_ngrams(F.col("text"), 3, 4)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    # A word is cut once, however often it occurs.
+    words = S.cleaned(spark, d).select(F.explode(F.split("text", r"\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return words.select("n", F.explode(X.char_ngrams(F.col("w"), 3, 4)).alias("gram")).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @query(
