@@ -19,6 +19,7 @@ from pyspark.sql.window import Window as W
 
 from textengine.llm import bpe, langid, mcd, mixing, neardup
 from textengine.llm.common import documents, materialize
+from textengine.scratch import BATCH
 
 
 #: Columns that the stages read.
@@ -109,5 +110,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read back as the next one's docs."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, _ = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), BATCH)
     return STAGES[-1][1](spark, docs, sf_dir)

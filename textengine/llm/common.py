@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from collections.abc import Callable, Iterator
@@ -42,7 +43,21 @@ def map_texts(df: DataFrame, keep: tuple[str, ...], text: str, run: Callable, fi
     inner = [f"k{i}" for i in range(len(keep))]
     rows = df.select(*[c.alias(n) for n, c in zip((*inner, "text"), columns(*keep, text))])
     schema = T.StructType([*(T.StructField(n, df.schema[c].dataType) for n, c in zip(inner, keep)), *fields])
-    return rows.mapInArrow(run, schema).toDF(*keep, *(f.name for f in fields))
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(trimmed, schema).toDF(*keep, *(f.name for f in fields))
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: its worker serves later tasks and would hold it for them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def added(batch: pa.RecordBatch, fields: list[T.StructField], columns: list[pa.Array]) -> pa.RecordBatch:
