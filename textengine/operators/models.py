@@ -187,7 +187,9 @@ def grid_search(df: DataFrame, cs: list[float], folds: int = 3) -> DataFrame:
 
 def block_ablation(df: DataFrame, blocks: dict[str, list[str]], k: int = 2) -> DataFrame:
     """(block, n, accuracy): logistic regression on each set of columns, cross-validated over k folds."""
-    rows = assign_folds(df, "label", k, 1)
+    # The columns may come from texts: they are made once, not for each pass of a fit.
+    needed = dict.fromkeys(["id", "label", *[c for columns in blocks.values() for c in columns]])
+    rows, _ = materialize(assign_folds(df.select(*needed), "label", k, 1), "ablation-rows")
     out = None
     for name, columns in blocks.items():
         for f in range(k):
