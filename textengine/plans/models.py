@@ -13,7 +13,7 @@ from textengine.operators import models as M
 from textengine.operators import quality as Q
 from textengine.operators import similarity as J
 from textengine.operators import split as P
-from textengine.scratch import materialize
+from textengine.scratch import drop_table, materialize
 
 from . import neighbours as N
 from . import views as S
@@ -34,13 +34,17 @@ def non_negative(df):
 
 
 def stacker_rows(spark, d):
-    """Pair rows of two channels over the vectors, leave-one-out within the set, with a 0/1 label."""
+    """Pair rows of two channels over the vectors, leave-one-out within the set, with a 0/1 label, written."""
     v = S.dense(spark, d)
-    nbrs = E.with_class(J.dense_topk(v, v, 20, same=True), v, "label")
+    found, path = materialize(J.dense_topk(v, v, 20, same=True), "stacker-neighbours")
+    nbrs = E.with_class(found, v, "label")
     classes = v.select(F.col("label").alias("class")).distinct()
     wide = E.channels({"top": (nbrs.where(F.col("rank") <= 5), 0.0), "wide": (nbrs, 0.0)}, classes)
     rows = E.pair_rows(wide, ["top", "wide"]).join(v.select(F.col("id").alias("q_id"), F.col("label").alias("y")), "q_id")
-    return rows.withColumn("label", (F.col("class") == F.col("y")).cast("double"))
+    # Fits and predictions read them many times; they are searched for once.
+    rows, _ = materialize(rows.withColumn("label", (F.col("class") == F.col("y")).cast("double")), "stacker")
+    drop_table(spark, path)
+    return rows
 
 
 COLUMNS = ["best_top", "cnt_top", "gap_top", "top_top", "best_wide", "cnt_wide", "gap_wide", "top_wide", "class_id"]
@@ -68,7 +72,7 @@ def pf_22(spark, d):
 
 @query("md_03_fit_stacker")
 def md_03(spark, d):
-    rows, _ = materialize(stacker_rows(spark, d), "stacker")
+    rows = stacker_rows(spark, d)
     train, test = parts(rows)
     classes = {"class_id": rows.agg(F.max("class_id")).first()[0] + 1}
     return M.predict_stacker(M.fit_stacker(train, COLUMNS, categories=classes), test, COLUMNS, classes)
@@ -115,6 +119,7 @@ def md_10(spark, d):
     v = S.dense(spark, d)
     nbrs = E.with_class(J.dense_topk(v, v, 10, same=True), v, "label").join(v.select(F.col("id").alias("q_id"), F.col("label").alias("y")), "q_id")
     rows = nbrs.select("q_id", "n_id", "sim", F.col("rank").cast("double").alias("place"), (F.col("class") == F.col("y")).cast("double").alias("label"), X.hash_half(F.col("q_id").cast("string")).alias("half"))
+    rows, _ = materialize(rows, "pair-rows")
     out = None
     for half in (0, 1):
         model = M.fit_stacker(rows.where(F.col("half") != half), ["sim", "place"], SHORT)
@@ -137,7 +142,7 @@ def md_13(spark, d):
 def md_17(spark, d):
     train, test = parts(stacker_rows(spark, d))
     first = M.predict_stacker(M.fit_stacker(train, COLUMNS[:4], SHORT), train.unionAll(test), COLUMNS[:4])
-    both = E.gap(first, "q_id", "p", "gap_p")
+    both, _ = materialize(E.gap(first, "q_id", "p", "gap_p"), "first-stage")
     columns = [*COLUMNS[4:], "p", "gap_p"]
     train, test = train.join(both, ["q_id", "class"]), test.join(both, ["q_id", "class"])
     return M.predict_stacker(M.fit_stacker(train, columns, SHORT), test, columns)
@@ -149,7 +154,7 @@ def md_18(spark, d):
     n = [r[0] for r in rows.select("class").distinct().orderBy("class").collect()]  # the classes
     wide = rows.groupBy("q_id", F.col("y").cast("double").alias("label")).pivot("class", n).agg(F.first("best_wide").alias("b"), F.first("cnt_wide").cast("double").alias("c"))
     columns = [f"{c}_{x}" for c in n for x in ("b", "c")]
-    train, test = parts(wide)
+    train, test = parts(materialize(wide, "flat-rows")[0])
     return M.fit_flat(train, columns).transform(M.assemble(test, columns)).select("q_id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
 
 
